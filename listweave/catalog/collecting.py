@@ -119,7 +119,7 @@ def first_seen(spark, sf_dir):
 @query(
     """
     WITH pairs AS (
-      SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) AS a, '2' || l_partkey AS b,
+      SELECT l_returnflag, l_orderkey AS a, CAST('2' || l_partkey AS BIGINT) AS b,
              min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS place
       FROM lineitem GROUP BY ALL),
     folded AS (
@@ -127,7 +127,7 @@ def first_seen(spark, sf_dir):
              list_reduce(list([a, b] ORDER BY place),
                          lambda seen, pair: CASE WHEN list_has_any(seen, pair) THEN seen
                                                  ELSE list_concat(seen, pair) END,
-                         CAST([] AS VARCHAR[])) AS taken
+                         CAST([] AS BIGINT[])) AS taken
       FROM pairs GROUP BY l_returnflag),
     kept AS (
       SELECT l_returnflag, taken[2 * i + 1] AS a, taken[2 * i + 2] AS b
@@ -209,7 +209,7 @@ def union_branches(spark, sf_dir):
 )
 def group_by_query(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return grouping.by_query(turns, "conv_id", [F.col("turn")], ["turn"])
+    return grouping.by_query(turns, "conv_id", ["turn"])
 
 
 BROKEN_TIMES = """
@@ -266,7 +266,8 @@ def recency_filter_date(spark, sf_dir):
 @query(
     """
     SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS days,
-           CASE WHEN days <= 1 THEN 86400 WHEN days <= 7 THEN 604800 ELSE 2592000 END AS seconds
+           CAST(CASE WHEN days <= 1 THEN 86400 WHEN days <= 7 THEN 604800 ELSE 2592000 END AS BIGINT)
+             AS seconds
     FROM events
     """
 )

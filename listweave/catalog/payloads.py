@@ -11,25 +11,25 @@ from listweave.catalog.base import iso_text, query, table
 from listweave.catalog.texts import sql_band
 from listweave.functions.html import list_links, page_headings
 from listweave.plans import normalise
-from listweave.schemas import JOB_COLUMNS
+from listweave.schemas import API_RESULTS, JOB_COLUMNS
 from listweave.sources import json_pages
 
 PAGE_JOBS = 50
 RECORD = [c for c in JOB_COLUMNS if c != "scraped_at"]
 
 
-def paged(jobs, key: str):
-    """Array of the jobs of each page in key order; keys are unique, so a page stays small."""
+def paged(jobs, key: str, size: int, group: tuple[str, ...] = ()):
+    """Array of the jobs of each page in key order. Keys are unique, so a page stays small."""
     in_order = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_at"), "job")))
-    return jobs.groupBy(F.floor(F.col(key) / PAGE_JOBS).alias("page_no")).agg(
+    return jobs.groupBy(*group, F.floor(F.col(key) / size).alias("page_no")).agg(
         F.transform(in_order, lambda entry: entry["job"]).alias("jobs")
     )
 
 
 def in_envelope(jobs):
-    body = F.struct(jobs.alias("results")).alias("visitorJobSearchV1")
-    nested = F.struct(F.struct(body).alias("universalSearchNuxt")).alias("search")
-    return F.to_json(F.struct(F.struct(nested).alias("data")))
+    for level in reversed(API_RESULTS.split(".")):
+        jobs = F.struct(jobs.alias(level))
+    return F.to_json(jobs)
 
 
 def state_payloads(spark, sf_dir):
@@ -75,7 +75,7 @@ def state_payloads(spark, sf_dir):
             F.when(status != "F", F.col("o_custkey")).alias("totalReviews"),
         ).alias("client"),
     )
-    pages = paged(both.select("o_orderkey", job.alias("job")), "o_orderkey")
+    pages = paged(both.select("o_orderkey", job.alias("job")), "o_orderkey", PAGE_JOBS)
     return pages.select("page_no", F.to_json("jobs").alias("payload"))
 
 
@@ -130,7 +130,7 @@ def normalise_state(spark, sf_dir):
 
 
 def api_payloads(spark, sf_dir):
-    """Pages of parts in the API shape; pages of ten thousands are cut off in the middle."""
+    """Pages of parts in the API shape; a page with a number that ends in 7 is broken off."""
     size, kind, key = F.col("p_size"), F.col("p_type"), F.col("p_partkey")
     price = F.col("p_retailprice")
     inner = F.struct(
@@ -148,7 +148,8 @@ def api_payloads(spark, sf_dir):
         F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("description"),
         F.when(size < 48, F.struct(inner.alias("job"))).alias("jobTile"),
     )
-    pages = paged(table(spark, sf_dir, "part").select("p_partkey", job.alias("job")), "p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", job.alias("job"))
+    pages = paged(parts, "p_partkey", PAGE_JOBS)
     whole = in_envelope(F.col("jobs"))
     landed = F.when(F.col("page_no").cast("string").endswith("7"), F.left(whole, F.lit(100)))
     return pages.select("page_no", landed.otherwise(whole).alias("payload"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listweave.operators.spread import group_join, numbered
 
 
-def by_query(
-    listings: DataFrame, query: str, order: list[Column], spread: list[str]
-) -> DataFrame:
+def by_query(listings: DataFrame, query: str, order: list[str]) -> DataFrame:
     """Adds ``pos`` and ``n_items``: every query's listings in order, without gathering
-    a query in one row."""
-    sizes = listings.groupBy(query).agg(F.count("*").alias("n_items"))
-    return group_join(numbered(listings, [query], order, "pos"), sizes, [query], "left", spread)
+    a query in one row.
+
+    Positions are worked out on the order columns alone. The listings move once, in a join on
+    query and order, which no query can skew.
+    """
+    places = numbered(listings.select(query, *order), [query], [F.col(c) for c in order], "pos")
+    sizes = places.groupBy(query).agg(F.max("pos").alias("n_items"))
+    return listings.join(group_join(places, sizes, [query], "left", order), [query, *order])
 
 
 def ordered_union(branches: list[DataFrame]) -> DataFrame:

@@ -24,14 +24,16 @@ def hot_keys(counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame
     so it may be broadcast; a key outside it has less than one ``MOST_HOT_KEYS``-th of all rows
     and needs no cutting. None if there is no hot key.
     """
-    hot = pinned(
+    largest = counts.agg(F.max("_n").alias("n")).first()["n"]
+    if largest is None or largest <= rows_per_salt:
+        return None
+    return pinned(
         counts.filter(F.col("_n") > rows_per_salt)
         .orderBy(F.col("_n").desc())
         .limit(MOST_HOT_KEYS)
         .withColumn("_parts", F.ceil(F.col("_n") / rows_per_salt).cast("int"))
         .drop("_n")
     )
-    return None if hot.isEmpty() else hot
 
 
 def salted_join(

@@ -16,7 +16,7 @@ from listweave.operators.spread import ROWS_PER_SALT, hot_keys, salted_join
 from listweave.session import pinned
 
 # A remainder of at most this many items is settled in order, one task per group.
-FINISH_ROWS = 20_000
+FINISH_ROWS = 250_000
 
 
 def _by_key(items: DataFrame, group: list[str]) -> DataFrame:
