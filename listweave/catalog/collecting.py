@@ -125,7 +125,8 @@ def first_seen(spark, sf_dir):
     folded AS (
       SELECT l_returnflag,
              list_reduce(list([a, b] ORDER BY place),
-                         lambda seen, pair: CASE WHEN list_has_any(seen, pair) THEN seen
+                         lambda seen, pair: CASE WHEN list_contains(seen, pair[1])
+                                                   OR list_contains(seen, pair[2]) THEN seen
                                                  ELSE list_concat(seen, pair) END,
                          CAST([] AS BIGINT[])) AS taken
       FROM pairs GROUP BY l_returnflag),

@@ -101,7 +101,8 @@ JOB_RUN_SQL = """
     folded AS (
       SELECT event_type,
              list_reduce(list([a, b] ORDER BY branch, event_id),
-                         lambda seen, pair: CASE WHEN list_has_any(seen, pair) THEN seen
+                         lambda seen, pair: CASE WHEN list_contains(seen, pair[1])
+                                                   OR list_contains(seen, pair[2]) THEN seen
                                                  ELSE list_concat(seen, pair) END,
                          CAST([] AS VARCHAR[])) AS taken
       FROM items GROUP BY event_type),
@@ -229,7 +230,7 @@ BOARD_RUN_SQL = """
              max(CAST(value >= 20 AND day < DATE '2024-01-26' AS INT)) OVER w AS stopped
       FROM firsts
       WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
-    kept AS (SELECT * FROM ranked WHERE rank <= 800 AND stopped = 0),
+    kept AS (SELECT * FROM ranked WHERE rank <= 1350 AND stopped = 0),
     detailed AS (SELECT DISTINCT job_id FROM cards WHERE value >= 30)
     SELECT event_type AS query, rank, job_id, event_type || ' &Co' AS title,
            'User <' || user_id || '>' AS company, 'Zone ' || k AS location,
@@ -252,7 +253,7 @@ def board_run(spark, sf_dir):
     """Cards in HTML, short pages, dedup, cutoff by date and cap, then details of what stays."""
     records = collect_cards(
         landed_cards(spark, sf_dir),
-        count=800,
+        count=1350,
         days=6,
         as_of=datetime(2024, 2, 1, 18),
         raw_details=landed_details(spark, sf_dir),

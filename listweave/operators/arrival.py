@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listweave.operators.spread import group_join, numbered
+from listweave.operators.spread import group_join, numbered, ranged, totals_in_ranges
 
 # Up to this cap Spark prunes each input partition to the first rows of a group before the shuffle.
 PRUNED_CAP = 1000
 
 
+def place(arrival: list[str]) -> Column:
+    """Arrival as one comparable value. A single number keeps aggregates on the hash path."""
+    return F.col(arrival[0]) if len(arrival) == 1 else F.struct(*arrival)
+
+
 def first_seen(items: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
     """First item of each key. An aggregate: every map task sends at most one row per key."""
     rest = [c for c in items.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*arrival))
+    first = F.min_by(F.struct(*rest), place(arrival))
     return items.groupBy(*key).agg(first.alias("_first")).select(
         *[F.col(c) if c in key else F.col("_first")[c].alias(c) for c in items.columns]
     )
@@ -26,12 +31,10 @@ def first_seen(items: DataFrame, key: list[str], arrival: list[str]) -> DataFram
 
 def until_old(items: DataFrame, group: list[str], old: str, arrival: list[str]) -> DataFrame:
     """Items of each group before its first old one: a prefix, not a filter."""
-    stops = items.filter(F.col(old)).groupBy(*group).agg(
-        F.min(F.struct(*arrival)).alias("_stop")
-    )
+    stops = items.filter(F.col(old)).groupBy(*group).agg(F.min(place(arrival)).alias("_stop"))
     return (
         group_join(items, stops, group, "left", arrival)
-        .filter(F.col("_stop").isNull() | (F.struct(*arrival) < F.col("_stop")))
+        .filter(F.col("_stop").isNull() | (place(arrival) < F.col("_stop")))
         .drop("_stop")
     )
 
@@ -56,11 +59,12 @@ def collected(
     With a small cap one window does both: the kept rows are a prefix of at most ``count`` rows,
     so the running test only has to see those, and Spark cuts each partition down to the first
     ``count`` rows of a group before the shuffle. With a large cap or none, the cutoff is one
-    small table of stops and the ranks come from range partitions.
+    small table of stops and the ranks come from range partitions, which are written once.
     """
     order = [F.col(c) for c in arrival]
     if count is None or count > PRUNED_CAP:
-        ranked = numbered(until_old(items, group, old, arrival), group, order, "rank")
+        prefix = until_old(ranged(items, group, order), group, old, arrival)
+        ranked = totals_in_ranges(prefix, group, order, F.lit(1).cast("bigint"), "rank")
         return ranked if count is None else ranked.filter(F.col("rank") <= count)
     in_order = Window.partitionBy(*group).orderBy(*order)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

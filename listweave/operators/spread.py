@@ -83,29 +83,30 @@ def group_join(
     return salted_join(rows, table, on, how, spread, hot_keys(counts, rows_per_salt))
 
 
-def running_total(
-    df: DataFrame, group: list[str], order: list[Column], value: Column, name: str
+def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Rows range-partitioned on group and order, with their partition number in ``_part``.
+
+    A large group covers several partitions. The rows are pinned, as the numbers must not change.
+    ``group`` columns must not be null and the order must be total.
+    """
+    in_ranges = df.repartitionByRange(*[F.col(g) for g in group], *order)
+    return pinned(in_ranges.withColumn("_part", F.spark_partition_id()))
+
+
+def totals_in_ranges(
+    rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """Running sum of ``value`` within each group, however large the group.
+    """Running sum of ``value`` within each group of ``ranged`` rows.
 
-    Rows are range-partitioned on group and order, so a large group covers several partitions.
-    Each partition sums on its own; what the earlier partitions of the same group add is a table
+    Each partition sums on its own. What the earlier partitions of the same group add is a table
     with fewer rows than there are partitions, because a boundary lies in one group only.
-    The ranged rows are pinned, as their partition numbers are used twice.
-    ``group`` columns must not be null and the order must be total.
     """
-    ranged = df.withColumn("_value", value).repartitionByRange(
-        *[F.col(g) for g in group], *order
-    )
-    rows = pinned(ranged.withColumn("_part", F.spark_partition_id()))
     earlier = (
-        Window.partitionBy(*group)
-        .orderBy("_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
         rows.groupBy(*group, "_part")
-        .agg(F.sum("_value").alias("_sum"))
+        .agg(F.sum(value).alias("_sum"))
         .withColumn("_carried", F.sum("_sum").over(earlier))
         .filter(F.col("_carried").isNotNull())
         .drop("_sum")
@@ -116,13 +117,20 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("_local", F.sum("_value").over(within))
+        rows.withColumn("_local", F.sum(value).over(within))
         .join(F.broadcast(carried), [*group, "_part"], "left")
         .withColumn(name, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0)))
-        .drop("_local", "_carried", "_part", "_value")
+        .drop("_local", "_carried", "_part")
     )
 
 
+def running_total(
+    df: DataFrame, group: list[str], order: list[Column], value: Column, name: str
+) -> DataFrame:
+    """Running sum of ``value`` within each group, however large the group."""
+    return totals_in_ranges(ranged(df, group, order), group, order, value, name)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Position from 1 within each group, however large the group."""
     return running_total(df, group, order, F.lit(1).cast("bigint"), name)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listweave.operators.arrival import place
 from listweave.operators.spread import ROWS_PER_SALT, hot_keys, salted_join
 from listweave.session import pinned
 
@@ -95,7 +96,7 @@ def greedy_two_key(
         *group,
         F.coalesce(F.col(first), F.lit("")).alias("_a"),
         F.coalesce(F.col(second), F.lit("")).alias("_b"),
-        F.struct(*arrival).alias("_at"),
+        place(arrival).alias("_at"),
     )
     undecided = pinned(pairs.groupBy(*group, "_a", "_b").agg(F.min("_at").alias("_at")))
     kept: list[DataFrame] = []
@@ -130,7 +131,7 @@ def greedy_two_key(
     for more in kept[1:]:
         survivors = survivors.unionByName(more)
     return (
-        items.withColumn("_at", F.struct(*arrival))
+        items.withColumn("_at", place(arrival))
         .join(survivors, [*group, "_at"], "left_semi")
         .drop("_at")
     )

@@ -35,7 +35,6 @@ from listweave.session import pinned, use_utc
 from listweave.sources.json_pages import api_array, state_array
 from listweave.sources.registry import register
 
-ARRIVAL = ["origin_rank", "page_no", "pos"]
 PAGE = ["query", "query_pos", "origin_rank", "page_no"]
 
 
@@ -48,6 +47,12 @@ def ranked_pages(raw_pages: DataFrame) -> DataFrame:
     return raw_pages.withColumn("origin_rank", F.when(_is_state(), 0).otherwise(1))
 
 
+def arrival_number() -> Column:
+    """Origin, page and position in one number: a bit and twice 31 bits."""
+    rank, page_no = F.col("origin_rank").cast("bigint"), F.col("page_no").cast("bigint")
+    return F.shiftleft(rank, 62) + F.shiftleft(page_no, 31) + F.col("pos")
+
+
 def job_items(pages: DataFrame, strip_version: bool = False) -> DataFrame:
     """Keys and publish time of every job on the pages. API jobs may have an empty key."""
     state = state_array(F.col("payload"), STATE_KEYS_PAYLOAD)
@@ -93,12 +98,12 @@ def surviving_jobs(
         exempt=F.col("origin_rank") == 0,
     )
     items = consumed.select(*PAGE, F.posexplode("items").alias("pos", "item")).select(
-        *PAGE, "pos", "item.*"
+        *PAGE, "pos", arrival_number().alias("at"), "item.*"
     )
     keyed = items.filter((F.col("origin_rank") == 1) | (F.col("key") != ""))
-    kept = greedy_two_key(keyed, ["query"], "key", "other_key", ARRIVAL)
+    kept = greedy_two_key(keyed, ["query"], "key", "other_key", ["at"])
     dated = kept.withColumn("old", older_than_time(F.col("published"), as_of, days))
-    return collected(dated, ["query"], "old", ARRIVAL, count).select(*PAGE, "pos", "rank")
+    return collected(dated, ["query"], "old", ["at"], count).select(*PAGE, "pos", "rank")
 
 
 @register(JOB_SOURCE)
