@@ -27,7 +27,7 @@ def spend_band(amount: Column) -> Column:
 
 def plain_number(literal: Column) -> Column:
     """Parsed JSON numbers from ten million on come as ``1.5E7``; written out as ``15000000.0``."""
-    exact = F.rtrim(F.lit("0"), literal.try_cast("decimal(38,12)").cast("string"))
+    exact = F.rtrim(literal.try_cast("decimal(38,12)").cast("string"), F.lit("0"))
     whole = F.concat(exact, F.when(exact.endswith("."), "0").otherwise(""))
     return F.when(literal.rlike(r"^-?\d\.\d+E\d+$"), F.coalesce(whole, literal)).otherwise(literal)
 
