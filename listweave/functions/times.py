@@ -12,26 +12,28 @@ from pyspark.sql import functions as F
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _TIME = r"\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?"
-_ZONE = r"(Z|[+-]\d{2}:\d{2})?"
 ISO_DATE = f"^{_DATE}$"
-ISO_TIMESTAMP = f"^{_DATE}([T ]{_TIME}{_ZONE})?$"
-COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
-
-
-def _expanded(text: Column) -> Column:
-    return F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3")
+ISO_TIMESTAMP = f"^{_DATE}([T ]{_TIME}(Z|[+-]\\d{{2}}:\\d{{2}})?)?$"
+SHORT_ZONE = f"^({_DATE}[T ]{_TIME}[+-]\\d{{2}})(\\d{{2}})$"
+COMPACT_DATE = r"^\d{8}$"
 
 
 def iso_timestamp(text: Column) -> Column:
-    """Null unless the whole text is an ISO date or time; the guard keeps out the other
-    forms that a plain cast accepts, such as a bare year or a bare time of day."""
-    full = _expanded(text)
-    return F.when(full.rlike(ISO_TIMESTAMP), F.try_to_timestamp(full))
+    """Null unless the whole text is an ISO date or time. The pattern keeps out the other forms
+    that a plain cast accepts, such as a bare year or a bare time of day."""
+    with_colon = F.concat(F.left(text, F.length(text) - 2), F.lit(":"), F.right(text, F.lit(2)))
+    return (
+        F.when(text.rlike(ISO_TIMESTAMP), F.try_to_timestamp(text))
+        .when(text.rlike(COMPACT_DATE), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        .when(text.rlike(SHORT_ZONE), F.try_to_timestamp(with_colon))
+    )
 
 
 def iso_date(text: Column) -> Column:
-    full = _expanded(text)
-    return F.when(full.rlike(ISO_DATE), full.try_cast("date"))
+    compact = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
+    return F.when(text.rlike(ISO_DATE), text.try_cast("date")).when(
+        text.rlike(COMPACT_DATE), compact
+    )
 
 
 def cutoff_time(as_of: datetime, days: int | None) -> datetime | None:

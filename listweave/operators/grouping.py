@@ -13,7 +13,7 @@ def by_query(listings: DataFrame, query: str, order: list[str]) -> DataFrame:
     a query in one row.
 
     Positions are worked out on the order columns alone. The listings move once, in a join on
-    query and order, which no query can skew.
+    query and order, which no query can skew. Neither may be null.
     """
     places = numbered(listings.select(query, *order), [query], [F.col(c) for c in order], "pos")
     sizes = places.groupBy(query).agg(F.max("pos").alias("n_items"))

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from listweave.session import pinned
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+MOST_BROADCAST_ROWS = 2_000_000
 ROWS_PER_SALT = 1_000_000
 MOST_HOT_KEYS = 10_000
 
 
-def byte_size(df: DataFrame) -> int:
-    row = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
-    return row["bytes"] or 0
+def is_small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table may be broadcast: few rows, then few bytes, both counted."""
+    if table.count() > MOST_BROADCAST_ROWS:
+        return False
+    measured = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    return (table.agg(measured).first()["bytes"] or 0) <= most_bytes
 
 
 def hot_keys(counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
@@ -65,7 +69,7 @@ def salted_join(
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
-def group_join(
+def stored_join(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
@@ -74,15 +78,21 @@ def group_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join ``rows`` with a per-group ``table``: broadcast if the table is measured to be small,
-    salted otherwise."""
-    table = pinned(table)
-    if byte_size(table) <= broadcast_bytes:
+    """Join ``rows`` with a stored ``table`` that has a row per key: broadcast if the table is
+    measured to be small, salted otherwise. Key columns must not be null."""
+    if is_small(table, broadcast_bytes):
         return rows.join(F.broadcast(table), on, how)
     counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
     return salted_join(rows, table, on, how, spread, hot_keys(counts, rows_per_salt))
 
 
+def group_join(
+    rows: DataFrame, table: DataFrame, on: list[str], how: str, spread: list[str], **limits: int
+) -> DataFrame:
+    """As :func:`stored_join`, for a ``table`` that is still to be computed."""
+    return stored_join(rows, pinned(table), on, how, spread, **limits)
+
+
 def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Rows range-partitioned on group and order, with their partition number in ``_part``.
 

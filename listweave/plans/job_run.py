@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from listweave.functions import text
 from listweave.functions.times import older_than_time
 from listweave.operators.arrival import collected, consumed_pages
-from listweave.operators.spread import group_join
+from listweave.operators.spread import stored_join
 from listweave.operators.twokey import greedy_two_key
 from listweave.plans.normalise import (
     STATE_ORIGIN,
@@ -119,23 +119,17 @@ def collect_jobs(
     """Records of a run with ``query``, ``query_pos`` and ``rank``."""
     use_utc(raw_pages.sparkSession)
     survivors = surviving_jobs(raw_pages, count, days, as_of, page_size, strip_version)
-    per_page = survivors.groupBy(*PAGE).agg(
-        F.collect_list(F.struct("pos", "rank")).alias("_places")
+    places = pinned(
+        survivors.groupBy(*PAGE).agg(F.collect_list(F.struct("pos", "rank")).alias("places"))
     )
-    pages = ranked_pages(raw_pages).select(*PAGE, "payload")
-    full = group_join(pages, per_page, PAGE, "inner", ["payload"])
-    is_state = F.col("origin_rank") == 0
-
-    def jobs(array: Column) -> DataFrame:
-        parsed = full.select("query", "query_pos", array.alias("_jobs"), F.explode("_places").alias("_place"))
-        return parsed.select(
-            "query",
-            "query_pos",
-            F.col("_place")["rank"].alias("rank"),
-            F.element_at("_jobs", F.col("_place")["pos"] + 1).alias("job"),
-        )
+
+    def jobs(of_origin: Column, array: Column) -> DataFrame:
+        pages = ranked_pages(raw_pages.filter(of_origin)).select(*PAGE, "payload")
+        held = stored_join(pages, places, PAGE, "inner", ["payload"])
+        parsed = held.select("query", "query_pos", array.alias("jobs"), F.inline("places"))
+        job = F.element_at("jobs", F.col("pos") + 1)
+        return parsed.select("query", "query_pos", "rank", job.alias("job"))
 
     payload = F.col("payload")
-    state = jobs(F.when(is_state, state_array(payload, STATE_PAYLOAD))).filter("job is not null")
-    api = jobs(F.when(~is_state, api_array(payload))).filter("job is not null")
-    return state_listings(state, stamp).unionByName(api_listings(api, stamp))
+    state = state_listings(jobs(_is_state(), state_array(payload, STATE_PAYLOAD)), stamp)
+    return state.unionByName(api_listings(jobs(~_is_state(), api_array(payload)), stamp))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,19 +35,17 @@ class Store:
     key: str = "job_id"
     format: str = "parquet"
 
-    def _exists(self, spark: SparkSession) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
     def read(self, spark: SparkSession) -> DataFrame:
         """All records with their ``run_id``; none if the store does not exist yet."""
         schema = T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
-        if not self._exists(spark):
+        options = CSV_READ if self.format == "csv" else {}
+        try:
+            stored = spark.read.schema(schema).options(**options).format(self.format).load(self.path)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], schema)
-        reader = spark.read.schema(schema)
-        if self.format == "csv":
-            return reader.options(**CSV_READ).csv(self.path).fillna("")
-        return reader.format(self.format).load(self.path)
+        return stored.fillna("") if self.format == "csv" else stored
 
     def keys(self, spark: SparkSession, but_run: str | None = None) -> DataFrame:
         """Keys that are not empty, with repeats; enough for an anti join."""
@@ -66,11 +65,8 @@ class Store:
             .observe(seen, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
         )
-        target = f"{self.path}/run_id={run_id}"
-        if self.format == "csv":
-            writer.options(**CSV_WRITE).csv(target)
-        else:
-            writer.format(self.format).save(target)
+        options = CSV_WRITE if self.format == "csv" else {}
+        writer.options(**options).format(self.format).save(f"{self.path}/run_id={run_id}")
         return seen.get["rows"]
 
     def append_new(

@@ -19,8 +19,11 @@ def test_time_recency(value_of):
         "2026-03-29T13:59:59+02:00": True,
         "2026-03-29T14:00:00+02:00": False,
         "2026-03-29T11:59:59Z": True,
+        "2026-03-29T13:59:59+0200": True,
+        "2026-03-29T14:00+0200": False,
         "2026-03-28": True,
         "20260328": True,
+        "20260230": False,
         "2026": False,
         "10:00:00": False,
         "not-a-date": False,
