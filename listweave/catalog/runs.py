@@ -37,7 +37,7 @@ def _with_job_fields(events):
 
 
 def landed_json(spark, sf_dir):
-    """API pages of every feed, and a page-state page that repeats part of the first of them."""
+    """API pages of every feed, and page-state pages that repeat the jobs of high value."""
     events = _with_job_fields(table(spark, sf_dir, "events"))
     value, number = F.col("value"), F.floor("value").cast("string")
     inner = F.struct(
@@ -51,10 +51,10 @@ def landed_json(spark, sf_dir):
         "id", F.col("event_type").alias("title"), F.struct(inner.alias("job")).alias("jobTile")
     )
     state_job = F.struct(
-        F.when(value < 200, F.col("id")).alias("uid"),
+        F.when(value < 250, F.col("id")).alias("uid"),
         F.when(value < 300, F.col("cipher")).alias("ciphertext"),
         F.concat(F.lit("state "), "event_type").alias("title"),
-        F.col("published").alias("createdOn"),
+        F.lit("recently").alias("createdOn"),
         F.lit(2).alias("type"),
         F.struct(number.alias("amount")).alias("amount"),
         F.lit("1 to 3 months").alias("durationLabel"),
@@ -70,8 +70,8 @@ def landed_json(spark, sf_dir):
             payload.alias("payload"),
         )
 
-    on_state_page = (F.floor(F.col("event_id") / EVENTS_PER_PAGE) == 0) & (value >= 50)
-    state = events.filter(on_state_page).select("event_type", "event_id", state_job.alias("job"))
+    rich = events.filter(value >= 200)
+    state = rich.select("event_type", "event_id", state_job.alias("job"))
     api = events.select("event_type", "event_id", api_job.alias("job"))
     return landed(state, "state", F.to_json("jobs")).unionByName(
         landed(api, "api", in_envelope(F.col("jobs")))
@@ -92,9 +92,9 @@ JOB_RUN_SQL = """
         SELECT event_type, page_no, count(*) AS n FROM jobs GROUP BY ALL) WHERE n < 75 GROUP BY ALL),
     items AS (
       SELECT 0 AS branch, *,
-             CASE WHEN value < 200 THEN id WHEN value < 300 THEN cipher ELSE '' END AS a, a AS b,
+             CASE WHEN value < 250 THEN id WHEN value < 300 THEN cipher ELSE '' END AS a, a AS b,
              CASE WHEN value < 300 THEN cipher ELSE '' END AS link
-      FROM jobs WHERE page_no = 0 AND value >= 50 AND a <> ''
+      FROM jobs WHERE value >= 200 AND a <> ''
       UNION ALL
       SELECT 1, jobs.*, id, substr(cipher, 3), cipher
       FROM jobs LEFT JOIN ends USING (event_type) WHERE page_no <= coalesce(last_page, page_no)),
@@ -114,7 +114,8 @@ JOB_RUN_SQL = """
       QUALIFY row_number() OVER (PARTITION BY event_type, a, b ORDER BY branch, event_id) = 1),
     ranked AS (
       SELECT *, row_number() OVER w AS rank,
-             max(CAST(value >= 20 AND moment < TIMESTAMP '2024-01-26' AS INT)) OVER w AS stopped
+             max(CAST(branch = 1 AND value >= 20 AND moment < TIMESTAMP '2024-01-26' AS INT))
+               OVER w AS stopped
       FROM kept
       WINDOW w AS (PARTITION BY event_type ORDER BY branch, event_id ROWS UNBOUNDED PRECEDING))
     SELECT event_type AS query, rank, a AS job_id,
@@ -122,7 +123,7 @@ JOB_RUN_SQL = """
            CASE WHEN branch = 1 AND value < 100
                 THEN '$' || CAST(floor(value) AS BIGINT) || '-$?/hr'
                 ELSE '$' || CAST(floor(value) AS BIGINT) END AS budget,
-           published AS publish_time,
+           CASE branch WHEN 0 THEN 'recently' ELSE published END AS publish_time,
            CASE link WHEN '' THEN 'N/A' ELSE 'https://www.upwork.com/jobs/' || link END AS url,
            CASE branch WHEN 0 THEN '1 to 3 months' ELSE 'N/A' END AS duration
     FROM ranked WHERE rank <= 900 AND stopped = 0

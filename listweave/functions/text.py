@@ -25,9 +25,12 @@ def first_filled(*choices: Column, default: str | None = None) -> Column:
     return F.coalesce(*picked)
 
 
+# White space at the ends of a text, of any kind; ``trim`` alone takes blanks only.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def stripped(text: Column) -> Column:
-    """Without leading and trailing white space of any kind; ``trim`` takes blanks only."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:
