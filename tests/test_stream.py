@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listweave.operators.arrival import first_seen
 from listweave.schemas import RAW_PAGES
@@ -43,26 +44,26 @@ def test_only_new_files_and_only_new_keys(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [("q", str(i % 7), i) for i in range(60)]
-    df = spark.createDataFrame(rows, "query string, job_id string, pos int")
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    schema = "job_id string, pos int"
-    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-
-    record = StructType([StructField("job_id", StringType()), StructField("query", StringType())])
-    store = Store(str(tmp_path / "store"), record)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "in")
+    rows = [("q", str(i % 25), i) for i in range(60)]
+    schema = "query string, job_id string, pos int"
+    for start in (0, 20, 40):
+        part = spark.createDataFrame(rows[start : start + 20], schema)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    store = Store(str(tmp_path / "store"), StructType.fromDDL("job_id string, query string"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     start_incremental(
         stream,
-        lambda b: first_seen(b, ["query", "job_id"], ["pos"]),
+        lambda batch: first_seen(batch, ["query", "job_id"], ["pos"]),
         store,
         str(tmp_path / "checkpoint"),
         ["pos"],
     ).awaitTermination()
-    batch = first_seen(df, ["query", "job_id"], ["pos"]).select("job_id", "query")
+    batch = first_seen(spark.createDataFrame(rows, schema), ["query", "job_id"], ["pos"])
     got = store.read(spark)
     assert got.select("run_id").distinct().count() > 1
-    assert sorted(got.select("job_id", "query").collect()) == sorted(batch.collect())
+    expected = batch.select("job_id", "query").collect()
+    assert sorted(got.select("job_id", "query").collect()) == sorted(expected)
 
 
 def test_bounded_dedup(spark, tmp_path):
