@@ -30,18 +30,15 @@ FEED = "event_type"
 )
 def collect_recent(spark, sf_dir):
     """Newest first: dedup by user, stop two days back, at most 100 per feed."""
+    old = times.older_than_time(iso_text("ts"), datetime(2024, 1, 30), 2)
     events = (
         table(spark, sf_dir, "events")
         .filter(F.col("user_id").isNotNull())
-        .select(FEED, "user_id", "event_id", iso_text("ts").alias("published"))
-        .withColumn("age", -F.col("event_id"))
+        .select(FEED, "user_id", (-F.col("event_id")).alias("age"), old.alias("old"))
     )
     unique = arrival.first_seen(events, [FEED, "user_id"], ["age"])
-    dated = unique.withColumn(
-        "old", times.older_than_time(F.col("published"), datetime(2024, 1, 30), 2)
-    )
-    return arrival.collected(dated, [FEED], "old", ["age"], 100).select(
-        FEED, "user_id", "event_id", "rank"
+    return arrival.collected(unique, [FEED], "old", ["age"], 100).select(
+        FEED, "user_id", (-F.col("age")).alias("event_id"), "rank"
     )
 
 

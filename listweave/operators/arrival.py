@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listweave.operators.spread import group_join, numbered, ranged, totals_in_ranges
 
@@ -20,11 +21,25 @@ def place(arrival: list[str]) -> Column:
     return F.col(arrival[0]) if len(arrival) == 1 else F.struct(*arrival)
 
 
+def _fixed_width(items: DataFrame, names: list[str]) -> bool:
+    types = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return all(isinstance(items.schema[name].dataType, types) for name in names)
+
+
 def first_seen(items: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
-    """First item of each key. An aggregate: every map task sends at most one row per key."""
+    """First item of each key. An aggregate: every map task sends at most one row per key.
+
+    If arrival is one number and nothing but numbers goes along, a hash aggregate takes the
+    columns one by one; otherwise a sort aggregate takes the item as a whole.
+    """
     rest = [c for c in items.columns if c not in key]
-    first = F.min_by(F.struct(*rest), place(arrival))
-    return items.groupBy(*key).agg(first.alias("_first")).select(
+    at = place(arrival)
+    if len(arrival) == 1 and _fixed_width(items, rest):
+        firsts = [F.min(c) if c == arrival[0] else F.min_by(c, at) for c in rest]
+        grouped = items.groupBy(*key).agg(*[f.alias(c) for f, c in zip(firsts, rest)])
+        return grouped.select(*items.columns)
+    grouped = items.groupBy(*key).agg(F.min_by(F.struct(*rest), at).alias("_first"))
+    return grouped.select(
         *[F.col(c) if c in key else F.col("_first")[c].alias(c) for c in items.columns]
     )
 

@@ -14,11 +14,11 @@ MOST_HOT_KEYS = 10_000
 
 
 def is_small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a stored table may be broadcast: few rows, then few bytes, both counted."""
-    if table.count() > MOST_BROADCAST_ROWS:
-        return False
-    measured = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
-    return (table.agg(measured).first()["bytes"] or 0) <= most_bytes
+    """Whether a stored table may be broadcast, by its measured rows and bytes."""
+    size = table.agg(
+        F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    ).first()
+    return size["rows"] <= MOST_BROADCAST_ROWS and (size["bytes"] or 0) <= most_bytes
 
 
 def hot_keys(counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:

@@ -32,6 +32,11 @@ def state_publish_time(job: Column) -> Column:
     return text.first_filled(job["publishedOn"], job["createdOn"])
 
 
+def spent_amount(job: Column) -> Column:
+    """What the client of a page-state job has spent, before it becomes a band."""
+    return job["client"]["totalSpent"]["amount"].try_cast(money.AMOUNT)
+
+
 def _projected(
     df: DataFrame, fields: dict[str, Column], order: list[str], stamp: Column | None
 ) -> DataFrame:
@@ -116,7 +121,8 @@ def board_listings(df: DataFrame, stamp: Column | None = None) -> DataFrame:
 
 
 def with_typed_job_columns(listings: DataFrame) -> DataFrame:
-    """Typed companions of the text columns of a job record."""
+    """Typed companions of the text columns of a job record. The exact amount spent is not in the
+    record; take :func:`spent_amount` along as a column of its own."""
     lowest, highest = money.budget_bounds(F.col("budget"))
     verified = F.col("client_payment_verified")
     return listings.select(

@@ -85,6 +85,14 @@ def test_first_seen_keeps_all_columns_of_the_first(spark):
     assert [tuple(r) for r in arrival.first_seen(rows, ["k"], ["at"]).collect()] == [("a", 1, "early")]
 
 
+def test_first_seen_of_numbers_is_a_hash_aggregate(spark):
+    rows = [("a", 2, 5.0, None), ("a", 1, 7.0, True), ("b", 3, None, False)]
+    df = spark.createDataFrame(rows, "k string, at int, v double, flag boolean")
+    first = arrival.first_seen(df, ["k"], ["at"])
+    assert sorted(map(tuple, first.collect())) == [("a", 1, 7.0, True), ("b", 3, None, False)]
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+
+
 def pages(spark, sizes, query="q"):
     return spark.createDataFrame(
         [(query, i, n) for i, n in enumerate(sizes)], "query string, page int, n int"

@@ -139,9 +139,11 @@ def test_typed_companions(spark):
     found = json_pages.state_jobs(pages(spark, [{
         "uid": "1", "type": 1, "hourlyBudget": {"min": 5, "max": 9.5}, "createdOn": "2026-03-30",
         "attrs": [{"prettyName": "a"}, {"prettyName": "b"}],
-        "client": {"isPaymentVerified": False, "totalReviews": 3, "totalFeedback": 4.5},
-    }]))
+        "client": {"isPaymentVerified": False, "totalReviews": 3, "totalFeedback": 4.5,
+                   "totalSpent": {"amount": 1234.5}},
+    }])).withColumn("total_spent", normalise.spent_amount(F.col("job")))
     got = normalise.with_typed_job_columns(normalise.state_listings(found)).first()
+    assert str(got.total_spent) == "1234.50" and got.client_total_spent == "$1K+"
     assert (str(got.budget_min), str(got.budget_max)) == ("5.00", "9.50")
     assert got.skills_arr == ["a", "b"] and got.payment_verified is False
     assert (got.total_reviews, got.total_feedback, str(got.publish_ts)[:10]) == (3, 4.5, "2026-03-30")

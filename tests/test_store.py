@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import os
 
 import pytest
@@ -110,3 +111,18 @@ def test_columns_in_record_order_and_one_header(spark, tmp_path):
     assert lines.count(",".join(JOB_LISTING.names)) == len({l for l in lines if l.startswith("job_id,")})
     assert len([l for l in lines if not l.startswith("job_id,")]) == 2
     assert store.read(spark).columns == [*JOB_LISTING.names, "run_id"]
+
+
+def test_store_written_by_the_csv_module_is_taken_over(spark, tmp_path):
+    store = Store(str(tmp_path / "s"), JOB_LISTING, format="csv")
+    folder = tmp_path / "s" / "run_id=import"
+    folder.mkdir(parents=True)
+    with open(folder / "listings.csv", "w", newline="", encoding="utf-8") as target:
+        writer = csv.DictWriter(target, fieldnames=JOB_LISTING.names)
+        writer.writeheader()
+        for i, text in enumerate(AWKWARD):
+            writer.writerow({"job_id": str(i), "title": text, "scraped_at": "end"})
+    rows = store.read(spark).collect()
+    assert {r.job_id: r.title for r in rows} == {str(i): text for i, text in enumerate(AWKWARD)}
+    assert {(r.scraped_at, r.url) for r in rows} == {("end", "")}
+    assert counts(store.append_new(listings(spark, "1", "x"), "r1", ARRIVAL)) == {"q": (2, 1, 1)}
