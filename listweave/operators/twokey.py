@@ -2,8 +2,8 @@
 
 In arrival order, an item is kept unless one of its two keys has been taken; a kept item takes
 both keys, a dropped one takes none. That depends on order, yet most of it can be settled at once:
-an item that no earlier undecided item competes with is kept, and what competes with a kept item
-is dropped. Rounds of that settle items in parallel, with aggregates and joins on the keys only.
+an item that is the earliest undecided one on each of its keys is kept, and what shares a key with
+a kept item is dropped. Rounds of that settle items in parallel, with aggregates and joins only.
 """
 
 from __future__ import annotations
@@ -13,46 +13,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listweave.operators.arrival import place
-from listweave.operators.spread import ROWS_PER_SALT, hot_keys, salted_join
+from listweave.operators.spread import ROWS_PER_SALT, group_join, hot_keys, salted_join
 from listweave.session import pinned
 
 # A remainder of at most this many items is settled in order, one task per group.
 FINISH_ROWS = 250_000
 
 
-def _by_key(items: DataFrame, group: list[str]) -> DataFrame:
-    """Per key, the items that look it up and the earliest that would take it.
+def _keys(items: DataFrame, group: list[str]) -> DataFrame:
+    """One row per key of each item."""
+    keys = F.array_distinct(F.array("_a", "_b"))
+    return items.select(*group, "_at", F.explode(keys).alias("_key"))
 
-    An empty second key is looked up but never taken.
+
+def _with_own_keys(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs without an empty second key.
+
+    An empty second key is looked up but never taken, and only items without any key take the
+    empty one. The first of those is always kept, so it drops the look-ups that come later; the
+    earlier ones find the key free and count by their first key alone.
     """
-    first = F.struct(F.col("_a").alias("_key"), F.lit(True).alias("_takes"))
-    second = F.struct(F.col("_b").alias("_key"), (F.col("_b") != "").alias("_takes"))
-    keys = F.when(F.col("_a") == F.col("_b"), F.array(first)).otherwise(F.array(first, second))
+    looks_up = (F.col("_b") == "") & (F.col("_a") != "")
+    if pairs.filter(looks_up).isEmpty():
+        return pairs
+    empties = pairs.filter(F.col("_a") == "").groupBy(*group).agg(F.min("_at").alias("_empty"))
+    too_late = F.coalesce(F.col("_at") > F.col("_empty"), F.lit(False))
     return (
-        items.select(*group, "_at", F.inline(keys))
+        group_join(pairs, empties, group, "left", ["_a", "_b"])
+        .filter(~(looks_up & too_late))
+        .withColumn("_b", F.when(looks_up, F.col("_a")).otherwise(F.col("_b")))
+        .drop("_empty")
+    )
+
+
+def _settled(undecided: DataFrame, group: list[str]) -> DataFrame:
+    """Undecided items with ``_wins``: whether they are the earliest on all their keys.
+
+    Each key names its earliest item; an item that is named by all of its keys wins.
+    """
+    named = (
+        _keys(undecided, group)
         .groupBy(*group, "_key")
-        .agg(
-            F.min(F.when(F.col("_takes"), F.col("_at"))).alias("_claim"),
-            F.count("*").alias("_n"),
-        )
+        .agg(F.min("_at").alias("_at"))
+        .groupBy(*group, "_at")
+        .agg(F.count("*").alias("_named"))
+    )
+    n_keys = F.when(F.col("_a") == F.col("_b"), 1).otherwise(2)
+    return (
+        undecided.join(named, [*group, "_at"], "left")
+        .withColumn("_wins", F.coalesce(F.col("_named") == n_keys, F.lit(False)))
+        .drop("_named")
     )
 
 
-def _look_up(
-    items: DataFrame, table: DataFrame, group: list[str], hot: DataFrame | None
+def _not_taken(
+    items: DataFrame, taken: DataFrame, group: list[str], rows_per_salt: int | None
 ) -> DataFrame:
-    """Adds the claim on the first and on the second key, as ``_claim_a`` and ``_claim_b``."""
+    """Items neither of whose keys is taken; hot keys are split unless ``rows_per_salt`` is None."""
     for side in ("_a", "_b"):
-        names = {"_key": side, "_claim": "_claim" + side}
-        hot_side = None if hot is None else hot.withColumnRenamed("_key", side)
-        items = salted_join(
-            items,
-            table.withColumnsRenamed(names),
-            [*group, side],
-            "left",
-            ["_a", "_b"],
-            hot_side,
-        )
+        on = [*group, side]
+        hot = None
+        if rows_per_salt is not None:
+            hot = hot_keys(items.groupBy(*on).agg(F.count("*").alias("_n")), rows_per_salt)
+        of_side = taken.withColumnRenamed("_key", side)
+        items = salted_join(items, of_side, on, "left_anti", ["_a", "_b"], hot)
     return items
 
 
@@ -70,9 +94,7 @@ def _in_order(items: DataFrame, group: list[str]) -> DataFrame:
             free = first not in taken and second not in taken
             kept.append(free)
             if free:
-                taken.add(first)
-                if second:
-                    taken.add(second)
+                taken.update((first, second))
         return pdf[[*group, "_rank"]][kept]
 
     names = items.select(*group).schema
@@ -92,39 +114,30 @@ def greedy_two_key(
 ) -> DataFrame:
     """Items kept by the greedy rule. Both key columns are text and share one name space."""
     # Of items with the same pair of keys only the earliest can be kept.
-    pairs = items.select(
-        *group,
-        F.coalesce(F.col(first), F.lit("")).alias("_a"),
-        F.coalesce(F.col(second), F.lit("")).alias("_b"),
-        place(arrival).alias("_at"),
+    pairs = pinned(
+        items.select(
+            *group,
+            F.coalesce(F.col(first), F.lit("")).alias("_a"),
+            F.coalesce(F.col(second), F.lit("")).alias("_b"),
+            place(arrival).alias("_at"),
+        )
+        .groupBy(*group, "_a", "_b")
+        .agg(F.min("_at").alias("_at"))
     )
-    undecided = pinned(pairs.groupBy(*group, "_a", "_b").agg(F.min("_at").alias("_at")))
+    undecided = _with_own_keys(pairs, group)
     kept: list[DataFrame] = []
-    at = F.col("_at")
     while True:
-        by_key = pinned(_by_key(undecided, group))
-        hot = hot_keys(by_key.select(*group, "_key", "_n"), rows_per_salt)
-        unrivalled = (at <= F.coalesce("_claim_a", at)) & (at <= F.coalesce("_claim_b", at))
-        settled = pinned(
-            _look_up(undecided, by_key.drop("_n"), group, hot).select(
-                *group, "_a", "_b", "_at", unrivalled.alias("_wins")
-            )
-        )
+        settled = pinned(_settled(undecided, group))
         winners = settled.filter("_wins").drop("_wins")
+        losers = settled.filter("not _wins").drop("_wins")
+        taken = _keys(winners, group).drop("_at")
         kept.append(winners.select(*group, "_at"))
-        taken = _by_key(winners, group).filter(F.col("_claim").isNotNull()).drop("_n")
-        free = ~F.coalesce(F.col("_claim_a") < at, F.lit(False)) & ~F.coalesce(
-            F.col("_claim_b") < at, F.lit(False)
-        )
-        undecided = pinned(
-            _look_up(settled.filter(~F.col("_wins")).drop("_wins"), taken, group, hot)
-            .filter(free)
-            .select(*group, "_a", "_b", "_at")
-        )
-        left = undecided.count()
+        left = losers.count()
         if left == 0:
             break
-        if left <= finish_rows:
+        few = left <= finish_rows
+        undecided = pinned(_not_taken(losers, taken, group, None if few else rows_per_salt))
+        if few or undecided.count() <= finish_rows:
             kept.append(_in_order(undecided, group))
             break
     survivors = kept[0]
