@@ -68,6 +68,12 @@ def older_than_date(text: Column, as_of: datetime, days: int | None) -> Column:
     return F.coalesce(iso_date(text) < F.lit(day.isoformat()).cast("date"), F.lit(False))
 
 
+def newest_first(text: Column) -> Column:
+    """Sort value that puts the newest time first and unreadable ones last; for arrival when the
+    landed order is unknown."""
+    return F.coalesce(-F.unix_micros(iso_timestamp(text)), F.lit(2**63 - 1))
+
+
 # Seconds of the coarse windows (a day, a week, a month).
 DAY_SECONDS = 86400
 WEEK_SECONDS = 604800

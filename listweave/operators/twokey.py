@@ -26,20 +26,20 @@ def _keys(items: DataFrame, group: list[str]) -> DataFrame:
     return items.select(*group, "_at", F.explode(keys).alias("_key"))
 
 
-def _with_own_keys(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Pairs without an empty second key.
+def _with_own_keys(items: DataFrame, group: list[str]) -> DataFrame:
+    """Items without an empty second key.
 
     An empty second key is looked up but never taken, and only items without any key take the
     empty one. The first of those is always kept, so it drops the look-ups that come later; the
     earlier ones find the key free and count by their first key alone.
     """
     looks_up = (F.col("_b") == "") & (F.col("_a") != "")
-    if pairs.filter(looks_up).isEmpty():
-        return pairs
-    empties = pairs.filter(F.col("_a") == "").groupBy(*group).agg(F.min("_at").alias("_empty"))
+    if items.filter(looks_up).isEmpty():
+        return items
+    empties = items.filter(F.col("_a") == "").groupBy(*group).agg(F.min("_at").alias("_empty"))
     too_late = F.coalesce(F.col("_at") > F.col("_empty"), F.lit(False))
     return (
-        group_join(pairs, empties, group, "left", ["_a", "_b"])
+        group_join(items, empties, group, "left", ["_a", "_b"])
         .filter(~(looks_up & too_late))
         .withColumn("_b", F.when(looks_up, F.col("_a")).otherwise(F.col("_b")))
         .drop("_empty")
@@ -112,19 +112,18 @@ def greedy_two_key(
     finish_rows: int = FINISH_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Items kept by the greedy rule. Both key columns are text and share one name space."""
-    # Of items with the same pair of keys only the earliest can be kept.
-    pairs = pinned(
-        items.select(
-            *group,
-            F.coalesce(F.col(first), F.lit("")).alias("_a"),
-            F.coalesce(F.col(second), F.lit("")).alias("_b"),
-            place(arrival).alias("_at"),
-        )
-        .groupBy(*group, "_a", "_b")
-        .agg(F.min("_at").alias("_at"))
+    """Items kept by the greedy rule. Both key columns are text and share one name space; an item
+    with an empty first key has an empty second one. Arrival is unique within a group.
+
+    ``items`` is read more than once, so it should be a stored table or little work away from one.
+    """
+    keyed = items.select(
+        *group,
+        F.coalesce(F.col(first), F.lit("")).alias("_a"),
+        F.coalesce(F.col(second), F.lit("")).alias("_b"),
+        place(arrival).alias("_at"),
     )
-    undecided = _with_own_keys(pairs, group)
+    undecided = _with_own_keys(keyed, group)
     kept: list[DataFrame] = []
     while True:
         settled = pinned(_settled(undecided, group))

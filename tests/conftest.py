@@ -12,7 +12,7 @@ from listweave.session import local_session  # noqa: E402
 
 
 # Columns can only be named once a session runs, so it starts before the test modules load.
-SESSION = local_session("4", shuffle_partitions=4)
+SESSION = local_session("4", shuffle_partitions=2)
 SESSION.sparkContext.setLogLevel("ERROR")
 
 

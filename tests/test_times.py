@@ -79,3 +79,10 @@ def test_ingest_stamp(spark):
     assert len(stamp) == len("2026-03-30T10:00:00+00:00") and stamp.endswith("+00:00")
     age = datetime.now(timezone.utc) - datetime.fromisoformat(stamp)
     assert timedelta(0) <= age < timedelta(minutes=5)
+
+
+def test_newest_first(spark):
+    times_ = ["2026-03-01", "x", "2026-03-30T10:00:00Z", None, "2026-03-30T10:00:00.5Z"]
+    df = spark.createDataFrame([(t,) for t in times_], "a string")
+    got = [r.a for r in df.orderBy(times.newest_first(A), F.col("a").desc()).collect()]
+    assert got == ["2026-03-30T10:00:00.5Z", "2026-03-30T10:00:00Z", "2026-03-01", "x", None]

@@ -49,8 +49,8 @@ def test_empty_keys(spark, finish_rows):
 
 
 def test_long_chain_in_rounds(spark):
-    rows = [("q", str(i), str(i + 1), i) for i in range(12)]
-    assert kept(spark, rows, finish_rows=0) == {("q", i) for i in range(0, 12, 2)}
+    rows = [("q", str(i), str(i + 1), i) for i in range(8)]
+    assert kept(spark, rows, finish_rows=0) == {("q", i) for i in range(0, 8, 2)}
 
 
 @pytest.mark.parametrize("options", [
@@ -62,8 +62,8 @@ def test_random_items_agree_with_a_loop(spark, options):
     dice = random.Random(3)
     rows = [("star", "hot", str(i), i) for i in range(120)]
     rows += [("same", "hot", "hot", i) for i in range(120)]
-    for query, names in (("x", 40), ("y", 90)):
-        for i in range(200):
+    for query, names in (("x", 30), ("y", 60)):
+        for i in range(90):
             a, b = str(dice.randrange(names)), str(dice.randrange(names))
             rows.append((query, "" if a == "0" else a, "" if a == "0" or b == "0" else b, i))
     assert kept(spark, rows, **options) == brute(rows)
