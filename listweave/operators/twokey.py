@@ -39,7 +39,7 @@ def _with_own_keys(items: DataFrame, group: list[str]) -> DataFrame:
     empties = items.filter(F.col("_a") == "").groupBy(*group).agg(F.min("_at").alias("_empty"))
     too_late = F.coalesce(F.col("_at") > F.col("_empty"), F.lit(False))
     return (
-        group_join(items, empties, group, "left", ["_a", "_b"])
+        group_join(items, empties, group, "left", ["_at"])
         .filter(~(looks_up & too_late))
         .withColumn("_b", F.when(looks_up, F.col("_a")).otherwise(F.col("_b")))
         .drop("_empty")
@@ -76,7 +76,7 @@ def _not_taken(
         if rows_per_salt is not None:
             hot = hot_keys(items.groupBy(*on).agg(F.count("*").alias("_n")), rows_per_salt)
         of_side = taken.withColumnRenamed("_key", side)
-        items = salted_join(items, of_side, on, "left_anti", ["_a", "_b"], hot)
+        items = salted_join(items, of_side, on, "left_anti", ["_at"], hot)
     return items
 
 

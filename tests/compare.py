@@ -17,16 +17,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def duck_rows(connection, sql: str) -> tuple[list[str], list[str], list[str]]:
+def duck_rows(connection, sql: str) -> tuple[list[str], list[str]]:
     result = connection.execute(sql)
     names = [d[0] for d in result.description]
-    types = [str(d[1]) for d in result.description]
-    return names, types, _texts(names, result.fetchall())
+    return names, _texts(names, result.fetchall())
 
 
-def spark_rows(df) -> tuple[list[str], list[str], list[str]]:
-    types = [f.dataType.simpleString() for f in df.schema]
-    return df.columns, types, _texts(df.columns, [tuple(r) for r in df.collect()])
+def spark_rows(df) -> tuple[list[str], list[str]]:
+    return df.columns, _texts(df.columns, [tuple(r) for r in df.collect()])
 
 
 def _texts(names: list[str], rows: list[tuple]) -> list[str]:
