@@ -120,56 +120,74 @@ def tree(html: str | None) -> Element:
 
 
 def _text_of(element: Element | None, between: str = "") -> str:
-    return element.text(between) if element else ""
+    return "" if element is None else element.text(between)
 
 
 def _attr_of(element: Element | None, name: str) -> str:
-    return element.attrs.get(name, "") if element else ""
+    return "" if element is None else element.attrs.get(name, "")
+
+
+# Attribute and class names that mark the fields of a card.
+CARD_KEY = "data-entity-urn"
+CARD_TITLE = ("base-search-card__title",)
+CARD_COMPANY = ("base-search-card__subtitle",)
+CARD_LOCATION = ("job-search-card__location",)
+CARD_LINK = ("base-card__full-link",)
+
+# Class names that mark the fields of a detail page.
+DETAIL_TEXT = ("show-more-less-html__markup",)
+CRITERION = ("description__job-criteria-item",)
+CRITERION_HEADER = ("description__job-criteria-subheader",)
+CRITERION_VALUE = (
+    "description__job-criteria-text--criteria",
+    "description__job-criteria-text",
+)
+APPLICANTS = (
+    "num-applicants__caption",
+    "num-applicants__caption--reached-applicant-limit",
+)
+WORKPLACE = (
+    "workplace-type",
+    "jobs-unified-top-card__workplace-type",
+)
 
 
 def _cards(html: str | None) -> list[dict]:
     found = []
     for item in tree(html).every("li"):
-        box = item.first("div", attr="data-entity-urn")
-        key = _attr_of(box, "data-entity-urn").rpartition(":")[2]
-        if not key:
-            continue
-        found.append(
-            {
-                "job_id": key,
-                "title": _text_of(box.first("h3", ("base-search-card__title",))),
-                "company": _text_of(box.first("h4", ("base-search-card__subtitle",))),
-                "location": _text_of(box.first(classes=("job-search-card__location",))),
-                "publish_time": _attr_of(box.first("time"), "datetime"),
-                "url": _attr_of(box.first("a", ("base-card__full-link",)), "href"),
-            }
-        )
+        box = item.first("div", attr=CARD_KEY)
+        key = _attr_of(box, CARD_KEY).rpartition(":")[2]
+        if key:
+            found.append(
+                {
+                    "job_id": key,
+                    "title": _text_of(box.first("h3", CARD_TITLE)),
+                    "company": _text_of(box.first("h4", CARD_COMPANY)),
+                    "location": _text_of(box.first(classes=CARD_LOCATION)),
+                    "publish_time": _attr_of(box.first("time"), "datetime"),
+                    "url": _attr_of(box.first("a", CARD_LINK), "href"),
+                }
+            )
     return found
 
 
+def _criteria(page: Element) -> dict[str, str]:
+    """By header in lower case; a repeated header keeps its last value."""
+    pairs = (
+        (item.first(classes=CRITERION_HEADER), item.first(classes=CRITERION_VALUE))
+        for item in page.every(classes=CRITERION)
+    )
+    return {h.text().lower(): v.text() for h, v in pairs if h is not None and v is not None}
+
+
 def _detail(html: str | None) -> dict:
     page = tree(html)
-    criteria: dict[str, str] = {}
-    for item in page.every(classes=("description__job-criteria-item",)):
-        header = item.first(classes=("description__job-criteria-subheader",))
-        value = item.first(
-            classes=("description__job-criteria-text--criteria", "description__job-criteria-text")
-        )
-        if header and value:
-            criteria[header.text().lower()] = value.text()
-    badge = page.first(classes=("workplace-type", "jobs-unified-top-card__workplace-type"))
+    badge = page.first(classes=WORKPLACE)
     return {
-        "description": _text_of(page.first(classes=("show-more-less-html__markup",)), "\n"),
-        "criteria": criteria,
-        "applicant_count": _text_of(
-            page.first(
-                classes=(
-                    "num-applicants__caption",
-                    "num-applicants__caption--reached-applicant-limit",
-                )
-            )
-        ),
-        "workplace_badge": badge.text() if badge else None,
+        "description": _text_of(page.first(classes=DETAIL_TEXT), "\n"),
+        "criteria": _criteria(page),
+        "applicant_count": _text_of(page.first(classes=APPLICANTS)),
+        "workplace_badge": None if badge is None else badge.text(),
     }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listweave.schemas import JOB_LINK_BASE
 
+# The mark of a missing text, the length of an excerpt, the number of skills.
 MISSING = "N/A"
 EXCERPT_CHARS = 500
 TOP_SKILLS = 5
