@@ -7,15 +7,20 @@ is ignored. Script and style text is not part of the text of an element.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from listweave.schemas import CARD, DETAIL, HEADINGS, LINK
 
+# The code of this module travels with the tasks, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements that have no content.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
