@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(np.asarray(starts, np.int64) - before, lengths) + np.arange(lengths.sum())
+
+
+def lots(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with a bounded number of bytes of text, a longer text on its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    before = np.cumsum(sizes) - sizes
+    cuts = [0, *(np.flatnonzero(np.diff(before // most_bytes)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -23,6 +23,7 @@ from listweave.llm.common import (
     ends_of,
     fresh,
     large_texts,
+    lots,
     split_words,
     translated,
     with_row_id,
@@ -34,6 +35,7 @@ SEED = 42
 PARTS = 4
 PART_BITS = 64 // PARTS
 SHINGLES_AT_ONCE = 200_000
+TEXT_BYTES = 2 << 20
 CELLS_AT_ONCE = 1 << 20
 
 
@@ -77,10 +79,11 @@ def with_fingerprint(docs: DataFrame, shingle: int, name: str, keep: list[str])
     work = docs.select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = fingerprints_of(batch.column(batch.num_columns - 1), shingle)
-            columns = [*batch.columns[:-1], pa.array(prints.view(np.int64))]
-            yield pa.record_batch(columns, names=[*keep, name])
+        for whole in batches:
+            for batch in lots(whole, whole.num_columns - 1, TEXT_BYTES):
+                prints = fingerprints_of(batch.column(batch.num_columns - 1), shingle)
+                columns = [*batch.columns[:-1], pa.array(prints.view(np.int64))]
+                yield pa.record_batch(columns, names=[*keep, name])
 
     return work.mapInArrow(run, docs.select(*keep, F.lit(0).cast("bigint").alias(name)).schema)
 
