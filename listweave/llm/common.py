@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,15 @@ def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 def large_texts(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """Texts with null as the empty text and offsets from zero."""
+    """Texts with null as the empty text; offsets start at zero and the data is theirs alone."""
     texts = pc.fill_null(one_array(column).cast(pa.large_string()), "")
-    if len(texts) and texts.offset:
-        texts = pa.concat_arrays([texts])
-    return texts
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    places = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    own = data.slice(places[0], places[-1] - places[0])
+    buffers = [None, pa.py_buffer(places - places[0]), own]
+    return pa.Array.from_buffers(texts.type, len(texts), buffers)
 
 
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
@@ -95,3 +101,10 @@ def lots(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.Rec
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder as Spark names it."""
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)

@@ -1,4 +1,8 @@
-"""Queries of the operators of this folder over the whole tables of a data folder."""
+"""Queries of the operators of this folder over the whole tables of a data folder.
+
+SQL cannot express any of them (hash fingerprints, tokenizers, trained models, greedy maps), so none
+has SQL; the tests compare each with a brute-force version.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listweave.llm import decontam, mixing, quality, sharding, simhash
+from listweave.llm import (
+    decontam,
+    embeddings,
+    langid,
+    lm_scoring,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    tokens,
+)
 from listweave.session import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,14 +31,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary of the public tokenizers, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_index(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
+    )
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -44,7 +90,12 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_simhash,
+        op2_token_output,
+        op3_lm_scoring,
+        op4_token_counts,
         op5_sharding,
+        op6_language,
+        op7_embeddings,
         op8_quality,
         op9_decontamination,
         op10_mixing,
