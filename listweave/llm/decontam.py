@@ -17,7 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listweave.llm.common import ALNUM, ends_of, fresh, large_texts, split_words, translated
+from listweave.llm.common import (
+    ALNUM,
+    ends_of,
+    fresh,
+    large_texts,
+    lots,
+    split_words,
+    translated,
+)
 from listweave.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -183,15 +191,6 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[tuple[list[str | Non
         yield ids, texts
 
 
-def _shards(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of rows with a bounded number of bytes, a longer text on its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    lot = (np.cumsum(sizes) - sizes) // SHARD_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
 def with_hits(
     docs: DataFrame,
     bench: DataFrame,
@@ -219,7 +218,7 @@ def with_hits(
     def step(phrases) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in _shards(whole, at):
+                for batch in lots(whole, at, SHARD_BYTES):
                     earlier = batch.column(batch.num_columns - 1).to_pylist()
                     hits = hits_in(batch.column(at), Phrases(*phrases.value))
                     found = []

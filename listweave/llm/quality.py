@@ -16,14 +16,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listweave.llm.common import LOWER, ends_of, fresh, large_texts, split_words, translated
+from listweave.llm.common import (
+    LOWER,
+    ends_of,
+    fresh,
+    large_texts,
+    lots,
+    split_words,
+    translated,
+)
 from listweave.session import pinned
 
 BUCKETS = 1 << 16
 #: Bound on the labelled documents: they make the target model and set k. All documents make the
 #: raw model.
 LABELLED = 20_000
-BATCH_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 SEED = 5
 BINS = 1024
 #: A bin with at most this many keys is sorted on the driver.
@@ -63,14 +71,6 @@ def gram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return (both % np.uint64(buckets)).astype(np.int64), 2 * counts
 
 
-def _lots(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    lot = (np.cumsum(sizes) - sizes) // BATCH_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
 def gram_counts(labelled: DataFrame, buckets: int) -> np.ndarray:
     """Counts of n-grams by bucket: of all rows, and of rows with ``quality`` 1.
 
@@ -80,7 +80,7 @@ def gram_counts(labelled: DataFrame, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for whole in batches:
-            for batch in _lots(whole, 0):
+            for batch in lots(whole, 0, TEXT_BYTES):
                 grams, counts = gram_buckets(batch.column(0), buckets)
                 good = pc.fill_null(pc.equal(batch.column(1), 1), False)
                 chosen = np.repeat(good.to_numpy(zero_copy_only=False), counts)
@@ -123,7 +123,7 @@ def with_log_weight(docs: DataFrame, keep: list[str], ratios: np.ndarray, name:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _lots(whole, whole.num_columns - 1):
+            for batch in lots(whole, whole.num_columns - 1, TEXT_BYTES):
                 grams, counts = gram_buckets(batch.column(batch.num_columns - 1), buckets)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 sums = np.bincount(owner, ratio.value[grams], minlength=len(counts))
