@@ -131,7 +131,7 @@ class Mix:
 
 
 def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix:
-    """The mix of stored ``rows`` with unique numbers in ``row_id``.
+    """The mix of ``rows`` with unique numbers in ``row_id``, which are read once and stored.
 
     Only sources and blocks reach the driver: at most ``MOST_SOURCES`` sources with
     ``BLOCKS_PER_SOURCE`` blocks each.
@@ -208,8 +208,9 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     and null ids count as rows of their own. Other columns are ignored, an empty table gives no
     rows, and the same rows give the same mix.
     """
-    rows, row_id = with_row_id(docs.select("doc_id", "text", "source"))
-    result = mix(rows, row_id, shards, seed)
+    # The numbers are stored with the sizes; the texts themselves need not be.
+    rows = docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("number"))
+    result = mix(rows, "number", shards, seed)
     repeats = result.taken.groupBy("row").agg(F.count("*").alias("repeats"))
     repeated = F.coalesce("repeats", F.lit(0))
     return result.sized.join(repeats, "row", "left").select(
