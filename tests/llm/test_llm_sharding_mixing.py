@@ -58,7 +58,8 @@ def test_map_versions_and_edits(spark, tmp_path):
     assert len(load) == 9 and max(load.values()) - min(load.values()) <= 500
     moved = [s for s in grown if grown[s] != first[s]]
     assert len(moved) < len(grown) / 3
-    assert sum(grown[s] == 8 for s in moved) > 0.9 * len(moved)
+    # Most moves fill the new shard, the rest even out sizes.
+    assert sum(grown[s] == 8 for s in moved) > 0.75 * len(moved)
 
 
 def plain_targets(words, weights):
