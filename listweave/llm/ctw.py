@@ -30,7 +30,9 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         y = np.where(low, y + 1, y)
     inverse = 1 / y
     square = inverse * inverse
-    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
+    series = inverse * (
+        1 / 12 - square * (1 / 360 - square * (1 / 1260 - square * (1 / 1680 - square / 1188)))
+    )
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(shift)
 
 
