@@ -50,6 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.vocabulary = self.tokenizer.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
@@ -107,11 +108,16 @@ class Encoder:
         return ids, sizes
 
 
-def sequence_schema(length: int) -> pa.Schema:
+def id_kind(vocabulary: int) -> np.dtype:
+    """Two bytes an id where they suffice."""
+    return np.dtype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)
+
+
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
     return pa.schema(
         [
-            ("input_ids", pa.list_(pa.uint32(), length)),
-            ("mask", pa.list_(pa.uint8(), length)),
+            ("input_ids", pa.list_(pa.from_numpy_dtype(kind), length)),
+            ("mask", pa.list_(pa.bool_(), length)),
         ],
         metadata={"rows_per_batch": str(ROWS_PER_BATCH), "sequence": str(length)},
     )
@@ -120,16 +126,17 @@ def sequence_schema(length: int) -> pa.Schema:
 class SequenceWriter:
     """Cuts a stream of ids into batches of equal-length sequences."""
 
-    def __init__(self, sink, length: int) -> None:
+    def __init__(self, sink, length: int, kind: np.dtype) -> None:
         self.length = length
+        self.kind = kind
         self.block = length * ROWS_PER_BATCH
-        self.schema = sequence_schema(length)
+        self.schema = sequence_schema(length, kind)
         self.writer = ipc.new_file(sink, self.schema)
-        self.rest = np.zeros(0, np.uint32)
+        self.rest = np.zeros(0, kind)
         self.sequences = 0
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)
         ]
@@ -137,7 +144,7 @@ class SequenceWriter:
         self.sequences += len(ids) // self.length
 
     def add(self, ids: np.ndarray) -> None:
-        ids = np.concatenate([self.rest, ids])
+        ids = np.concatenate([self.rest, ids.astype(self.kind)])
         full = len(ids) // self.block * self.block
         for start in range(0, full, self.block):
             self._write(ids[start : start + self.block], self.block)
@@ -145,7 +152,7 @@ class SequenceWriter:
 
     def close(self) -> None:
         if len(self.rest):
-            padded = np.zeros(-(-len(self.rest) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(self.rest) // self.length) * self.length, self.kind)
             padded[: len(self.rest)] = self.rest
             self._write(padded, len(self.rest))
         self.writer.close()
@@ -167,12 +174,13 @@ class TokenFile:
         batches = self.reader.num_record_batches
         return (batches - 1) * self.rows + len(self.reader.get_batch(batches - 1)) if batches else 0
 
-    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of a sequence, as views of the file."""
         if not 0 <= number < len(self):
             raise IndexError(number)
         batch = self.reader.get_batch(number // self.rows)
-        return tuple(c[number % self.rows].values.to_numpy() for c in batch.columns)
+        ids, mask = (c[number % self.rows].values for c in batch.columns)
+        return ids.to_numpy(), mask
 
     def batches(self) -> Iterator[np.ndarray]:
         """All ids, padding included, one batch at a time."""
@@ -211,7 +219,7 @@ def write_tokens(
                     system.create_dir(place, recursive=True)
                     sink = system.open_output_stream(f"{place}/{name}.arrow")
                     index_sink = system.open_output_stream(f"{place}/{name}.index.arrow")
-                    writer = SequenceWriter(sink, length)
+                    writer = SequenceWriter(sink, length, id_kind(encoder.vocabulary))
                     index_schema = pa.schema(
                         [
                             ("doc_id", batch.schema.field(0).type),
@@ -273,7 +281,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame, id_type: str) -> Da
                 sums = np.zeros(len(ends), np.int64)
                 doc = at = crc = 0
                 for ids in TokenFile(row["path"] + ".arrow").batches():
-                    ids = ids.astype("<u4", copy=False)
+                    ids = ids.astype("<u4")
                     last = at + len(ids)
                     begin = at
                     while doc < len(ends) and ends[doc] <= last:
