@@ -47,7 +47,8 @@ def test_round_trip(spark, tmp_path):
         for i in range(len(file)):
             ids, mask = found[i]
             assert len(ids) == len(mask) == 64
-            stream += ids[mask == 1].tolist()
+            stream += ids[mask.to_numpy(zero_copy_only=False)].tolist()
+            assert not ids.flags.owndata
     assert stream == every
 
 
