@@ -33,7 +33,9 @@ TEXT_BYTES = 8 << 20
 #: Bound on the remembered pieces of a task; they are forgotten all at once beyond it.
 MOST_PIECES = 500_000
 #: A space next to white space: such a text is encoded whole.
-ODD_SPACE = re.compile(r" \s|\s ")
+ODD_SPACE = "{0} | {0}".format(r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]")
+#: Pieces that are encoded in one go.
+JOINED = 50
 MANIFEST = "part int, path string, docs bigint, tokens bigint, sequences bigint"
 
 
@@ -51,6 +53,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # In a byte-level vocabulary every sign of a token stands for one byte.
+        tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary))
+        self.token_bytes = np.array([len(t) for t in tokens], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -58,32 +63,34 @@ class Encoder:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [e.ids for e in found]
-
-    def _learn(self, pieces: list[str]) -> None:
+        lists = [e.ids for e in found]
+        ids = np.fromiter((i for x in lists for i in x), np.uint32)
+        return ids, np.array([len(x) for x in lists], np.int64)
+
+    def _encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_encode`, for pieces that begin with a space. A string of them falls apart at
+        those spaces, and the bytes of the tokens tell where."""
+        lots = ["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids, _ = self._encode(lots)
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="right")
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, pieces: list[str], joined: bool) -> None:
         new = [p for p in pieces if p not in self.known]
         if not new:
             return
-        lists = self._encode(new)
+        ids, lengths = self._encode_joined(new) if joined else self._encode(new)
         first = len(self.known)
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        self.lengths = np.concatenate([self.lengths, [len(x) for x in lists]])
-        self.ids = np.concatenate(
-            [self.ids, np.fromiter((i for x in lists for i in x), np.uint32)]
-        )
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        texts = large_texts(texts)
-        if len(self.known) > MOST_PIECES:
-            self._forget()
+    def _encode_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
-        whole = [
-            i for i, text in enumerate(texts.to_pylist()) if ODD_SPACE.search(text) is not None
-        ]
         pieces = lists.flatten()
         opening = np.zeros(len(pieces), bool)
         opening[ends_of(counts)[:-1]] = True
@@ -91,21 +98,32 @@ class Encoder:
         for chosen, space in ((opening, ""), (~opening, " ")):
             coded = pieces.filter(pa.array(chosen)).dictionary_encode()
             named = [space + p for p in coded.dictionary.to_pylist()]
-            self._learn(named)
-            numbers = np.array([self.known[p] for p in named], np.int64)
-            code[chosen] = numbers[coded.indices.to_numpy()] if len(named) else 0
+            self._learn(named, joined=bool(space))
+            if named:
+                numbers = np.array([self.known[p] for p in named], np.int64)
+                code[chosen] = numbers[coded.indices.to_numpy()]
         starts = np.cumsum(self.lengths) - self.lengths
-        ids = self.ids[ranges(starts[code], self.lengths[code])]
-        owner = np.repeat(np.arange(len(counts)), counts)
-        sizes = np.bincount(owner, self.lengths[code], minlength=len(counts)).astype(np.int64)
-        if whole:
-            cuts = ends_of(sizes)
-            parts = [ids[cuts[i] : cuts[i + 1]] for i in range(len(sizes))]
-            for i, own in zip(whole, self._encode(texts.take(whole).to_pylist()), strict=True):
-                parts[i] = np.array(own, np.uint32)
-                sizes[i] = len(own)
-            ids = np.concatenate(parts)
-        return ids, sizes
+        lengths = self.lengths[code]
+        sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), lengths, len(counts))
+        return self.ids[ranges(starts[code], lengths)], sizes.astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        texts = large_texts(texts)
+        if len(self.known) > MOST_PIECES:
+            self._forget()
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        if not is_odd.any():
+            return self._encode_pieces(texts)
+        ids, lengths = self._encode_pieces(texts.filter(pc.invert(odd)))
+        whole_ids, whole_lengths = self._encode(texts.filter(odd).to_pylist())
+        sizes = np.empty(len(texts), np.int64)
+        sizes[~is_odd], sizes[is_odd] = lengths, whole_lengths
+        result = np.empty(sizes.sum(), np.uint32)
+        of_odd = np.repeat(is_odd, sizes)
+        result[~of_odd], result[of_odd] = ids, whole_ids
+        return result, sizes
 
 
 def id_kind(vocabulary: int) -> np.dtype:
