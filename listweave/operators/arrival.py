@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from listweave.operators.spread import group_join, numbered, ranged, totals_in_ranges
 
 # Up to this cap Spark prunes each input partition to the first rows of a group before the shuffle.
+# It decides between two plans with the same rows.
 PRUNED_CAP = 1000
 
 
@@ -26,6 +27,27 @@ def _fixed_width(items: DataFrame, names: list[str]) -> bool:
     return all(isinstance(items.schema[name].dataType, types) for name in names)
 
 
+def fetches(pages: DataFrame, page: list[str], tie: list[str]) -> DataFrame:
+    """Pages with ``fetch_no``: the how manieth time the page was fetched, by ``fetched_at``.
+
+    A page that landed more than once from the same fetch stays once, the first by ``tie``.
+    """
+    landed = Window.partitionBy(*page)
+    in_order = landed.orderBy("fetched_at", *tie)
+    again = (F.row_number().over(in_order) > 1) & F.lag("fetched_at").over(in_order).eqNullSafe(
+        F.col("fetched_at")
+    )
+    return (
+        pages.select(
+            "*",
+            F.dense_rank().over(landed.orderBy("fetched_at")).alias("fetch_no"),
+            again.alias("_again"),
+        )
+        .filter(~F.col("_again"))
+        .drop("_again")
+    )
+
+
 def first_seen(items: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
     """First item of each key. An aggregate: every map task sends at most one row per key.
 

@@ -10,7 +10,13 @@ from listweave.session import pinned
 BROADCAST_BYTES = 64 * 1024 * 1024
 MOST_BROADCAST_ROWS = 2_000_000
 ROWS_PER_SALT = 1_000_000
-MOST_HOT_KEYS = 10_000
+def null_safe_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal keys, where null equals null. The key columns are those of ``rows``."""
+    other = {c: f"_of_{c}" for c in on}
+    same = F.lit(True)
+    for key, renamed in other.items():
+        same = same & F.col(key).eqNullSafe(F.col(renamed))
+    return rows.join(table.withColumnsRenamed(other), same, how).drop(*other.values())
 
 
 def is_small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
@@ -24,20 +30,20 @@ def is_small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
 def hot_keys(counts: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
     """Keys with more than ``rows_per_salt`` rows and the number of parts to cut each into.
 
-    ``counts`` has the key columns and ``_n``. The result has at most ``MOST_HOT_KEYS`` entries,
-    so it may be broadcast; a key outside it has less than one ``MOST_HOT_KEYS``-th of all rows
-    and needs no cutting. None if there is no hot key.
+    ``counts`` has the key columns and ``_n``. None if there is no hot key.
     """
-    largest = counts.agg(F.max("_n").alias("n")).first()["n"]
-    if largest is None or largest <= rows_per_salt:
-        return None
-    return pinned(
-        counts.filter(F.col("_n") > rows_per_salt)
-        .orderBy(F.col("_n").desc())
-        .limit(MOST_HOT_KEYS)
-        .withColumn("_parts", F.ceil(F.col("_n") / rows_per_salt).cast("int"))
-        .drop("_n")
+    hot = counts.filter(F.col("_n") > rows_per_salt).withColumn(
+        "_parts", F.ceil(F.col("_n") / rows_per_salt).cast("int")
     )
+    stored = pinned(hot.drop("_n"))
+    return None if stored.isEmpty() else stored
+
+
+def _with_parts(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``_parts`` of each row's key, null for keys that are not hot. There is a hot key per
+    ``rows_per_salt`` rows at most, but that may still be too many for a broadcast."""
+    table = F.broadcast(hot) if is_small(hot) else hot
+    return null_safe_join(df, table, on, "left")
 
 
 def salted_join(
@@ -54,19 +60,19 @@ def salted_join(
     rows are repeated once per part. All other keys take the plain way.
     """
     if hot is None:
-        return rows.join(table, on, how)
+        return null_safe_join(rows, table, on, how)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_rows = (
-        rows.join(F.broadcast(hot), on, "left")
+        _with_parts(rows, hot, on)
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int"))
         .drop("_parts")
     )
     salted_table = (
-        table.join(F.broadcast(hot), on, "left")
+        _with_parts(table, hot, on)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
-    return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(salted_rows, salted_table, [*on, "_salt"], how).drop("_salt")
 
 
 def stored_join(
@@ -79,9 +85,9 @@ def stored_join(
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join ``rows`` with a stored ``table`` that has a row per key: broadcast if the table is
-    measured to be small, salted otherwise. Key columns must not be null."""
+    measured to be small, salted otherwise. Null keys equal each other, either way."""
     if is_small(table, broadcast_bytes):
-        return rows.join(F.broadcast(table), on, how)
+        return null_safe_join(rows, F.broadcast(table), on, how)
     counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
     return salted_join(rows, table, on, how, spread, hot_keys(counts, rows_per_salt))
 
@@ -97,7 +103,7 @@ def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Rows range-partitioned on group and order, with their partition number in ``_part``.
 
     A large group covers several partitions. The rows are pinned, as the numbers must not change.
-    ``group`` columns must not be null and the order must be total.
+    Null groups are a group like any other. The order must be total.
     """
     in_ranges = df.repartitionByRange(*[F.col(g) for g in group], *order)
     return pinned(in_ranges.withColumn("_part", F.spark_partition_id()))
@@ -126,9 +132,9 @@ def totals_in_ranges(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    local = rows.withColumn("_local", F.sum(value).over(within))
     return (
-        rows.withColumn("_local", F.sum(value).over(within))
-        .join(F.broadcast(carried), [*group, "_part"], "left")
+        null_safe_join(local, F.broadcast(carried), [*group, "_part"], "left")
         .withColumn(name, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0)))
         .drop("_local", "_carried", "_part")
     )

@@ -3,21 +3,40 @@
 In arrival order, an item is kept unless one of its two keys has been taken; a kept item takes
 both keys, a dropped one takes none. That depends on order, yet most of it can be settled at once:
 an item that is the earliest undecided one on each of its keys is kept, and what shares a key with
-a kept item is dropped. Rounds of that settle items in parallel, with aggregates and joins only.
+a kept item is dropped. A few rounds of that settle most items in parallel, with aggregates and
+joins only. What chains of shared keys leave is taken in order, in slices of bounded size.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listweave.operators.arrival import place
-from listweave.operators.spread import ROWS_PER_SALT, group_join, hot_keys, salted_join
+from listweave.operators.spread import (
+    ROWS_PER_SALT,
+    group_join,
+    hot_keys,
+    numbered,
+    salted_join,
+)
 from listweave.session import pinned
 
-# A remainder of at most this many items is settled in order, one task per group.
-FINISH_ROWS = 250_000
+# Parallel rounds before the rest is taken in order.
+ROUNDS = 3
+# Undecided items of a group that one task settles in order; a longer rest takes several turns.
+SLICE_ROWS = 250_000
+
+
+def _group_number(group: list[str]) -> Column:
+    """The group as one text that is never null."""
+    parts = [
+        F.when(F.col(c).isNull(), "-").otherwise(
+            F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string"))
+        )
+        for c in group
+    ]
+    return F.concat(*parts)
 
 
 def _keys(items: DataFrame, group: list[str]) -> DataFrame:
@@ -81,26 +100,21 @@ def _not_taken(
 
 
 def _in_order(items: DataFrame, group: list[str]) -> DataFrame:
-    """The plain loop, for a remainder of checked size."""
-    ranked = items.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_at"))
-    )
+    """The rule applied in order to a slice of bounded size of each group: ``_at`` of kept items."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
+        pdf = pdf.sort_values("_at")
         taken: set[str] = set()
         kept = []
-        for first, second in zip(pdf["_a"], pdf["_b"]):
-            free = first not in taken and second not in taken
+        for pair in zip(pdf["_a"], pdf["_b"]):
+            free = taken.isdisjoint(pair)
             kept.append(free)
             if free:
-                taken.update((first, second))
-        return pdf[[*group, "_rank"]][kept]
+                taken.update(pair)
+        return pdf.loc[kept, [*group, "_at", "_a", "_b"]]
 
-    names = items.select(*group).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", _rank int"
-    kept = ranked.select(*group, "_a", "_b", "_rank").groupBy(*group).applyInPandas(keep, schema)
-    return ranked.join(kept, [*group, "_rank"], "left_semi").select(*group, "_at")
+    narrow = items.select(*group, "_at", "_a", "_b")
+    return narrow.groupBy(*group).applyInPandas(keep, narrow.schema)
 
 
 def greedy_two_key(
@@ -109,41 +123,57 @@ def greedy_two_key(
     first: str,
     second: str,
     arrival: list[str],
-    finish_rows: int = FINISH_ROWS,
+    unique_arrival: bool = False,
+    rounds: int = ROUNDS,
+    slice_rows: int = SLICE_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Items kept by the greedy rule. Both key columns are text and share one name space; an item
-    with an empty first key has an empty second one. Arrival is unique within a group.
+    with an empty first key has an empty second one, and null keys are empty. Null groups are a
+    group like any other.
+
+    Items are numbered in order of arrival, ties by their keys, unless ``unique_arrival`` says that
+    ``arrival`` is one bigint without nulls and repeats in a group. After ``rounds`` rounds what is
+    left is settled in slices of ``slice_rows`` items of each group in order, so their number is
+    that of the left items of the largest group over ``slice_rows``, whatever the keys are like.
 
     ``items`` is read more than once, so it should be a stored table or little work away from one.
     """
-    keyed = items.select(
-        *group,
-        F.coalesce(F.col(first), F.lit("")).alias("_a"),
-        F.coalesce(F.col(second), F.lit("")).alias("_b"),
-        place(arrival).alias("_at"),
-    )
-    undecided = _with_own_keys(keyed, group)
+    a, b = (F.coalesce(F.col(c), F.lit("")) for c in (first, second))
+    placed = items.withColumns({"_g": _group_number(group), "_a": a, "_b": b})
+    if unique_arrival:
+        placed = placed.withColumn("_at", F.col(arrival[0]).cast("bigint"))
+    else:
+        order = [*[F.col(c) for c in arrival], F.col("_a"), F.col("_b")]
+        placed = pinned(numbered(placed, ["_g"], order, "_at"))
+    group = ["_g"]
+    undecided = _with_own_keys(placed.select("_g", "_a", "_b", "_at"), group)
     kept: list[DataFrame] = []
-    while True:
+    left = 1
+    for turn in range(rounds):
         settled = pinned(_settled(undecided, group))
         winners = settled.filter("_wins").drop("_wins")
         losers = settled.filter("not _wins").drop("_wins")
-        taken = _keys(winners, group).drop("_at")
         kept.append(winners.select(*group, "_at"))
-        left = losers.count()
+        taken = _keys(winners, group).drop("_at")
+        undecided = pinned(_not_taken(losers, taken, group, rows_per_salt))
+        left = undecided.count()
         if left == 0:
             break
-        few = left <= finish_rows
-        undecided = pinned(_not_taken(losers, taken, group, None if few else rows_per_salt))
-        if few or undecided.count() <= finish_rows:
-            kept.append(_in_order(undecided, group))
-            break
-    survivors = kept[0]
+    if left:
+        by_group = numbered(undecided, group, [F.col("_at")], "_n")
+        queued = pinned(
+            by_group.withColumn("_slice", F.floor((F.col("_n") - 1) / slice_rows)).drop("_n")
+        )
+        last = queued.agg(F.max("_slice")).first()[0]
+        for number in range((-1 if last is None else last) + 1):
+            now = pinned(_in_order(queued.filter(F.col("_slice") == number), group))
+            kept.append(now.select(*group, "_at"))
+            if number < last:
+                later = queued.filter(F.col("_slice") > number)
+                taken = _keys(now, group).drop("_at")
+                queued = pinned(_not_taken(later, taken, group, rows_per_salt))
+    survivors = kept[0] if kept else None
     for more in kept[1:]:
         survivors = survivors.unionByName(more)
-    return (
-        items.withColumn("_at", place(arrival))
-        .join(survivors, [*group, "_at"], "left_semi")
-        .drop("_at")
-    )
+    return placed.join(survivors, ["_g", "_at"], "left_semi").select(*items.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listweave.functions.times import older_than_date
-from listweave.operators.arrival import collected, consumed_pages, first_seen
+from listweave.operators.arrival import collected, consumed_pages, fetches, first_seen
 from listweave.operators.enrich import latest_details, with_blanks
 from listweave.plans.normalise import board_listings
 from listweave.schemas import BOARD_SOURCE, CARD_PAGE_SIZE
@@ -16,7 +16,7 @@ from listweave.session import pinned, use_utc
 from listweave.sources.html_pages import card_items, card_pages, parsed_details
 from listweave.sources.registry import register
 
-ARRIVAL = ["page_no", "pos"]
+ARRIVAL = ["fetch_no", "page_no", "pos"]
 
 
 @register(BOARD_SOURCE)
@@ -32,13 +32,24 @@ def collect_cards(
     """Records of a run with ``query``, ``query_pos`` and ``rank``."""
     use_utc(raw_pages.sparkSession)
     # The Python step runs once: its short result is pinned, the payload is not read again.
-    pages = pinned(
-        card_pages(raw_pages.select("query", "query_pos", "page_no", "payload"))
+    when = F.col("fetched_at") if "fetched_at" in raw_pages.columns else F.lit(None)
+    landed = raw_pages.select(
+        F.coalesce("query", F.raise_error(F.lit("a landed page has no query"))).alias("query"),
+        "query_pos",
+        "page_no",
+        when.cast("timestamp").alias("fetched_at"),
+        F.xxhash64("payload").alias("digest"),
+        "payload",
     )
+    pages = fetches(pinned(card_pages(landed)), ["query", "page_no"], ["query_pos", "digest"])
     consumed = consumed_pages(
-        pages.withColumn("n_items", F.size("cards")), ["query"], "page_no", "n_items", page_size
+        pages.withColumn("n_items", F.size("cards")),
+        ["query", "fetch_no"],
+        "page_no",
+        "n_items",
+        page_size,
     )
-    cards = card_items(consumed.drop("n_items"))
+    cards = card_items(consumed.drop("n_items", "fetched_at", "digest"))
     unique = first_seen(cards, ["query", "job_id"], ARRIVAL)
     dated = unique.withColumn("old", older_than_date(F.col("publish_time"), as_of, days))
     kept = collected(dated, ["query"], "old", ARRIVAL, count).drop("old", *ARRIVAL)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from listweave.functions import text
 from listweave.functions.times import older_than_time
-from listweave.operators.arrival import collected, consumed_pages
+from listweave.operators.arrival import collected, consumed_pages, fetches
 from listweave.operators.spread import stored_join
 from listweave.operators.twokey import greedy_two_key
 from listweave.plans.normalise import (
@@ -35,22 +35,45 @@ from listweave.session import pinned, use_utc
 from listweave.sources.json_pages import api_array, state_array
 from listweave.sources.registry import register
 
-PAGE = ["query", "query_pos", "origin_rank", "page_no"]
+PAGE = ["query", "origin_rank", "page_no"]
+#: What tells one landing of a page from another.
+LANDING = [*PAGE, "query_pos", "fetched_at", "digest"]
+# Bits of the parts of an arrival number: how often fetched, origin, page, position on the page.
+FETCH_BITS, PAGE_BITS, POS_BITS = 15, 24, 23
 
 
 def _is_state() -> Column:
     return F.coalesce(F.col("origin") == STATE_ORIGIN, F.lit(False))
 
 
+def _is_state_rank() -> Column:
+    return F.col("origin_rank") == 0
+
+
 def ranked_pages(raw_pages: DataFrame) -> DataFrame:
-    """Page-state pages come before the API pages of the same query."""
-    return raw_pages.withColumn("origin_rank", F.when(_is_state(), 0).otherwise(1))
+    """Pages with ``origin_rank``, as page-state pages come before the API pages of the same query,
+    and ``digest`` of the payload. A page without a query is an error."""
+    if "fetched_at" not in raw_pages.columns:
+        raw_pages = raw_pages.withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    return raw_pages.withColumns(
+        {
+            "query": F.coalesce("query", F.raise_error(F.lit("a landed page has no query"))),
+            "origin_rank": F.when(_is_state(), 0).otherwise(1),
+            "digest": F.xxhash64("payload"),
+        }
+    )
 
 
 def arrival_number() -> Column:
-    """Origin, page and position in one number: a bit and twice 31 bits."""
-    rank, page_no = F.col("origin_rank").cast("bigint"), F.col("page_no").cast("bigint")
-    return F.shiftleft(rank, 62) + F.shiftleft(page_no, 31) + F.col("pos")
+    """Fetch, origin, page and position in one number."""
+    parts = [("fetch_no", FETCH_BITS), ("origin_rank", 1), ("page_no", PAGE_BITS), ("pos", POS_BITS)]
+    number, fits = F.lit(0).cast("bigint"), F.lit(True)
+    for name, bits in parts:
+        value = F.col(name).cast("bigint")
+        number = F.shiftleft(number, bits) + value
+        fits = fits & value.between(0, (1 << bits) - 1)
+    problem = F.raise_error(F.lit("fetch, page or position is out of range"))
+    return F.when(fits, number).otherwise(problem.cast("bigint"))
 
 
 def job_items(pages: DataFrame, strip_version: bool = False) -> DataFrame:
@@ -76,34 +99,34 @@ def job_items(pages: DataFrame, strip_version: bool = False) -> DataFrame:
     found = F.when(_is_state(), F.transform(state, state_item)).otherwise(
         F.transform(api, api_item)
     )
-    return pages.select(*PAGE, F.coalesce(found, F.array()).alias("items"))
+    return pages.select(*LANDING, F.coalesce(found, F.array()).alias("items"))
 
 
 def surviving_jobs(
-    raw_pages: DataFrame,
+    pages: DataFrame,
     count: int | None,
     days: int | None,
     as_of: datetime,
     page_size: int = API_PAGE_SIZE,
-    strip_version: bool = False,
 ) -> DataFrame:
-    """Place of every job that stays: page, position on the page and rank in its query."""
-    pages = pinned(job_items(ranked_pages(raw_pages), strip_version))
+    """Place of every job that stays, out of stored ``pages`` of :func:`job_items`: landing of the
+    page, position on it and rank in its query. Later fetches of a query come after earlier ones,
+    and each ends at its own short page."""
+    fetched = fetches(pages, PAGE, ["query_pos", "digest"])
     consumed = consumed_pages(
-        pages.withColumn("n_items", F.size("items")),
-        ["query"],
+        fetched.withColumn("n_items", F.size("items")),
+        ["query", "fetch_no"],
         "page_no",
         "n_items",
         page_size,
         exempt=F.col("origin_rank") == 0,
     )
-    items = consumed.select(*PAGE, F.posexplode("items").alias("pos", "item")).select(
-        *PAGE, "pos", arrival_number().alias("at"), "item.*"
-    )
-    keyed = items.filter((F.col("origin_rank") == 1) | (F.col("key") != ""))
-    kept = greedy_two_key(keyed, ["query"], "key", "other_key", ["at"])
+    items = consumed.select(*LANDING, "fetch_no", F.posexplode("items").alias("pos", "item"))
+    placed = items.select(*LANDING, "pos", arrival_number().alias("at"), "item.*")
+    keyed = placed.filter((F.col("origin_rank") == 1) | (F.col("key") != ""))
+    kept = greedy_two_key(keyed, ["query"], "key", "other_key", ["at"], unique_arrival=True)
     dated = kept.withColumn("old", older_than_time(F.col("published"), as_of, days))
-    return collected(dated, ["query"], "old", ["at"], count).select(*PAGE, "pos", "rank")
+    return collected(dated, ["query"], "old", ["at"], count).select(*LANDING, "pos", "rank")
 
 
 @register(JOB_SOURCE)
@@ -118,18 +141,30 @@ def collect_jobs(
 ) -> DataFrame:
     """Records of a run with ``query``, ``query_pos`` and ``rank``."""
     use_utc(raw_pages.sparkSession)
-    survivors = surviving_jobs(raw_pages, count, days, as_of, page_size, strip_version)
+    ranked = ranked_pages(raw_pages)
+    pages = pinned(job_items(ranked, strip_version))
+    repeated = not pages.groupBy(*LANDING).count().filter("count > 1").isEmpty()
+    survivors = surviving_jobs(pages, count, days, as_of, page_size)
+    entries = F.collect_list(F.struct("pos", "rank"))
     places = pinned(
-        survivors.groupBy(*PAGE).agg(F.collect_list(F.struct("pos", "rank")).alias("places"))
+        survivors.groupBy(*LANDING).agg(F.map_from_entries(entries).alias("places"))
     )
 
     def jobs(of_origin: Column, array: Column) -> DataFrame:
-        pages = ranked_pages(raw_pages.filter(of_origin)).select(*PAGE, "payload")
-        held = stored_join(pages, places, PAGE, "inner", ["payload"])
-        parsed = held.select("query", "query_pos", array.alias("jobs"), F.inline("places"))
-        job = F.element_at("jobs", F.col("pos") + 1)
-        return parsed.select("query", "query_pos", "rank", job.alias("job"))
+        landed = ranked.filter(of_origin).select(*LANDING, "payload")
+        held = stored_join(landed, places, LANDING, "inner", ["digest"])
+        if repeated:
+            held = held.dropDuplicates(LANDING)
+        # The array is read as the argument of the function, once a page, not once a job.
+        ranks = F.transform(
+            array,
+            lambda job, pos: F.struct(
+                F.try_element_at("places", pos).alias("rank"), job.alias("job")
+            ),
+        )
+        kept = F.filter(ranks, lambda job: job["rank"].isNotNull())
+        return held.select("query", "query_pos", F.inline(kept))
 
     payload = F.col("payload")
-    state = state_listings(jobs(_is_state(), state_array(payload, STATE_PAYLOAD)), stamp)
-    return state.unionByName(api_listings(jobs(~_is_state(), api_array(payload)), stamp))
+    state = state_listings(jobs(_is_state_rank(), state_array(payload, STATE_PAYLOAD)), stamp)
+    return state.unionByName(api_listings(jobs(~_is_state_rank(), api_array(payload)), stamp))

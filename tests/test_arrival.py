@@ -80,6 +80,29 @@ def test_small_and_large_caps_agree_with_a_loop(spark, monkeypatch, many_partiti
         assert len(capped) == 5 + 5 + len({r[1] for r in rows if r[0] == "tiny"})
 
 
+def test_null_group_is_a_group_for_every_cap(spark, monkeypatch, many_partitions):
+    rows = [(None, str(i), i, i == 3) for i in range(1, 7)]
+    rows += [("q", str(i), i, False) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for count, pruned in ((1000, 1000), (1001, 1000), (None, 1000), (50, 1), (50, 1000)):
+        monkeypatch.setattr(arrival, "PRUNED_CAP", pruned)
+        got = arrival.collected(df, ["feed"], "old", ["at"], count).collect()
+        of_null = sorted((r["at"], r["rank"]) for r in got if r.feed is None)
+        assert of_null == [(1, 1), (2, 2)]
+        assert sum(r.feed == "q" for r in got) == min(400, count or 400)
+
+
+def test_large_null_group_is_numbered_once(spark, many_partitions):
+    df = spark.createDataFrame([(None, i) for i in range(399)], "g string, i int").repartition(4)
+    got = spread.numbered(df, ["g"], [F.col("i")], "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 400))
+
+
+def test_pages_of_a_null_query_end(spark):
+    got = arrival.consumed_pages(pages(spark, [50, 30, 50], None), ["query"], "page", "n", 50)
+    assert sorted(r.page for r in got.collect()) == [0, 1]
+
+
 def test_first_seen_keeps_all_columns_of_the_first(spark):
     rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early")], "k string, at int, v string")
     assert [tuple(r) for r in arrival.first_seen(rows, ["k"], ["at"]).collect()] == [("a", 1, "early")]
@@ -152,6 +175,19 @@ def test_salted_join_equals_the_plain_join(spark, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_joins_of_null_keys_agree(spark, how):
+    rows = [(None, i) for i in range(200)] + [("b", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    table = spark.createDataFrame([(None, "x"), ("c", "y")], "k string, v string")
+    wide, narrow = (
+        spread.group_join(df, table, ["k"], how, ["i"], broadcast_bytes=size, rows_per_salt=50)
+        for size in (-1, 1 << 20)
+    )
+    assert sorted(map(str, wide.collect())) == sorted(map(str, narrow.collect()))
+    assert wide.count() == {"left": 220, "inner": 200, "left_semi": 200, "left_anti": 20}[how]
+
+
 def test_salted_join_splits_the_hot_key(spark, many_partitions):
     df = spark.createDataFrame([("hot", i) for i in range(500)], "k string, i int")
     hot = spread.hot_keys(df.groupBy("k").agg(F.count("*").alias("_n")), 50)

@@ -1,4 +1,4 @@
-"""Whole runs against a plain loop over the same pages."""
+"""Whole runs: cases worked out by hand, and runs at random against the rule."""
 
 from __future__ import annotations
 
@@ -52,44 +52,40 @@ def ids(spark, runs, count=100, days=None, page_size=3, **options):
     return found
 
 
-def loop(first, others, count, days, page_size):
-    """The rule, one job after the other."""
-    seen, out = set(), []
-
-    def is_old(when):
-        try:
-            return days is not None and datetime.fromisoformat(when) < NOW - timedelta(days=days)
-        except ValueError:
-            return False
-
+def places(first, others, days, page_size):
+    """Key, keys taken and age of every job that is looked at, in order of arrival."""
+    short = [n for n, page in enumerate(others) if len(page) < page_size]
+    read = others[: short[0] + 1] if short else others
+    found = []
     for job in first or []:
         key = job["uid"] or job["ciphertext"]
-        if not key or key in seen:
-            continue
-        if is_old(job["publishedOn"]):
-            return out
-        seen.add(key)
-        out.append(key)
-        if len(out) >= count:
-            return out
-    for page in others:
-        for job in page:
-            inner = job["jobTile"]["job"]
-            key = job["id"] or inner["ciphertext"]
-            other = inner["ciphertext"].lstrip("~0") if inner["ciphertext"] else key
-            if key in seen or other in seen:
-                continue
-            if is_old(inner["publishTime"]):
-                return out
-            seen.add(key)
-            if other:
-                seen.add(other)
-            out.append(key)
-            if len(out) >= count:
-                return out
-        if len(page) < page_size:
-            return out
-    return out
+        found += [(key, {key}, job["publishedOn"])] if key else []
+    for job in (job for page in read for job in page):
+        cipher = job["jobTile"]["job"]["ciphertext"]
+        key = job["id"] or cipher
+        keys = {key, cipher.lstrip("~0") if cipher else key}
+        found.append((key, keys, job["jobTile"]["job"]["publishTime"]))
+
+    def old(when):
+        limit = None if days is None else (NOW - timedelta(days=days)).isoformat()
+        return limit is not None and when < limit
+
+    return [(key, keys, old(when)) for key, keys, when in found]
+
+
+def explained(got, run, count, days, page_size):
+    """Whether the kept keys are what the rule says, place by place: a job stays if none of its
+    keys was taken before it and no job that would have stayed was old by then."""
+    items = places(*run, days, page_size)
+    taken, at, stopped = set(), [], False
+    for place, (_, keys, old) in enumerate(items):
+        free = not keys & taken
+        stopped = stopped or (free and old)
+        if free and not stopped:
+            at.append(place)
+            # An empty second key is looked up, but taken only by a job without any key.
+            taken |= keys if keys == {""} else keys - {""}
+    return got == [items[place][0] for place in at][:count]
 
 
 CASES = {
@@ -112,13 +108,71 @@ CASES = {
 }
 
 
+EXPECTED = {
+    "duplicate in a page": ["A", "B"],
+    "duplicate across pages": ["A", "B", "C", "D"],
+    "cutoff drops later pages": ["A", "B"],
+    "new old new": ["A"],
+    "old duplicate": ["A", "B"],
+    "state before api": ["S", "A"],
+    "state cutoff ends all": ["S"],
+    "state without a key": ["~c", "T", "A"],
+    "short page in the middle": ["A", "B", "C", "D"],
+    "empty page": ["A", "B", "C"],
+    "no api page": ["S"],
+    "bad time": ["A", "B"],
+    "greedy chain": ["A", "C"],
+    "prefixed cipher": ["2abc", "r"],
+    "empty api key": ["", "A"],
+    "cipher of zeros": ["A", ""],
+}
+
+
 def test_named_cases(spark):
-    got = ids(spark, CASES, days=2)
-    expected = {name: loop(*pages, 100, 2, 3) for name, pages in CASES.items()}
-    assert got == expected
-    assert expected["new old new"] == ["A"] and expected["old duplicate"] == ["A", "B"]
-    assert expected["greedy chain"] == ["A", "C"]
-    assert expected["prefixed cipher"] == ["2abc", "r"]
+    assert ids(spark, CASES, days=2) == EXPECTED
+
+
+def twice(spark, pages, again):
+    """``pages`` landed, and ``again`` landed some time later."""
+    first = landed(spark, pages).withColumn("fetched_at", F.lit(NOW))
+    later = landed(spark, again).withColumn("fetched_at", F.lit(NOW + timedelta(hours=1)))
+    return first.unionByName(later)
+
+
+def records(raw, page_size=50):
+    got = collect_jobs(raw, 100, None, NOW, page_size).collect()
+    return [(r["rank"], r.job_id) for r in sorted(got, key=lambda r: (r.query, r["rank"]))]
+
+
+def test_page_that_landed_twice_counts_once(spark):
+    page = {"q": (None, [[api("A"), api("B")]])}
+    raw = landed(spark, page)
+    assert records(raw.unionByName(raw)) == [(1, "A"), (2, "B")]
+    assert records(twice(spark, page, page)) == [(1, "A"), (2, "B")]
+
+
+def test_pages_of_two_fetches(spark):
+    first, second = [api("A"), api("B")], [api("C"), api("A")]
+    raw = twice(spark, {"q": (None, [first])}, {"q": (None, [second])})
+    assert records(raw) == [(1, "A"), (2, "B"), (3, "C")]
+    # Each fetch ends at its own short page.
+    full = [api("D"), api("E"), api("F")]
+    raw = twice(spark, {"q": (None, [first, [api("X")]])}, {"q": (None, [full, [api("Y")]])})
+    assert [key for _, key in records(raw, page_size=3)] == ["A", "B", "D", "E", "F", "Y"]
+
+
+def test_page_without_a_query_is_an_error(spark):
+    raw = landed(spark, {"q": (None, [[api("A")]])}).withColumn("query", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="has no query"):
+        records(raw)
+
+
+def test_payloads_are_parsed_below_the_generator(spark):
+    raw = landed(spark, {"q": ([state("S")], [[api("A")]])})
+    plan = collect_jobs(raw, 10, None, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.splitlines() if "Project" in line and "from_json" in line]
+    assert not above and plan.count("from_json") == 2
+    assert all("from_json" in line for line in plan.splitlines() if "Generate inline" in line)
 
 
 @pytest.mark.parametrize("count, days", [(5, None), (1500, 3), (None, 0)])
@@ -135,9 +189,9 @@ def test_random_runs(spark, count, days):
         if others:
             others[-1] = others[-1][: dice.randrange(5)]
         runs[f"q{number}"] = ([job(state) for _ in range(6)], others)
-    limit = 10**9 if count is None else count
-    expected = {q: loop(*pages, limit, days, 4) for q, pages in runs.items()}
-    assert ids(spark, runs, count, days, page_size=4) == expected
+    got = ids(spark, runs, count, days, page_size=4)
+    for query, run in runs.items():
+        assert explained(got[query], run, count, days, 4), query
 
 
 def test_strip_version_matches_the_plain_key(spark):
@@ -189,6 +243,17 @@ def test_board_run(spark):
     ]
 
 
+def test_board_pages_of_two_fetches(spark):
+    schema = "query string, query_pos int, page_no int, payload string, fetched_at timestamp"
+    first, second = card("1", "") + card("2", ""), card("3", "") + card("1", "")
+    late = NOW + timedelta(hours=1)
+    raw = spark.createDataFrame(
+        [("q", 0, 0, first, NOW), ("q", 0, 0, first, NOW), ("q", 0, 0, second, late)], schema
+    )
+    got = collect_cards(raw, 100, 1, NOW).collect()
+    assert sorted((r["rank"], r.job_id) for r in got) == [(1, "1"), (2, "2"), (3, "3")]
+
+
 def test_sources_by_name():
     assert source("upwork") is collect_jobs and source("linkedin") is collect_cards
     with pytest.raises(KeyError):

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from listweave.operators import twokey
 from listweave.operators.twokey import greedy_two_key
 
 SCHEMA = "q string, a string, b string, i int"
@@ -28,14 +29,14 @@ def kept(spark, rows, **options):
     return {(r.q, r.i) for r in greedy_two_key(df, ["q"], "a", "b", ["i"], **options).collect()}
 
 
-@pytest.mark.parametrize("finish_rows", [0, 1000])
-def test_dropped_item_takes_nothing(spark, finish_rows):
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_dropped_item_takes_nothing(spark, rounds):
     rows = [("q", "A", "x", 1), ("q", "B", "x", 2), ("q", "C", "B", 3)]
-    assert kept(spark, rows, finish_rows=finish_rows) == {("q", 1), ("q", 3)}
+    assert kept(spark, rows, rounds=rounds) == {("q", 1), ("q", 3)}
 
 
-@pytest.mark.parametrize("finish_rows", [0, 1000])
-def test_empty_keys(spark, finish_rows):
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_empty_keys(spark, rounds):
     rows = [
         ("q", "x", "", 1),  # looks up the empty key without taking it
         ("q", "", "", 2),
@@ -45,18 +46,49 @@ def test_empty_keys(spark, finish_rows):
         ("q", "w", "z", 6),
     ]
     assert brute(rows) == {("q", 1), ("q", 2), ("q", 6)}
-    assert kept(spark, rows, finish_rows=finish_rows) == brute(rows)
+    assert kept(spark, rows, rounds=rounds) == brute(rows)
 
 
 def test_long_chain_in_rounds(spark):
     rows = [("q", str(i), str(i + 1), i) for i in range(8)]
-    assert kept(spark, rows, finish_rows=0) == {("q", i) for i in range(0, 8, 2)}
+    for options in ({"rounds": 9}, {"rounds": 1, "slice_rows": 2}):
+        assert kept(spark, rows, **options) == {("q", i) for i in range(0, 8, 2)}
+
+
+def test_chain_of_thousands_takes_few_turns(spark, monkeypatch):
+    rows = [("q", str(i), str(i + 1), i) for i in range(5000)] + [
+        ("hot", "same", str(i), i) for i in range(3000)
+    ]
+    written = []
+    plain = twokey.pinned
+    monkeypatch.setattr(twokey, "pinned", lambda df: written.append(1) or plain(df))
+    assert kept(spark, rows) == {("q", i) for i in range(0, 5000, 2)} | {("hot", 0)}
+    assert len(written) <= 12
+
+
+def test_ties_and_null_groups(spark):
+    rows = [("q", "A", "x", 1), ("q", "B", "y", 1), ("q", "B", "x", 1), ("q", "C", "z", None)]
+    rows += [(None, "A", "x", 1), (None, "B", "y", 2), (None, "C", "x", 3)]
+    for rounds in (0, 3):
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = greedy_two_key(df, ["q"], "a", "b", ["i"], rounds=rounds).collect()
+        # Nulls arrive first; of the tied items A-x comes before B-x.
+        assert sorted((r.q or "", r.a, r.b) for r in got) == [
+            ("", "A", "x"), ("", "B", "y"), ("q", "A", "x"), ("q", "B", "y"), ("q", "C", "z"),
+        ]
+
+
+def test_equal_items_count_once(spark):
+    df = spark.createDataFrame([("q", "A", "x", 1)] * 3, SCHEMA)
+    assert greedy_two_key(df, ["q"], "a", "b", ["i"]).count() == 1
 
 
 @pytest.mark.parametrize("options", [
-    {"finish_rows": 0},
-    {"finish_rows": 0, "rows_per_salt": 20},
-    {"finish_rows": 10_000, "rows_per_salt": 20},
+    {"rounds": 50},
+    {"rounds": 50, "rows_per_salt": 20},
+    {"rounds": 1, "slice_rows": 7, "rows_per_salt": 20},
+    {"rounds": 0},
+    {"rounds": 1, "unique_arrival": True},
 ])
 def test_random_items_agree_with_a_loop(spark, options):
     dice = random.Random(3)
