@@ -148,6 +148,60 @@ def two_key_dedup(spark, sf_dir):
     return kept.select("l_returnflag", *order)
 
 
+@query(
+    """
+    WITH pairs AS (
+      SELECT o_orderpriority, CAST(o_custkey AS BIGINT) AS a,
+             10000000 + (o_custkey + o_orderkey) % 997 AS b, min(o_orderkey) AS place
+      FROM orders GROUP BY ALL),
+    folded AS (
+      SELECT o_orderpriority,
+             list_reduce(list([a, b] ORDER BY place),
+                         lambda seen, pair: CASE WHEN list_contains(seen, pair[1])
+                                                   OR list_contains(seen, pair[2]) THEN seen
+                                                 ELSE list_concat(seen, pair) END,
+                         CAST([] AS BIGINT[])) AS taken
+      FROM pairs GROUP BY o_orderpriority),
+    kept AS (
+      SELECT o_orderpriority, taken[2 * i + 1] AS a, taken[2 * i + 2] AS b
+      FROM (SELECT o_orderpriority, taken, unnest(range(len(taken) // 2)) AS i FROM folded))
+    SELECT o_orderpriority, place AS o_orderkey FROM kept JOIN pairs USING (o_orderpriority, a, b)
+    """
+)
+def two_key_turns(spark, sf_dir):
+    """Chains of customers and clerks, with limits so low that all ways of settling are taken:
+    rounds, salted joins and many slices."""
+    items = table(spark, sf_dir, "orders").select(
+        "o_orderpriority",
+        "o_orderkey",
+        F.col("o_custkey").cast("string").alias("customer"),
+        (10000000 + (F.col("o_custkey") + F.col("o_orderkey")) % 997).cast("string").alias("clerk"),
+    )
+    kept = greedy_two_key(
+        items, ["o_orderpriority"], "customer", "clerk", ["o_orderkey"],
+        rounds=2, slice_rows=400, rows_per_salt=20,
+    )
+    return kept.select("o_orderpriority", "o_orderkey")
+
+
+@query(
+    """
+    SELECT event_type, event_id, row_number() OVER (
+             PARTITION BY event_type ORDER BY value < 20, date_trunc('second', ts) DESC, event_id
+           ) AS rank
+    FROM events QUALIFY rank <= 60
+    """
+)
+def newest_first(spark, sf_dir):
+    """Arrival by publish time where the landed order is unknown; unreadable times come last."""
+    published = F.when(F.col("value") < 20, "soon").otherwise(iso_text("ts"))
+    events = table(spark, sf_dir, "events").select(
+        FEED, "event_id", times.newest_first(published).alias("age"), F.lit(False).alias("old")
+    )
+    kept = arrival.collected(events, [FEED], "old", ["age", "event_id"], 60)
+    return kept.select(FEED, "event_id", "rank")
+
+
 @query(
     """
     WITH pages AS (
@@ -214,6 +268,12 @@ BROKEN_TIMES = """
     CASE WHEN value < 10 THEN 'not-a-date' WHEN value < 15 THEN '' WHEN value < 20 THEN NULL
          WHEN value < 30 THEN '2024' WHEN value < 40 THEN '10:00:00'
          WHEN value < 50 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+         WHEN value < 55 THEN strftime(ts, '%Y-%m-%dT%H')
+         WHEN value < 60 THEN strftime(ts, '%Y%m%dT%H%M%S')
+         WHEN value < 65 THEN strftime(ts, '%Y%m%dT%H%M%S') || 'Z'
+         WHEN value < 70 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02'
+         WHEN value < 75 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || ',5'
+         WHEN value < 80 THEN strftime(ts, '%G-W%V-%u')
          ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END
 """
 
@@ -221,13 +281,22 @@ BROKEN_TIMES = """
 @query(
     f"""
     SELECT event_id, published FROM (SELECT *, {BROKEN_TIMES} AS published FROM events)
-    WHERE NOT (value >= 40 AND CASE WHEN value < 50 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+    WHERE NOT (value >= 40 AND CASE WHEN value < 50 OR value >= 65 AND value < 70
+                                         THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+                                    WHEN value >= 50 AND value < 55 THEN date_trunc('hour', ts)
+                                    WHEN value >= 75 AND value < 80 THEN date_trunc('day', ts)
                                     ELSE date_trunc('second', ts) END < TIMESTAMP '2024-01-15')
     """
 )
 def recency_filter(spark, sf_dir):
     """Broken, blank, partial and zoned time texts; what cannot be read is kept."""
     value, moment = F.col("value"), iso_text("ts")
+    week_date = F.format_string(
+        "%04d-W%02d-%d",
+        F.extract(F.lit("YEAROFWEEK"), "ts").cast("int"),
+        F.weekofyear("ts"),
+        F.weekday("ts") + 1,
+    )
     published = (
         F.when(value < 10, "not-a-date")
         .when(value < 15, "")
@@ -235,6 +304,12 @@ def recency_filter(spark, sf_dir):
         .when(value < 30, "2024")
         .when(value < 40, "10:00:00")
         .when(value < 50, F.concat(moment, F.lit("+02:00")))
+        .when(value < 55, F.date_format("ts", "yyyy-MM-dd'T'HH"))
+        .when(value < 60, F.date_format("ts", "yyyyMMdd'T'HHmmss"))
+        .when(value < 65, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
+        .when(value < 70, F.concat(moment, F.lit("+02")))
+        .when(value < 75, F.concat(moment, F.lit(",5")))
+        .when(value < 80, week_date)
         .otherwise(moment)
     )
     events = table(spark, sf_dir, "events").select("event_id", published.alias("published"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listweave.catalog.base import query, table
+from listweave.functions import times
 from listweave.operators import incremental
 from listweave.operators.arrival import first_seen
-from listweave.session import run_folder
+from listweave.session import pinned, run_folder
 from listweave.sources.store import Store, stored_keys
-from listweave.streaming.incremental import start_incremental
+from listweave.streaming.incremental import deduplicated_within, start_incremental
 
 COUNTS_SQL = """
     WITH stored AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'),
@@ -76,32 +77,110 @@ def store_ids(spark, sf_dir):
     return stored_keys(stored, "job_id").distinct()
 
 
+EVENT_FIELDS = ["job_id", "title", "client"]
+
+
+def _event_listings(batch):
+    items = batch.select(
+        F.concat_ws("-", "event_type", "user_id").alias("job_id"),
+        F.col("event_type").alias("title"),
+        F.col("user_id").cast("string").alias("client"),
+        F.col("event_type").alias("query"),
+        F.col("event_id").alias("pos"),
+    )
+    return first_seen(items, ["query", "job_id"], ["pos"])
+
+
+def _text_record(names):
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+
+
 @query(
     """
-    SELECT event_type || '-' || user_id AS job_id, event_type AS title,
-           CAST(user_id AS VARCHAR) AS client
-    FROM events GROUP BY event_type, user_id
+    WITH keyed AS (
+      SELECT event_type || '-' || user_id AS job_id, event_type AS title,
+             CAST(user_id AS VARCHAR) AS client, event_id % 4 AS part
+      FROM events),
+    -- The first stream lands parts 0 and 1, then 2; the second one 1 and 2, then 3.
+    firsts AS (
+      SELECT job_id, title, client,
+             min(CASE part WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END) AS pass
+      FROM keyed GROUP BY ALL)
+    SELECT job_id, title, client, CAST(pass AS BIGINT) AS pass FROM firsts
     """
 )
 def stream_incremental(spark, sf_dir):
-    """Events as a file stream into a store, then the stored records."""
+    """Overlapping parts of the events as two file streams in two passes each into one store;
+    ``pass`` is the pass that stored a record."""
+    events = table(spark, sf_dir, "events")
+    store = Store(run_folder(spark, "store"), _text_record(EVENT_FIELDS))
+    stored_by = None
+    for number, (stream, parts) in enumerate([(0, [0, 1]), (0, [2]), (1, [1, 2]), (1, [3])], 1):
+        if number % 2:
+            landed, checkpoint = run_folder(spark, "landed"), run_folder(spark, "stream")
+        part = events.filter((F.col("event_id") % 4).isin(parts))
+        part.write.mode("append").parquet(landed)
+        start_incremental(
+            spark.readStream.schema(events.schema).parquet(landed),
+            _event_listings,
+            store,
+            checkpoint,
+            ["query", "pos"],
+        ).awaitTermination()
+        now = store.read(spark).select(*EVENT_FIELDS, "run_id")
+        if stored_by is not None:
+            now = now.join(stored_by.select("run_id").distinct(), "run_id", "left_anti")
+        new = pinned(now.withColumn("pass", F.lit(number).cast("bigint")))
+        stored_by = new if stored_by is None else stored_by.unionByName(new)
+    return store.read(spark).join(
+        stored_by.select("job_id", "pass"), "job_id"
+    ).select(*EVENT_FIELDS, "pass")
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    """Events as a stream, each key once within a horizon that covers them all."""
     schema = table(spark, sf_dir, "events").schema
-    landed = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    fields = ["job_id", "title", "client"]
-    record = T.StructType([T.StructField(name, T.StringType()) for name in fields])
-    store = Store(run_folder(spark, "store"), record)
-
-    def to_listings(batch):
-        items = batch.select(
-            F.concat_ws("-", "event_type", "user_id").alias("job_id"),
-            F.col("event_type").alias("title"),
-            F.col("user_id").cast("string").alias("client"),
-            F.col("event_type").alias("query"),
-            F.col("event_id").alias("pos"),
-        )
-        return first_seen(items, ["query", "job_id"], ["pos"])
-
-    start_incremental(
-        landed, to_listings, store, run_folder(spark, "stream"), ["query", "pos"]
-    ).awaitTermination()
-    return store.read(spark).select(*fields)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp"))
+    out = run_folder(spark, "deduplicated")
+    (
+        deduplicated_within(timed, ["event_type", "user_id"], "at", "400 days")
+        .select("event_type", "user_id")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", run_folder(spark, "stream"))
+        .trigger(availableNow=True)
+        .start(out)
+        .awaitTermination()
+    )
+    return spark.read.schema("event_type string, user_id bigint").parquet(out)
+
+
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS job_id, coalesce(source, '') AS title,
+           coalesce(text, '') AS description
+    FROM documents
+    """
+)
+def csv_round_trip(spark, sf_dir):
+    """Whole texts with quotes, commas and line breaks through a CSV store."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("job_id"),
+        F.col("source").alias("title"),
+        F.col("text").alias("description"),
+        F.lit("q").alias("query"),
+    )
+    record = _text_record(["job_id", "title", "description"])
+    store = Store(run_folder(spark, "csv"), record, format="csv")
+    store.append_new(documents, "r1", ["job_id"])
+    return store.read(spark).drop("run_id")
+
+
+@query("SELECT n_nationkey, n_name, true AS in_form FROM nation")
+def ingest_stamps(spark, sf_dir):
+    """The form of the stamp, as its value is the time of the run."""
+    form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+]00:00$"
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", "n_name", times.ingest_stamp().rlike(form).alias("in_form")
+    )

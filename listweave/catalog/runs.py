@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 
 from listweave.catalog.base import iso_text, query, table
 from listweave.catalog.payloads import in_envelope, paged
-from listweave.plans.board_run import collect_cards
-from listweave.plans.job_run import collect_jobs
+from listweave.plans import board_run as board_plan, job_run as job_plan  # noqa: F401  register
+from listweave.schemas import BOARD_SOURCE, JOB_SOURCE
+from listweave.sources.registry import source
 
 EVENTS_PER_PAGE = 500
 EVENTS_PER_CARD_PAGE = 250
 
 
+def landed_again(pages):
+    """The pages of one fetch, a third of them landed twice, and first pages fetched once more."""
+    once = pages.withColumn("fetched_at", F.lit(datetime(2024, 2, 1)).cast("timestamp"))
+    twice = once.unionByName(once.filter(F.col("page_no") % 3 == 0))
+    later = F.col("fetched_at") + F.expr("INTERVAL 1 HOUR")
+    return twice.unionByName(
+        once.filter(F.col("page_no") == 0).withColumn("fetched_at", later)
+    )
+
+
 def _with_job_fields(events):
     """Newest first: a minute older with every event."""
     first_second = F.lit(datetime(2024, 2, 1)).cast("timestamp").cast("bigint")
@@ -133,8 +144,8 @@ JOB_RUN_SQL = """
 @query(JOB_RUN_SQL)
 def job_run(spark, sf_dir):
     """Both origins, short pages, two keys, cutoff and cap, then the records."""
-    records = collect_jobs(
-        landed_json(spark, sf_dir),
+    records = source(JOB_SOURCE)(
+        landed_again(landed_json(spark, sf_dir)),
         count=900,
         days=6,
         as_of=datetime(2024, 2, 1),
@@ -252,8 +263,8 @@ BOARD_RUN_SQL = """
 @query(BOARD_RUN_SQL)
 def board_run(spark, sf_dir):
     """Cards in HTML, short pages, dedup, cutoff by date and cap, then details of what stays."""
-    records = collect_cards(
-        landed_cards(spark, sf_dir),
+    records = source(BOARD_SOURCE)(
+        landed_again(landed_cards(spark, sf_dir)),
         count=1350,
         days=6,
         as_of=datetime(2024, 2, 1, 18),

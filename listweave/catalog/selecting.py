@@ -82,7 +82,7 @@ def code_lookup(spark, sf_dir):
         F.col("n_nationkey").alias("c_nationkey"), "n_name"
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return filters.labelled(customers, codes, "c_nationkey", ["c_custkey"])
+    return filters.labelled(customers, codes, "c_nationkey")
 
 
 @query(
@@ -190,8 +190,22 @@ def request_manifest(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", F.concat("c_name", F.lit(" & co*~")).alias("query")
     )
-    queries = filters.labelled(customers, nations, "c_nationkey", ["c_custkey"])
+    queries = filters.labelled(customers, nations, "c_nationkey")
     requests = manifest.card_requests(
         queries.filter(F.col("n_name").isNotNull()), 3, facets, days=5, location=F.col("n_name")
     )
     return requests.select("c_custkey", "start", "parameters")
+
+
+@query(
+    """
+    SELECT c_custkey, start,
+           '{"requestVariables":{"userQuery":"' || c_name || '","sort":"recency",'
+           || '"paging":{"offset":' || start || ',"count":50}}}' AS variables
+    FROM customer, (SELECT unnest([0, 50]) AS start)
+    """
+)
+def api_requests(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    requests = manifest.api_requests(customers, 2, query="c_name")
+    return requests.select("c_custkey", "start", "variables")

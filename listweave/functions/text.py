@@ -102,14 +102,14 @@ def split_list(text: Column) -> Column:
 
 
 def all_terms(query: Column, *texts: Column) -> Column:
-    """Whether every word of the query occurs in one of the texts, whatever the case."""
-    haystacks = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
-    words = F.filter(F.split(F.lower(query), r"\s+"), lambda word: word != "")
-
-    def occurs(word: Column) -> Column:
-        found = haystacks[0].contains(word)
-        for other in haystacks[1:]:
-            found = found | other.contains(word)
-        return found
+    """Whether every word of the query occurs in one of the texts, whatever the case.
 
-    return F.forall(words, occurs)
+    A line break parts the texts; no word has one. The texts are the argument of the outer
+    function, so they are put in lower case once a row.
+    """
+    together = F.lower(F.concat_ws("\n", *texts))
+    words = F.filter(F.split(F.lower(query), r"\s+"), lambda word: word != "")
+    return F.forall(
+        F.transform(F.array(together), lambda whole: F.forall(words, whole.contains)),
+        lambda every: every,
+    )

@@ -10,30 +10,54 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DATE = r"\d{4}-\d{2}-\d{2}"
-_TIME = r"\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?"
-ISO_DATE = f"^{_DATE}$"
-ISO_TIMESTAMP = f"^{_DATE}([T ]{_TIME}(Z|[+-]\\d{{2}}:\\d{{2}})?)?$"
-SHORT_ZONE = f"^({_DATE}[T ]{_TIME}[+-]\\d{{2}})(\\d{{2}})$"
-COMPACT_DATE = r"^\d{8}$"
+# The forms of ISO 8601 that are read, in their extended and basic spelling.
+_DAY = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?)"
+_SECOND = r"\d{2}(?:[.,]\d{1,9})?"
+_CLOCK = rf"(\d{{2}}(?::\d{{2}}(?::{_SECOND})?|\d{{2}}(?:{_SECOND})?)?)"
+_ZONE = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
+ISO_DATE = f"^{_DAY}$"
+ISO_TIMESTAMP = f"^{_DAY}(?:[T ]{_CLOCK}{_ZONE})?$"
+
+
+def _day(text: Column) -> Column:
+    """Date of one of the forms of ``_DAY``, null if there is no such day."""
+    digits = F.regexp_replace(text, "-", "")
+    year = F.left(digits, F.lit(4)).cast("int")
+    # The week that has the 4th of January is the first one.
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    week = F.substring(digits, 6, 2).cast("int")
+    weekday = F.coalesce(F.nullif(F.substring(digits, 8, 1), F.lit("")).cast("int"), F.lit(1))
+    monday = F.date_add(fourth, (week - 1) * 7 - F.weekday(fourth))
+    in_year = (week >= 1) & (F.year(F.date_add(monday, 3)) == year)
+    of_week = F.when(in_year, F.date_add(monday, weekday - 1))
+    plain = F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
+    return F.when(text.contains("W"), of_week).otherwise(plain)
 
 
 def iso_timestamp(text: Column) -> Column:
     """Null unless the whole text is an ISO date or time. The pattern keeps out the other forms
     that a plain cast accepts, such as a bare year or a bare time of day."""
-    with_colon = F.concat(F.left(text, F.length(text) - 2), F.lit(":"), F.right(text, F.lit(2)))
-    return (
-        F.when(text.rlike(ISO_TIMESTAMP), F.try_to_timestamp(text))
-        .when(text.rlike(COMPACT_DATE), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-        .when(text.rlike(SHORT_ZONE), F.try_to_timestamp(with_colon))
+
+    def part(number: int) -> Column:
+        return F.regexp_extract(text, ISO_TIMESTAMP, number)
+
+    clock = F.regexp_replace(F.translate(part(2), ",", "."), ":", "")
+    digits = F.rpad(F.split_part(clock, F.lit("."), F.lit(1)), 6, "0")
+    fraction = F.split_part(F.concat(clock, F.lit(".")), F.lit("."), F.lit(2))
+    zone = F.regexp_replace(part(3), ":", "")
+    shift = F.when(F.length(zone) > 1, F.rpad(zone, 5, "0")).otherwise(zone)
+    spelled = F.concat(
+        _day(part(1)).cast("string"),
+        F.lit("T"),
+        F.regexp_replace(digits, r"(\d\d)(\d\d)(\d\d)", "$1:$2:$3"),
+        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
+        F.regexp_replace(shift, r"(\d\d)(\d\d)", "$1:$2"),
     )
+    return F.when(text.rlike(ISO_TIMESTAMP), F.try_to_timestamp(spelled))
 
 
 def iso_date(text: Column) -> Column:
-    compact = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
-    return F.when(text.rlike(ISO_DATE), text.try_cast("date")).when(
-        text.rlike(COMPACT_DATE), compact
-    )
+    return F.when(text.rlike(ISO_DATE), _day(text))
 
 
 def cutoff_time(as_of: datetime, days: int | None) -> datetime | None:

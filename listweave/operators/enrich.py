@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listweave.operators.spread import group_join
+from listweave.operators.spread import group_join, stored_join
+from listweave.session import pinned
 
 
 def last_values(
@@ -29,12 +30,33 @@ def workplace_type(badge: Column, criteria: Column) -> Column:
 def with_blanks(rows: DataFrame, details: DataFrame, on: str) -> DataFrame:
     """Left join of at most one detail row per key; missing text becomes empty."""
     added = [c for c in details.columns if c != on]
-    return rows.join(details, on, "left").fillna("", subset=added)
+    spread = [c for c in rows.columns if c != on]
+    details = details.filter(F.col(on).isNotNull())
+    return group_join(rows, details, [on], "left", spread).fillna("", subset=added)
 
 
 def latest_details(raw_details: DataFrame, kept: DataFrame, key: str = "job_id") -> DataFrame:
-    """Latest payload of each kept listing; no other payload is moved or parsed."""
+    """Latest payload of each kept listing; no other payload is parsed.
+
+    Which one it is, is decided on key, time and digest; of equal payloads at one time either.
+    Only details of wanted keys are moved, and of those that are not the latest no payload.
+    """
     wanted = kept.select(key).distinct()
-    needed = group_join(raw_details, wanted, [key], "left_semi", ["fetched_at", "payload"])
-    latest = F.max_by("payload", F.struct("fetched_at", "payload"))
-    return needed.groupBy(key).agg(latest.alias("payload"))
+    place = F.struct("fetched_at", "_digest")
+    marked = raw_details.withColumn("_digest", F.xxhash64("payload"))
+    narrow = group_join(
+        marked.select(key, "fetched_at", "_digest"), wanted, [key], "left_semi", ["_digest"]
+    )
+    latest = pinned(
+        narrow.groupBy(key)
+        .agg(F.max(place).alias("_last"))
+        .select(key, F.col("_last.fetched_at").alias("fetched_at"), "_last._digest")
+    )
+    chosen = stored_join(
+        marked.select(key, "fetched_at", "_digest", "payload"),
+        latest,
+        [key, "fetched_at", "_digest"],
+        "left_semi",
+        ["_digest"],
+    )
+    return chosen.groupBy(key).agg(F.first("payload").alias("payload"))

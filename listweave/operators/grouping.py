@@ -9,15 +9,16 @@ from listweave.operators.spread import group_join, numbered
 
 
 def by_query(listings: DataFrame, query: str, order: list[str]) -> DataFrame:
-    """Adds ``pos`` and ``n_items``: every query's listings in order, without gathering
-    a query in one row.
+    """Adds ``pos`` and ``n_items``: every query's listings in order, nulls last, without
+    gathering a query in one row.
 
-    Positions are worked out on the order columns alone. The listings move once, in a join on
-    query and order, which no query can skew. Neither may be null.
+    The listings themselves are numbered, so rows of equal order get a place each, in any order
+    among them. Null queries are a query like any other.
     """
-    places = numbered(listings.select(query, *order), [query], [F.col(c) for c in order], "pos")
-    sizes = places.groupBy(query).agg(F.max("pos").alias("n_items"))
-    return listings.join(group_join(places, sizes, [query], "left", order), [query, *order])
+    in_order = [F.col(c).asc_nulls_last() for c in order]
+    places = numbered(listings, [query], in_order, "pos")
+    sizes = listings.groupBy(query).agg(F.count("*").alias("n_items"))
+    return group_join(places, sizes, [query], "left", order)
 
 
 def ordered_union(branches: list[DataFrame]) -> DataFrame:

@@ -59,6 +59,7 @@ CARD_PAGE_SIZE = 25
 JOB_LISTING = _strings(JOB_COLUMNS)
 BOARD_LISTING = _strings(BOARD_COLUMNS)
 
+# Columns of landed pages and details, and field names of their payloads.
 RAW_PAGES = (
     "source string, query string, query_pos int, origin string, page_no int, "
     "payload string, fetched_at timestamp"
@@ -99,6 +100,7 @@ API_KEYS_PAYLOAD = _api_envelope(
 )
 API_RESULTS = "data.search.universalSearchNuxt.visitorJobSearchV1.results"
 
+# Fields of cards and details.
 CARD = _strings(["job_id", "title", "company", "location", "publish_time", "url"])
 DETAIL = T.StructType(
     [

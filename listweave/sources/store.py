@@ -1,5 +1,8 @@
 """The store of records: append only, one folder per run, keys never written twice.
 
+A CSV store holds texts with line breaks, so its files cannot be split: a file is read by one task.
+Take over a single large CSV file by copying it into a Parquet store first (``Store.take_over``).
+
 A run writes its own ``run_id=`` folder with overwrite and looks only at the other folders for
 known keys, so a repeated run replaces what a failed attempt left behind.
 """
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listweave.operators.incremental import first_writer, query_counts, unseen
+from listweave.operators.spread import is_small, null_safe_join
 from listweave.session import pinned
 
 CSV_WRITE = {
@@ -57,6 +61,10 @@ class Store:
     def ids(self, spark: SparkSession) -> DataFrame:
         return self.keys(spark).distinct()
 
+    def take_over(self, old: "Store", spark: SparkSession, run_id: str) -> int:
+        """Copies all records of another store into one run of this one."""
+        return self.write(old.read(spark), run_id)
+
     def write(self, records: DataFrame, run_id: str) -> int:
         """Writes the records in schema order and returns how many there were."""
         seen = Observation()
@@ -74,21 +82,28 @@ class Store:
     ) -> DataFrame:
         """Writes the listings whose key is neither stored nor earlier in the run.
 
-        Returns fetched, new and skipped per query. Nothing is written for an empty batch.
+        Returns fetched, new and skipped per query. What is new is decided on keys, arrival and
+        query alone; a listing as a whole is moved once. Nothing is written if nothing is new,
+        except over what a failed attempt of the same run has left. ``arrival`` is unique in the
+        run.
         """
         spark = listings.sparkSession
         batch = pinned(listings)
-        new = pinned(
-            unseen(
-                first_writer(batch, self.key, arrival),
-                self.keys(spark, but_run=run_id),
-                self.key,
-                arrival,
-            )
-        )
-        if not batch.isEmpty():
-            self.write(new, run_id)
-        return query_counts(batch, new, query)
+        place = list(dict.fromkeys([*arrival, self.key]))
+        names = list(dict.fromkeys([*place, query]))
+        firsts = pinned(first_writer(batch.select(*names), self.key, arrival))
+        stored = self.keys(spark, but_run=run_id)
+        # Few of the stored keys matter to a batch, so they are reduced to its keys first.
+        wanted = firsts.select(self.key)
+        wanted = F.broadcast(wanted) if is_small(wanted) else wanted
+        hits = pinned(null_safe_join(stored, wanted, [self.key], "left_semi"))
+        new = pinned(unseen(firsts, hits, self.key, arrival))
+        if not new.isEmpty() or self._has_run(spark, run_id):
+            self.write(null_safe_join(batch, new.select(*place), place, "left_semi"), run_id)
+        return query_counts(batch.select(query), new, query)
+
+    def _has_run(self, spark: SparkSession, run_id: str) -> bool:
+        return not self.read(spark).filter(F.col("run_id") == run_id).isEmpty()
 
 
 def stored_keys(stored: DataFrame, key: str) -> DataFrame:

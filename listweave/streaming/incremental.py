@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from listweave.sources.store import Store
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that owns a checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def start_incremental(
     landed: DataFrame,
     to_listings: Callable[[DataFrame], DataFrame],
@@ -21,12 +27,15 @@ def start_incremental(
     """Takes up all files that have landed and stops.
 
     Each batch is one run: cutoff, cap and page end need the complete pages of a query, so
-    ``to_listings`` works on the batch as a table. The run id comes from the batch id, so a batch
-    repeated after a failure overwrites its own folder.
+    ``to_listings`` works on the batch as a table. The run id is the id of the stream, which its
+    checkpoint keeps, and the batch id: a batch repeated after a failure overwrites its own folder,
+    and no other stream's. Two streams into one store must not run at the same time, as neither
+    sees what the other is about to write.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        store.append_new(to_listings(batch), f"batch-{batch_id:09d}", arrival, query)
+        run = f"{stream_id(batch.sparkSession, checkpoint)}-{batch_id:09d}"
+        store.append_new(to_listings(batch), run, arrival, query)
 
     return (
         landed.writeStream.foreachBatch(save)

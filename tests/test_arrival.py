@@ -205,6 +205,14 @@ def test_by_query_keeps_every_listing_in_order(spark):
     }
 
 
+def test_by_query_with_ties_and_nulls(spark):
+    rows = [("q", 1, "a"), ("q", 1, "b"), ("q", None, "c"), (None, 2, "d"), (None, None, "e")]
+    got = by_query(spark.createDataFrame(rows, "query string, at int, v string"), "query", ["at"])
+    found = {r.v: (r.query, r.pos, r.n_items) for r in got.collect()}
+    assert {found.pop("a"), found.pop("b")} == {("q", 1, 3), ("q", 2, 3)}
+    assert found == {"c": ("q", 3, 3), "d": (None, 1, 2), "e": (None, 2, 2)}
+
+
 def test_ordered_union(spark):
     a, b = spark.range(1), spark.range(2)
     assert sorted((r.branch, r.id) for r in ordered_union([a, b]).collect()) == [(0, 0), (1, 0), (1, 1)]

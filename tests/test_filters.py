@@ -37,7 +37,9 @@ def test_parameters_in_order():
 
 def test_overrides():
     settings = {"location": "Oslo", "workplace_types": ["2", "3"], "experience_levels": ["1"]}
-    merged = filters.with_overrides(settings, "Rome", "remote", "contract", "director")
+    merged = filters.with_overrides(
+        settings, "Rome", workplace="remote", employment_type="contract", experience_level="director"
+    )
     assert merged == {
         "location": "Rome", "workplace_types": ["2", "3"], "experience_levels": ["5"],
         "employment_types": ["C"],
@@ -70,7 +72,7 @@ def test_unknown_codes_can_fail_the_job(spark):
 def test_code_lookup_keeps_unlisted(spark):
     codes = spark.createDataFrame([(v, k) for k, v in filters.EXPERIENCE_CODES.items()], "code string, word string")
     df = spark.createDataFrame([("2", 1), ("9", 2)], "code string, i int")
-    got = filters.labelled(df, codes, "code", ["i"]).collect()
+    got = filters.labelled(df, codes, "code").collect()
     assert sorted((r.code, r.word) for r in got) == [("2", "entry"), ("9", None)]
 
 

@@ -62,6 +62,27 @@ def test_repeated_run_replaces_its_own_attempt(spark, store):
     assert stored(spark, store) == ["a", "c", "d"]
 
 
+def test_nothing_new_leaves_no_folder(spark, store):
+    store.append_new(listings(spark, "a"), "r1", ARRIVAL)
+    assert counts(store.append_new(listings(spark, "a"), "r2", ARRIVAL)) == {"q": (1, 0, 1)}
+    assert sorted(os.listdir(store.path)) == ["run_id=r1"]
+
+
+def test_retry_without_anything_new_replaces_the_attempt(spark, store):
+    store.append_new(listings(spark, "a"), "r1", ARRIVAL)
+    store.write(listings(spark, "a", "b").select(*JOB_LISTING.names), "r2")
+    assert counts(store.append_new(listings(spark, "a"), "r2", ARRIVAL)) == {"q": (1, 0, 1)}
+    assert stored(spark, store) == ["a"]
+
+
+def test_large_csv_is_taken_over_once(spark, tmp_path):
+    old = Store(str(tmp_path / "old"), JOB_LISTING, format="csv")
+    old.append_new(listings(spark, "a", "b"), "r1", ARRIVAL)
+    new = Store(str(tmp_path / "new"), JOB_LISTING)
+    assert new.take_over(old, spark, "import") == 2
+    assert counts(new.append_new(listings(spark, "b", "c"), "r2", ARRIVAL)) == {"q": (2, 1, 1)}
+
+
 def test_empty_batch_creates_nothing(spark, store):
     assert counts(store.append_new(listings(spark, "a").limit(0), "r1", ARRIVAL)) == {}
     assert not os.path.exists(store.path)

@@ -66,6 +66,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got.select("job_id", "query").collect()) == sorted(expected)
 
 
+def test_streams_into_one_store_keep_each_other(spark, tmp_path):
+    store = Store(str(tmp_path / "store"), StructType.fromDDL("job_id string, query string"))
+    schema = "query string, job_id string, pos int"
+    for name, keys in (("one", "abc"), ("two", "cd")):
+        folder = str(tmp_path / name)
+        rows = [("q", key, i) for i, key in enumerate(keys)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+        start_incremental(
+            spark.readStream.schema(schema).parquet(folder),
+            lambda batch: batch,
+            store,
+            str(tmp_path / f"checkpoint-{name}"),
+            ["pos"],
+        ).awaitTermination()
+    assert sorted(r.job_id for r in store.read(spark).collect()) == list("abcd")
+
+
 def test_bounded_dedup(spark, tmp_path):
     rows = [("a", "2026-03-30 10:00:00"), ("a", "2026-03-30 10:05:00"), ("b", "2026-03-30 10:01:00")]
     df = spark.createDataFrame(rows, "job_id string, at string").withColumn("at", F.to_timestamp("at"))

@@ -36,6 +36,27 @@ def test_time_recency(value_of):
     assert dict(zip(texts, value_of(old, *texts))) == texts
 
 
+def test_forms_equal_fromisoformat(value_of):
+    forms = [
+        "2026-03-27T10", "20260327T100000", "20260327T1000", "20260327T10", "20260327T100000Z",
+        "2026-03-27T10:00:00+02", "2026-03-27T10:00:00,25", "2026-03-27 10:00:00.123456",
+        "2026-W13-5", "2026W135", "2026-W13", "2026-W01-1", "2020-W53-7", "2026-W13-5T10:30-05:30",
+        "20260327T103000+0130", "2026-03-27T23:59:59Z", "1999-12-31",
+    ]
+    got = value_of(F.unix_micros(times.iso_timestamp(A)), *forms)
+    zero = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    for form, micros in zip(forms, got, strict=True):
+        expected = datetime.fromisoformat(form)
+        if expected.tzinfo is None:
+            expected = expected.replace(tzinfo=timezone.utc)
+        assert micros == (expected - zero) // timedelta(microseconds=1), form
+    broken = ["2026-W54-1", "2021-W53-1", "2026-W13-8", "2026-3-27", "2026-03-27T1", "2026-03-27T10:0",
+              "2026-03-27T25", "2026-03-27T10:00:00+2", "2026-13-01", "26-03-27", "T10:00"]
+    assert value_of(times.iso_timestamp(A), *broken) == [None] * len(broken)
+    days = value_of(times.iso_date(A).cast("string"), "2026-W13-5", "20260327", "2026-03-27T10")
+    assert days == ["2026-03-27", "2026-03-27", None]
+
+
 def test_date_recency(value_of):
     texts = {
         "2026-03-29": False,
