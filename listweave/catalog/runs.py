@@ -13,6 +13,7 @@ from listweave.catalog.base import iso_text, query, table
 from listweave.catalog.payloads import in_envelope, paged
 from listweave.plans import board_run as board_plan, job_run as job_plan  # noqa: F401  register
 from listweave.schemas import BOARD_SOURCE, JOB_SOURCE
+from listweave.sources.html_pages import card_items, card_pages, parsed_details
 from listweave.sources.registry import source
 
 EVENTS_PER_PAGE = 500
@@ -273,3 +274,37 @@ def board_run(spark, sf_dir):
         stamp=F.lit(""),
     )
     return records.drop("query_pos", "source", "skills", "scraped_at")
+
+
+@query(
+    """
+    SELECT event_type AS query, event_id // 250 AS page_no,
+           row_number() OVER (PARTITION BY event_type, event_id // 250 ORDER BY event_id) - 1 AS pos,
+           user_id || '0' || (props ->> '$.k') AS job_id, event_type || ' &Co' AS title,
+           'User <' || user_id || '>' AS company, 'Zone ' || (props ->> '$.k') AS location,
+           CASE WHEN value < 20 THEN ''
+                ELSE strftime(DATE '2024-02-01' - CAST(event_id // 1000 AS INT), '%Y-%m-%d') END
+             AS publish_time,
+           'https://example.org/view/' || user_id || '0' || (props ->> '$.k') AS url
+    FROM events
+    """
+)
+def board_cards(spark, sf_dir):
+    """Every card of every search page, as the board run reads them."""
+    cards = card_items(card_pages(landed_cards(spark, sf_dir).drop("query_pos")))
+    return cards.withColumns({c: F.col(c).cast("bigint") for c in ("page_no", "pos")})
+
+
+@query(
+    """
+    SELECT DISTINCT user_id || '0' || k AS job_id,
+           left('We & you' || repeat(chr(10) || 'line ' || k, 60), 500) AS description,
+           'Level ' || user_id AS experience_level, 'Type ' || k AS employment_type, '' AS skills,
+           'Over ' || k || ' applicants' AS applicant_count,
+           CASE length(k) WHEN 2 THEN 'Remote' ELSE 'Hybrid' END AS workplace_type
+    FROM (SELECT user_id, props ->> '$.k' AS k FROM events WHERE value >= 30)
+    """
+)
+def board_details(spark, sf_dir):
+    """Every detail page, as the board run reads them."""
+    return parsed_details(landed_details(spark, sf_dir))

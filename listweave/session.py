@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+# Sub-folder of the shared folder that new folders go to, as set by ``scratch``.
+_scratch: list[str] = []
+
+
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), *_scratch[-1:], f"{purpose}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what has been pinned within it. Results must be written by then."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    _scratch.append(name)
+    try:
+        yield
+    finally:
+        _scratch.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:
