@@ -25,6 +25,22 @@ ALNUM = bytes(
 )
 
 
+#: Bounds on the batches of texts that go to a Python worker and come back.
+BATCH_ROWS = 1_000
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends Python workers small batches from now on, as the default
+    of 10,000 rows is too many for long texts. A lower setting stays."""
+    conf = df.sparkSession.conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a name like it, that no column of ``df`` has in any case of letters."""
     taken = {c.lower() for c in df.columns}

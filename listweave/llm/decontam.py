@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from listweave.llm.common import (
     ALNUM,
+    bounded_batches,
     ends_of,
     fresh,
     large_texts,
@@ -210,6 +211,7 @@ def with_hits(
     """
     text = "text" if "text" in keep else fresh(docs.select(*keep), "text")
     columns = [*keep] if "text" in keep else [*keep, text]
+    bounded_batches(docs)
     work = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
     work = work.withColumn(name, F.lit(None).cast(FOUND))
     schema = work.schema

@@ -17,7 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from listweave.llm.common import LOWER, ends_of, large_texts, lots, ranges, translated
+from listweave.llm.common import (
+    LOWER,
+    bounded_batches,
+    ends_of,
+    large_texts,
+    lots,
+    ranges,
+    translated,
+)
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -258,7 +266,7 @@ def predicted(docs: DataFrame, held_out=None) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    rows = bounded_batches(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(
         run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
     )

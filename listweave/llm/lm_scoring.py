@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from listweave.llm import ctw
 from listweave.llm.common import (
     LOWER,
+    bounded_batches,
     ends_of,
     file_system,
     large_texts,
@@ -254,7 +255,7 @@ def scored(docs: DataFrame, held_out=None) -> DataFrame:
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.coalesce(~held_out, F.lit(False)).alias("learned"),

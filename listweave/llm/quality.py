@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from listweave.llm.common import (
     LOWER,
+    bounded_batches,
     ends_of,
     fresh,
     large_texts,
@@ -93,7 +94,8 @@ def gram_counts(labelled: DataFrame, buckets: int) -> np.ndarray:
         )
 
     summed = (
-        labelled.select("text", "quality")
+        bounded_batches(labelled)
+        .select("text", "quality")
         .mapInArrow(count, "bucket bigint, raw bigint, target bigint")
         .groupBy("bucket")
         .agg(F.sum("raw"), F.sum("target"))
@@ -118,7 +120,7 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 def with_log_weight(docs: DataFrame, keep: list[str], ratios: np.ndarray, name: str) -> DataFrame:
     """``keep`` columns with the log weight of ``text`` as ``name``, null if it has no words."""
     ratio = docs.sparkSession.sparkContext.broadcast(ratios)
-    work = docs.select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
+    work = bounded_batches(docs).select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
     buckets = len(ratios)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from listweave.llm.common import (
     LOWER,
+    bounded_batches,
     ends_of,
     fresh,
     large_texts,
@@ -34,7 +35,7 @@ from listweave.session import pinned
 SEED = 42
 PARTS = 4
 PART_BITS = 64 // PARTS
-SHINGLES_AT_ONCE = 200_000
+SHINGLES_AT_ONCE = 50_000
 TEXT_BYTES = 2 << 20
 CELLS_AT_ONCE = 1 << 20
 
@@ -76,7 +77,7 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, shingle: int, name: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with the fingerprint of ``text`` as a signed bigint ``name``."""
-    work = docs.select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
+    work = bounded_batches(docs).select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

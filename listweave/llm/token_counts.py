@@ -15,9 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from listweave.llm.common import large_texts, lots, split_words
+from listweave.llm.common import bounded_batches, large_texts, lots, split_words
 
 #: Bounds on what a task remembers; beyond either it starts anew.
 MOST_NODES = 600_000
@@ -145,6 +144,6 @@ def token_counts(docs: DataFrame, ranks_path: str) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_pretokens bigint, n_tokens bigint"
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from listweave.llm.common import ends_of, file_system, large_texts, lots, ranges
+from listweave.llm.common import bounded_batches, ends_of, file_system, large_texts, lots, ranges
 from listweave.session import pinned, run_folder
 
 END_ID = 2
@@ -214,7 +214,7 @@ def write_tokens(
     A file counts once it is in the manifest: a task that is run again writes another file. Ties of
     ``doc_id`` are ordered by hash of the text, null ids come first.
     """
-    numbered = docs.select(
+    numbered = bounded_batches(docs).select(
         "doc_id",
         "text",
         F.xxhash64("text").alias("tie"),
