@@ -1,8 +1,9 @@
-"""The one Python step: fields out of HTML, in Arrow batches.
+"""Fields out of HTML, in Arrow batches.
 
-A small tree is built per document: void elements hold nothing, an end tag closes the nearest
-open element of its name together with everything inside it, and an end tag without a partner
-is ignored. Script and style text is not part of the text of an element.
+Void elements hold nothing, an end tag closes the nearest open element of its name together with
+everything inside it, and an end tag without a partner is ignored. Script and style text is not
+part of the text of an element. Cards and details are read in one pass over the tags; links and
+headings come from a small tree.
 """
 
 from __future__ import annotations
@@ -157,42 +158,204 @@ WORKPLACE = (
 )
 
 
+class _Captured:
+    """Text of an element that is read while it is open."""
+
+    __slots__ = ("depth", "hidden", "parts", "between")
+
+    def __init__(self, depth: int, hidden: int, between: str) -> None:
+        self.depth = depth
+        self.hidden = hidden
+        self.parts: list[str] = []
+        self.between = between
+
+    def text(self) -> str:
+        return self.between.join(self.parts)
+
+
+class _Scope:
+    """An open element and the fields that are still to be found inside it."""
+
+    __slots__ = ("depth", "wanted", "found")
+
+    def __init__(self, depth: int, wanted: dict) -> None:
+        self.depth = depth
+        self.wanted = dict(wanted)
+        self.found: dict[str, str | _Captured] = {}
+
+    def value(self, name: str) -> str | None:
+        value = self.found.get(name)
+        return value.text() if isinstance(value, _Captured) else value
+
+
+class _Reader(HTMLParser):
+    """Fields of a document in one pass over its tags, with the closing rules of :func:`tree`.
+
+    A wanted field is (tag or "", class names or (), attribute or None for the text, text between
+    pieces); the first element that fits gives it.
+    """
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.hidden = 0
+        self.reading: list[_Captured] = []
+        self.scopes: list[_Scope] = []
+        self.pieces: list[str] = []
+
+    def opened(self, depth: int, tag: str, attrs: dict[str, str], names: set[str]) -> None:
+        """What a new element means; its own scopes are added after the scopes it is in."""
+        raise NotImplementedError
+
+    def look(self, scope: _Scope, depth: int, tag: str, attrs: dict, names: set[str]) -> None:
+        for field, (wanted_tag, classes, attr, between) in list(scope.wanted.items()):
+            if wanted_tag and wanted_tag != tag or classes and names.isdisjoint(classes):
+                continue
+            del scope.wanted[field]
+            if attr is not None:
+                scope.found[field] = attrs.get(attr, "")
+            else:
+                captured = _Captured(depth, self.hidden + (tag in UNREAD), between)
+                scope.found[field] = captured
+                if tag not in VOID:
+                    self.reading.append(captured)
+
+    def _flush(self) -> None:
+        if self.pieces:
+            piece = "".join(self.pieces).strip()
+            self.pieces = []
+            if piece:
+                for captured in self.reading:
+                    if captured.hidden == self.hidden:
+                        captured.parts.append(piece)
+
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        named = {key: value or "" for key, value in attrs}
+        depth = len(self.open) + 1
+        self.opened(depth, tag, named, set(named.get("class", "").split()))
+        if tag not in VOID:
+            self.open.append(tag)
+            self.hidden += tag in UNREAD
+        else:
+            self.scopes = [s for s in self.scopes if s.depth < depth]
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self._flush()
+        for depth in range(len(self.open), 0, -1):
+            if self.open[depth - 1] == tag:
+                self.hidden -= sum(name in UNREAD for name in self.open[depth - 1 :])
+                del self.open[depth - 1 :]
+                if self.reading:
+                    self.reading = [c for c in self.reading if c.depth < depth]
+                if self.scopes:
+                    self.scopes = [s for s in self.scopes if s.depth < depth]
+                return
+
+    def handle_data(self, data):
+        self.pieces.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
+
+    def read(self, html: str | None):
+        self.feed(html or "")
+        self.close()
+        self._flush()
+        return self
+
+
+CARD_FIELDS = {
+    "title": ("h3", CARD_TITLE, None, ""),
+    "company": ("h4", CARD_COMPANY, None, ""),
+    "location": ("", CARD_LOCATION, None, ""),
+    "publish_time": ("time", (), "datetime", ""),
+    "url": ("a", CARD_LINK, "href", ""),
+}
+DETAIL_FIELDS = {
+    "description": ("", DETAIL_TEXT, None, "\n"),
+    "applicant_count": ("", APPLICANTS, None, ""),
+    "workplace_badge": ("", WORKPLACE, None, ""),
+}
+CRITERION_FIELDS = {
+    "header": ("", CRITERION_HEADER, None, ""),
+    "value": ("", CRITERION_VALUE, None, ""),
+}
+
+
+class _CardReader(_Reader):
+    """List items in order, each with the card in its first box that names a key."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.items: list[list[_Scope]] = []
+        self.waiting: list[tuple[int, list[_Scope]]] = []
+
+    def opened(self, depth, tag, attrs, names):
+        for scope in self.scopes:
+            if scope.wanted:
+                self.look(scope, depth, tag, attrs, names)
+        if tag == "div" and CARD_KEY in attrs:
+            box = None
+            for inside, item in self.waiting:
+                if inside < depth and not item:
+                    if box is None:
+                        box = _Scope(depth, CARD_FIELDS)
+                        box.found["job_id"] = attrs[CARD_KEY].rpartition(":")[2]
+                        self.scopes.append(box)
+                    item.append(box)
+        if tag == "li":
+            item: list[_Scope] = []
+            self.items.append(item)
+            self.waiting.append((depth, item))
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        if self.waiting:
+            self.waiting = [(d, i) for d, i in self.waiting if d <= len(self.open)]
+
+
+class _DetailReader(_Reader):
+    def __init__(self) -> None:
+        super().__init__()
+        self.page = _Scope(0, DETAIL_FIELDS)
+        self.scopes.append(self.page)
+        self.criteria: list[_Scope] = []
+
+    def opened(self, depth, tag, attrs, names):
+        if not names:
+            return
+        for scope in self.scopes:
+            if scope.wanted:
+                self.look(scope, depth, tag, attrs, names)
+        if not names.isdisjoint(CRITERION):
+            item = _Scope(depth, CRITERION_FIELDS)
+            self.criteria.append(item)
+            self.scopes.append(item)
+
+
 def _cards(html: str | None) -> list[dict]:
-    found = []
-    for item in tree(html).every("li"):
-        box = item.first("div", attr=CARD_KEY)
-        key = _attr_of(box, CARD_KEY).rpartition(":")[2]
-        if key:
-            found.append(
-                {
-                    "job_id": key,
-                    "title": _text_of(box.first("h3", CARD_TITLE)),
-                    "company": _text_of(box.first("h4", CARD_COMPANY)),
-                    "location": _text_of(box.first(classes=CARD_LOCATION)),
-                    "publish_time": _attr_of(box.first("time"), "datetime"),
-                    "url": _attr_of(box.first("a", CARD_LINK), "href"),
-                }
-            )
-    return found
-
-
-def _criteria(page: Element) -> dict[str, str]:
-    """By header in lower case; a repeated header keeps its last value."""
-    pairs = (
-        (item.first(classes=CRITERION_HEADER), item.first(classes=CRITERION_VALUE))
-        for item in page.every(classes=CRITERION)
-    )
-    return {h.text().lower(): v.text() for h, v in pairs if h is not None and v is not None}
+    boxes = (item[0] for item in _CardReader().read(html).items if item)
+    return [
+        {name: box.value(name) or "" for name in ("job_id", *CARD_FIELDS)}
+        for box in boxes
+        if box.found["job_id"]
+    ]
 
 
 def _detail(html: str | None) -> dict:
-    page = tree(html)
-    badge = page.first(classes=WORKPLACE)
+    """Criteria by header in lower case; a repeated header keeps its last value."""
+    reader = _DetailReader().read(html)
+    pairs = [(item.value("header"), item.value("value")) for item in reader.criteria]
     return {
-        "description": _text_of(page.first(classes=DETAIL_TEXT), "\n"),
-        "criteria": _criteria(page),
-        "applicant_count": _text_of(page.first(classes=APPLICANTS)),
-        "workplace_badge": None if badge is None else badge.text(),
+        "description": reader.page.value("description") or "",
+        "criteria": {h.lower(): v for h, v in pairs if h is not None and v is not None},
+        "applicant_count": reader.page.value("applicant_count") or "",
+        "workplace_badge": reader.page.value("workplace_badge"),
     }
 
 
