@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from listweave.catalog.base import iso_text, query, table
 from listweave.catalog.payloads import in_envelope, paged
+from listweave.functions import html
 from listweave.plans import board_run as board_plan, job_run as job_plan  # noqa: F401  register
 from listweave.schemas import BOARD_SOURCE, JOB_SOURCE
 from listweave.sources.html_pages import card_items, card_pages, parsed_details
@@ -168,15 +169,15 @@ def landed_cards(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     key = F.concat_ws("", "user_id", F.lit("0"), k)
     card = F.concat(
-        F.lit('<li class="x"><div class="base-card" data-entity-urn="urn:li:jobPosting:'),
+        F.lit(f'<li class="x"><div class="base-card" {html.CARD_KEY}="urn:li:jobPosting:'),
         key,
-        F.lit('"><a class="wide base-card__full-link" href="https://example.org/view/'),
+        F.lit(f'"><a class="wide {html.CARD_LINK[0]}" href="https://example.org/view/'),
         key,
-        F.lit('?ref=a&amp;b=1"><span>open</span></a><br><h3 class="base-search-card__title">\n '),
+        F.lit(f'?ref=a&amp;b=1"><span>open</span></a><br><h3 class="{html.CARD_TITLE[0]}">\n '),
         "event_type",
-        F.lit(' &amp; <b> Co </b>\n</h3><h4 class="base-search-card__subtitle"> <a>User &lt;'),
+        F.lit(f' &amp; <b> Co </b>\n</h3><h4 class="{html.CARD_COMPANY[0]}"> <a>User &lt;'),
         "user_id",
-        F.lit('&gt;</a></h4><span class="job-search-card__location">Zone '),
+        F.lit(f'&gt;</a></h4><span class="{html.CARD_LOCATION[0]}">Zone '),
         k,
         F.lit('</span><script>var t="</h3>";</script><time datetime="'),
         day,
@@ -202,25 +203,24 @@ def landed_details(spark, sf_dir):
 
     def criterion(header: str, value) -> list:
         return [
-            F.lit('<li class="description__job-criteria-item"><h3 class="description__job-criteria-'
-                  f'subheader"> {header} </h3><span class="description__job-criteria-text '
-                  'description__job-criteria-text--criteria">\n'),
+            F.lit(f'<li class="{html.CRITERION[0]}"><h3 class="{html.CRITERION_HEADER[0]}"> {header} '
+                  f'</h3><span class="{" ".join(html.CRITERION_VALUE)}">\n'),
             value,
             F.lit("\n</span></li>"),
         ]
 
     page = F.concat(
-        F.lit('<div class="show-more-less-html__markup"> We &amp; you <br><p>'),
+        F.lit(f'<div class="{html.DETAIL_TEXT[0]}"> We &amp; you <br><p>'),
         F.repeat(F.concat(F.lit("line "), "k", F.lit("<br/>")), 60),
         F.lit("</div><ul>"),
         *criterion("Seniority level", F.lit("Replaced")),
         *criterion("Employment type", F.concat(F.lit("Type "), "k")),
         *criterion("Seniority level", F.concat(F.lit("Level "), "user_id")),
         *criterion("On-site/Remote", F.lit("Hybrid")),
-        F.lit('</ul><figcaption class="num-applicants__caption"> Over '),
+        F.lit(f'</ul><figcaption class="{html.APPLICANTS[0]}"> Over '),
         "k",
         F.lit(" applicants</figcaption>"),
-        F.when(F.length("k") == 2, '<span class="workplace-type">Remote</span>').otherwise(""),
+        F.when(F.length("k") == 2, f'<span class="{html.WORKPLACE[0]}">Remote</span>').otherwise(""),
     )
     return reached.select("job_id", page.alias("payload"), "fetched_at")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listweave.functions import html as names
 from listweave.functions.html import list_links, page_headings, tree
 from listweave.functions.times import iso_date
 from listweave.plans.normalise import board_listings, with_typed_board_columns
@@ -9,15 +10,15 @@ from listweave.sources.html_pages import card_items, card_pages, parsed_details
 
 
 def card(urn, body=""):
-    return f'<li><div class="base-card" data-entity-urn="{urn}">{body}</div></li>'
+    return f'<li><div class="base-card" {names.CARD_KEY}="{urn}">{body}</div></li>'
 
 
-FULL = """
-<a class="x base-card__full-link" href="https://example.org/v/1?a=1#top">go</a>
-<h3 class="base-search-card__title"> Data &amp; <b>AI</b>
+FULL = f"""
+<a class="x {names.CARD_LINK[0]}" href="https://example.org/v/1?a=1#top">go</a>
+<h3 class="{names.CARD_TITLE[0]}"> Data &amp; <b>AI</b>
  Lead </h3>
-<h4 class="base-search-card__subtitle"><a> Acme </a></h4>
-<span class="job-search-card__location"> Oslo </span><time datetime="2026-03-30">1 day</time>
+<h4 class="{names.CARD_COMPANY[0]}"><a> Acme </a></h4>
+<span class="{names.CARD_LOCATION[0]}"> Oslo </span><time datetime="2026-03-30">1 day</time>
 """
 
 
@@ -53,23 +54,26 @@ def test_nested_items_and_duplicates_stay(spark):
     assert [c["job_id"] for c in cards_of(spark, html)] == ["1", "1", "2", "1"]
 
 
-DETAIL = """
-<p>unclosed <div class="x show-more-less-html__markup"> First<br>second &lt;b&gt;
- <ul><li> third </li></ul><!-- not this --><script>var a = "</p>";</script></div>
-<ul>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader"> Seniority Level </h3>
- <span class="description__job-criteria-text">Entry</span></li>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">seniority level</h3>
- <span class="description__job-criteria-text--criteria"> Director </span></li>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Employment type</h3>
- <span class="description__job-criteria-text">Full-time</span></li>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Job function</h3>
- <span class="description__job-criteria-text">IT</span></li>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">On-site/Remote</h3>
- <span class="description__job-criteria-text">Hybrid</span></li>
-<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">No value</h3></li>
-</ul>
-"""
+def criterion(header, value=None, kind=-1):
+    """A criterion in either order of header and value, in tags of any kind."""
+    head = f'<dt class="{names.CRITERION_HEADER[0]}"> {header}\n</dt>'
+    text = "" if value is None else f'<dd class="y {names.CRITERION_VALUE[kind]}">{value} </dd>'
+    parts = (head, text) if kind else (text, head)
+    return f'<dl class="{names.CRITERION[0]} z">{"".join(parts)}</dl>'
+
+
+DETAIL = (
+    criterion("Job function", "IT", 0)
+    + criterion("Seniority Level", "Entry")
+    + f"""<p>unclosed <section class="x {names.DETAIL_TEXT[0]}"> First<br>second &lt;b&gt;
+ <ul><li> third </li></ul><!-- not this --><script>var a = "</p>";</script></section>"""
+    + criterion("seniority level", "Director", 0)
+    + criterion("No value")
+    + "<aside>"
+    + criterion("On-site/Remote", "Hybrid")
+    + criterion("Employment type", "Full-time", 0)
+    + "</aside>"
+)
 
 
 def detail_of(spark, html):
@@ -78,7 +82,7 @@ def detail_of(spark, html):
 
 
 def test_detail(spark):
-    got = detail_of(spark, DETAIL + '<figcaption class="num-applicants__caption"> Over 200 applicants </figcaption>')
+    got = detail_of(spark, DETAIL + f'<p class="{names.APPLICANTS[0]}"> Over 200 applicants </p>')
     assert got == {
         "job_id": "1", "description": "First\nsecond <b>\nthird", "experience_level": "Director",
         "employment_type": "Full-time", "skills": "IT", "applicant_count": "Over 200 applicants",
@@ -87,15 +91,16 @@ def test_detail(spark):
 
 
 def test_badge_wins_even_if_empty(spark):
-    assert detail_of(spark, DETAIL + '<b class="workplace-type"> Remote </b>')["workplace_type"] == "Remote"
-    badge = '<b class="jobs-unified-top-card__workplace-type"> </b>'
+    badge = f'<b class="{names.WORKPLACE[0]}"> Remote </b>'
+    assert detail_of(spark, DETAIL + badge)["workplace_type"] == "Remote"
+    badge = f'<b class="{names.WORKPLACE[1]}"> </b>'
     assert detail_of(spark, DETAIL + badge)["workplace_type"] == ""
 
 
 def test_reached_limit_and_long_description(spark):
     html = (
-        '<i class="num-applicants__caption--reached-applicant-limit">Full</i>'
-        f'<div class="show-more-less-html__markup">{"é" * 600}</div>'
+        f'<i class="{names.APPLICANTS[1]}">Full</i>'
+        f'<div class="{names.DETAIL_TEXT[0]}">{"é" * 600}</div>'
     )
     got = detail_of(spark, html)
     assert (got["applicant_count"], got["description"]) == ("Full", "é" * 500)
@@ -107,6 +112,18 @@ def test_empty_detail_is_blank(spark):
         assert {v for k, v in got.items() if k != "job_id"} == {""}
 
 
+def test_broken_and_nested_markup(spark):
+    """An inner item's box is also the first one of an item around it; a box ends with its item."""
+    title = f'<h3 class="{names.CARD_TITLE[0]}">'
+    html = (
+        f"<li>{card('a:1', title + 'one')}{title}outside</h3></li>"
+        f'<li><div {names.CARD_KEY}="b:2"><b>{title}two</li>{title}late</h3>'
+        f'<li><div {names.CARD_KEY}="c:3"><script>{title}no</script>{title}th<i>re</b>e</h3>'
+    )
+    got = [(c["job_id"], c["title"]) for c in cards_of(spark, html)]
+    assert got == [("1", "one"), ("1", "one"), ("2", "two"), ("3", "three")]
+
+
 def test_tree_rules():
     page = tree("<div id=a><b>x</i></b><br/><img>y<p>z</div>w")
     assert [e.name for e in page.below()] == ["div", "b", "br", "img", "p"]
