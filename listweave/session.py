@@ -60,17 +60,24 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return "/".join([shared_dir(spark), *_scratch[-1:], f"{purpose}-{uuid.uuid4().hex}"])
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what has been pinned within it. Results must be written by then."""
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[str]:
+    """A folder for all that is pinned within the block. It is removed at the end, so results must
+    be written by then; with ``keep`` that is left to the caller."""
     name = f"scratch-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
     _scratch.append(name)
     try:
-        yield
+        yield folder
     finally:
         _scratch.remove(name)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if not keep:
+            remove_folder(spark, folder)
 
 
 def pinned(df: DataFrame) -> DataFrame:
