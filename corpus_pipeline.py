@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from listweave.llm import decontam, mixing, quality, sharding, simhash
 from listweave.llm.queries import table
-from listweave.session import pinned
+from listweave.session import pinned, remove_folder, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,22 +18,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL: str | None = None
 
 
+#: Folders of intermediate tables, by application and data folder, of the stage before.
+_used: dict[tuple[str, str], list[str]] = defaultdict(list)
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage with its intermediate tables in a folder of their own. They are removed when the
+    next stage begins, as what the stage kept is written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = _used[spark.sparkContext.applicationId, sf_dir]
+        while before:
+            remove_folder(spark, before.pop())
+        with scratch(spark, keep=True) as folder:
+            before.append(folder)
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@tidy
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_documents(docs, shingle=3, radius=3)
 
 
+@tidy
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@tidy
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs, shards=40)
 
