@@ -34,7 +34,10 @@ SHARD_BYTES = 16 << 20
 #: Bound on the benchmark text of one broadcast; a larger benchmark is searched in several steps.
 BLOCK_BYTES = 8 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
+FOUND = (
+    "struct<n_words:bigint,n_hit:bigint,items:array<string>,"
+    "spans:array<struct<start:int,end:int>>>"
+)
 FOUND_ARROW = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -249,7 +252,8 @@ def with_hits(
     context = docs.sparkSession.sparkContext
     steps = 0
     for ids, texts in _blocks(bench, block_bytes):
-        work = work.mapInArrow(step(context.broadcast(phrases_of(ids, texts, window).plain())), schema)
+        phrases = context.broadcast(phrases_of(ids, texts, window).plain())
+        work = work.mapInArrow(step(phrases), schema)
         steps += 1
     if not steps:
         work = work.mapInArrow(step(context.broadcast(phrases_of([], [], window).plain())), schema)

@@ -45,7 +45,8 @@ def gram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]
     """Hashed unigrams and bigrams of all texts, one text after the other, and how many each has.
 
     Tokens are runs of letters and digits and runs of other signs, in lower case. A token that
-    repeats the one before it counts as a sign of its own, so repetition looks the same for any word.
+    repeats the one before it counts as a sign of its own, so repetition looks the same for all
+    words.
     """
     spaced = pc.replace_substring_regex(
         translated(large_texts(texts), LOWER), r"([!-/:-@\[-`{-~]+)", r" \1 "
@@ -120,7 +121,8 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 def with_log_weight(docs: DataFrame, keep: list[str], ratios: np.ndarray, name: str) -> DataFrame:
     """``keep`` columns with the log weight of ``text`` as ``name``, null if it has no words."""
     ratio = docs.sparkSession.sparkContext.broadcast(ratios)
-    work = bounded_batches(docs).select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
+    text = fresh(docs.select(*keep), "_text")
+    work = bounded_batches(docs).select(*keep, F.col("text").alias(text))
     buckets = len(ratios)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

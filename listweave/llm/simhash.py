@@ -77,7 +77,8 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, shingle: int, name: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with the fingerprint of ``text`` as a signed bigint ``name``."""
-    work = bounded_batches(docs).select(*keep, F.col("text").alias(fresh(docs.select(*keep), "_text")))
+    text = fresh(docs.select(*keep), "_text")
+    work = bounded_batches(docs).select(*keep, F.col("text").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -233,6 +234,5 @@ def simhash_documents(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Dat
     first = groups.groupBy(
         "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     ).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row_id)).alias("first"))
-    return rows.join(first.select(F.col("first")[row_id].alias(row_id)), row_id, "left_semi").select(
-        *docs.columns
-    )
+    kept = first.select(F.col("first")[row_id].alias(row_id))
+    return rows.join(kept, row_id, "left_semi").select(*docs.columns)
