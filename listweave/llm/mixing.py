@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listweave.llm.common import fresh, with_row_id
+from listweave.operators.spread import is_small
 from listweave.session import pinned
 
 MOST_REPEATS = 3
@@ -122,12 +123,23 @@ def _filled(rows: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Mix:
-    """``sized``: rows with source, block and size. ``taken``: a row per row number, pass and shard
-    of the mix. ``sources``: the table of sources with their targets."""
+    """``sized``: rows with source, block and size. ``sources``: the sources with their targets and
+    numbers of blocks. ``whole``: blocks taken whole, by source number, block, pass and shard.
+    ``single``: single rows taken of the block that fills up a source, by row, pass and shard."""
 
     sized: DataFrame
-    taken: DataFrame
     sources: DataFrame
+    whole: DataFrame
+    single: DataFrame
+
+
+def place_of(seed: int):
+    """Hash of a row that its block follows from."""
+    return F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(seed))
+
+
+def _broadcast_if_small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if is_small(table) else table
 
 
 def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix:
@@ -145,7 +157,7 @@ def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix
             F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
             .cast("bigint")
             .alias("size"),
-            F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(seed)).alias("place"),
+            place_of(seed).alias("place"),
         )
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
@@ -183,19 +195,16 @@ def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix
             for (block, turn, budget), shard in zip(taken, shard_of, strict=True)
         ]
     plan = pinned(spark.createDataFrame(plan_rows, PLAN).repartition(1))
-    drawn = blocked.select("row", "source_no", "block").join(
-        plan.filter("budget is null").drop("budget"), ["source_no", "block"]
-    )
+    whole = plan.filter("budget is null").drop("budget")
     partly = plan.filter("budget is not null")
-    chosen = (
+    single = (
         blocked.join(partly, ["source_no", "block"])
         .groupBy("source_no", "block")
         .applyInPandas(_filled, "row bigint, source_no int, block int")
         .join(partly.drop("budget"), ["source_no", "block"])
+        .select("row", "pass", "shard")
     )
-    columns = ["row", "pass", "shard"]
-    taken = pinned(drawn.select(*columns).unionByName(chosen.select(*columns)))
-    return Mix(blocked, taken, sources)
+    return Mix(blocked, sources, whole, pinned(single))
 
 
 def mixed(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
@@ -211,9 +220,11 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     # The numbers are stored with the sizes; the texts themselves need not be.
     rows = docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("number"))
     result = mix(rows, "number", shards, seed)
-    repeats = result.taken.groupBy("row").agg(F.count("*").alias("repeats"))
-    repeated = F.coalesce("repeats", F.lit(0))
-    return result.sized.join(repeats, "row", "left").select(
+    block = ["source_no", "block"]
+    of_block = result.whole.groupBy(*block).agg(F.count("*").alias("turns"))
+    of_row = result.single.groupBy("row").agg(F.count("*").alias("more"))
+    repeated = F.coalesce("turns", F.lit(0)) + F.coalesce("more", F.lit(0))
+    return result.sized.join(of_block, block, "left").join(of_row, "row", "left").select(
         "doc_id",
         "size",
         "source_size",
@@ -226,16 +237,35 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    A row lies in the partition of its output shard, and each shard is in an order of its own.
+    A row lies in the partition of its output shard, and each shard is in an order of its own. Rows
+    find their draws by source and block, tables that do not grow with the rows, so the texts are
+    shuffled once, to their shards.
     """
     rows, row_id = with_row_id(docs)
     result = mix(rows, row_id, shards, seed)
-    shard, turn = fresh(rows, "_shard"), fresh(rows, "_pass")
-    drawn = result.taken.select(
-        F.col("row").alias(row_id), F.col("shard").alias(shard), F.col("pass").alias(turn)
+    number, block, place, blocks, name, shard, turn = (
+        fresh(rows, n)
+        for n in ("_source_no", "_block", "_place", "_blocks", "_name", "_shard", "_pass")
+    )
+    sources = result.sources.select(
+        F.col("source_no").alias(number), F.col("source").alias(name), F.col("blocks").alias(blocks)
+    )
+    drawn = [F.col("pass").alias(turn), F.col("shard").alias(shard)]
+    whole = result.whole.select(
+        F.col("source_no").alias(number), F.col("block").alias(block), *drawn
+    )
+    single = result.single.select(F.col("row").alias(row_id), *drawn)
+    columns = [*rows.columns, shard, turn]
+    by_block = (
+        rows.withColumn(place, place_of(seed))
+        .join(F.broadcast(sources), F.col("source").eqNullSafe(F.col(name)))
+        .withColumn(block, F.pmod(place, blocks).cast("int"))
+        .join(_broadcast_if_small(whole), [number, block])
     )
+    by_row = rows.join(_broadcast_if_small(single), row_id)
     return (
-        rows.join(drawn, row_id)
+        by_block.select(*columns)
+        .unionByName(by_row.select(*columns))
         .repartition(shards, shard)
         .sortWithinPartitions(shard, F.xxhash64(row_id, turn, F.lit(seed)))
         .select(*docs.columns)
