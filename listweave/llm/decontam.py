@@ -203,6 +203,7 @@ def with_hits(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     keep_text: bool = True,
+    cut: bool = False,
 ) -> DataFrame:
     """The ``keep`` columns, ``text`` if wanted, and a struct column ``name`` with ``n_words``,
     ``n_hit``, ``items`` and ``spans`` (word numbers from, to before).
@@ -210,7 +211,8 @@ def with_hits(
     A document word inside an occurrence of a window of ``window`` consecutive words of an item is
     hit; an item with fewer words is one window. Null and empty texts have no words. The benchmark
     is broadcast in blocks of at most ``block_bytes`` and an item more; each block is a step of the
-    same job that adds to what the steps before it found.
+    same job that adds to what the steps before it found. With ``cut`` the last step takes the
+    spans out of the text.
     """
     text = "text" if "text" in keep else fresh(docs.select(*keep), "text")
     columns = [*keep] if "text" in keep else [*keep, text]
@@ -220,7 +222,7 @@ def with_hits(
     schema = work.schema
     at = columns.index(text)
 
-    def step(phrases) -> DataFrame:
+    def step(phrases, cutting: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in lots(whole, at, SHARD_BYTES):
@@ -243,20 +245,26 @@ def with_hits(
                                 "spans": [{"start": s, "end": e} for s, e in spans],
                             }
                         )
-                    yield pa.record_batch(
-                        [*batch.columns[:-1], pa.array(found, FOUND_ARROW)], names=[*columns, name]
-                    )
+                    parts = [*batch.columns[:-1], pa.array(found, FOUND_ARROW)]
+                    if cutting and any(x["spans"] for x in found):
+                        texts = batch.column(at).to_pylist()
+                        for r, x in enumerate(found):
+                            if x["spans"]:
+                                spans = [(s["start"], s["end"]) for s in x["spans"]]
+                                texts[r] = without_spans(texts[r], spans)
+                        parts[at] = pa.array(texts, pa.string())
+                    yield pa.record_batch(parts, names=[*columns, name])
 
         return run
 
     context = docs.sparkSession.sparkContext
-    steps = 0
-    for ids, texts in _blocks(bench, block_bytes):
-        phrases = context.broadcast(phrases_of(ids, texts, window).plain())
-        work = work.mapInArrow(step(phrases), schema)
-        steps += 1
-    if not steps:
-        work = work.mapInArrow(step(context.broadcast(phrases_of([], [], window).plain())), schema)
+    blocks = _blocks(bench, block_bytes)
+    now = next(blocks, ([], []))
+    while now is not None:
+        later = next(blocks, None)
+        phrases = context.broadcast(phrases_of(*now, window).plain())
+        work = work.mapInArrow(step(phrases, cut and later is None), schema)
+        now = later
     return work if keep_text or text in keep else work.drop(text)
 
 
@@ -286,27 +294,10 @@ def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> D
     ``n_chars``, if there is such a column, is counted anew where a text changed.
     """
     name = fresh(docs, "_found")
-    found = with_hits(docs, bench, docs.columns, name, window)
-    columns = list(docs.columns)
-    at = columns.index("text")
-    clean = fresh(found, "_clean")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = batch.column(batch.num_columns - 1)
-            changed = pc.greater(pc.struct_field(found, "n_hit"), 0)
-            for r, spans in enumerate(pc.struct_field(found, "spans").to_pylist()):
-                if spans:
-                    texts[r] = without_spans(texts[r], [(s["start"], s["end"]) for s in spans])
-            parts = list(batch.columns[:-1])
-            parts[at] = pa.array(texts, pa.string())
-            yield pa.record_batch([*parts, changed], names=[*columns, clean])
-
-    schema = docs.select("*", F.lit(True).alias(clean)).schema
-    result = found.mapInArrow(cut, schema)
+    result = with_hits(docs, bench, docs.columns, name, window, cut=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        counted = F.when(F.col(clean), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        changed = F.col(name)["n_hit"] > 0
+        counted = F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         result = result.withColumn("n_chars", counted)
     return result.select(*docs.columns)
