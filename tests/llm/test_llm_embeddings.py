@@ -86,6 +86,47 @@ def test_recall_at_the_threshold(spark):
     assert total >= 2900 and found >= 0.95 * total
 
 
+def units(rows):
+    return rows / np.linalg.norm(rows, axis=-1, keepdims=True)
+
+
+def cone_rows(n, pairs, dims=64, inner=0.8, cosine=0.905):
+    """A third of the rows in a cone with pairwise cosine ``inner``; row i of it, up to ``pairs``,
+    has a partner at ``cosine``, which is row ``n // 3 + i``."""
+    rng = np.random.default_rng(3)
+    axis = units(rng.standard_normal(dims))
+
+    def across(count, *away):
+        rows = rng.standard_normal((count, dims))
+        for x in (axis, *away):
+            rows -= (rows * x).sum(1, keepdims=True) * x
+        return units(rows)
+
+    own = across(n // 3)
+    share = (cosine - inner) / (1 - inner)
+    other = share * own[:pairs] + np.sqrt(1 - share**2) * across(pairs, own[:pairs])
+    cone = np.sqrt(inner) * axis + np.sqrt(1 - inner) * np.concatenate([own, other])
+    return np.concatenate([cone, units(rng.standard_normal((n - len(cone), dims)))])
+
+
+def test_recall_in_a_hot_cone(spark):
+    """Signs hardly tell the rows of a cone apart, so windows hold a small part of it."""
+    n, pairs = 20_000, 400
+    rows = [(i, v) for i, v in enumerate(cone_rows(n, pairs).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.embedding_groups(df).collect()}
+    met = sum(got[i] == got[n // 3 + i] for i in range(pairs))
+    assert len(got) == n and met >= 0.95 * pairs
+
+
+def test_ranges_are_halved_by_medians():
+    rows = cone_rows(8_192, 0)
+    planes = embeddings.planes_of(0, 64)
+    keys = embeddings.projection_keys(rows, 0, cuts=embeddings.medians_of(rows, planes))
+    sizes = np.bincount(keys >> (embeddings.BITS - 6), minlength=64)
+    assert sizes.min() >= 127 and sizes.max() <= 129
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
