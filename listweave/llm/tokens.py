@@ -43,15 +43,21 @@ class Encoder:
     """Ids of texts, with the ids of pieces between spaces remembered.
 
     A space between two signs that are not white space always begins a new pre-token, so texts are
-    cut there and each distinct piece is encoded once.
+    cut there and each distinct piece is encoded once. The content of an added token is that token,
+    as the library has it by default, and such texts are encoded whole; with ``literal`` it is text
+    like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [] if literal else [t.content for t in added]
+        self.spaced = any(" " in content for content in self.added)
+        if literal:
+            self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         # In a byte-level vocabulary every sign of a token stands for one byte.
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary))
@@ -98,7 +104,7 @@ class Encoder:
         for chosen, space in ((opening, ""), (~opening, " ")):
             coded = pieces.filter(pa.array(chosen)).dictionary_encode()
             named = [space + p for p in coded.dictionary.to_pylist()]
-            self._learn(named, joined=bool(space))
+            self._learn(named, joined=bool(space) and not self.spaced)
             if named:
                 numbers = np.array([self.known[p] for p in named], np.int64)
                 code[chosen] = numbers[coded.indices.to_numpy()]
@@ -113,6 +119,8 @@ class Encoder:
         if len(self.known) > MOST_PIECES:
             self._forget()
         odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
         is_odd = odd.to_numpy(zero_copy_only=False)
         if not is_odd.any():
             return self._encode_pieces(texts)
@@ -233,7 +241,7 @@ def write_tokens(
         for whole in batches:
             for batch in lots(whole, 1, TEXT_BYTES):
                 if writer is None:
-                    encoder = Encoder(tokenizer_path)
+                    encoder = Encoder(tokenizer_path, literal=False)
                     system.create_dir(place, recursive=True)
                     sink = system.open_output_stream(f"{place}/{name}.arrow")
                     index_sink = system.open_output_stream(f"{place}/{name}.index.arrow")
@@ -331,7 +339,8 @@ def token_index(
 
     One row per row of ``docs``: ``doc_id``, ``start`` (ids of all documents before it),
     ``n_tokens`` (with the end id), ``ids_crc32`` (of the ids as little-endian 32-bit numbers) and
-    ``part`` (number of the file). Null and empty texts are an end id alone. Repeated rows follow
+    ``part`` (number of the file). The content of an added token, as ``<|endoftext|>``, in a text is
+    that token's id, as it is by default of the library. Null and empty texts are an end id alone. Repeated rows follow
     each other. Other columns are ignored whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -79,6 +79,22 @@ def test_pieces_equal_whole_texts():
         at += size
 
 
+def test_added_tokens_as_in_the_unmodified_library(spark):
+    texts = [
+        "abc <|endoftext|> def", "plain words only", "<|endoftext|>", "a<|endoftext|>b c d",
+        "ends with <|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endof text|> no", "z  <|endoftext|>",
+    ]
+    tokenizer, at = Tokenizer.from_file(PATH), 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(tokens.token_index(docs, PATH).collect())
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [39305, 220, 50256, 825]
+    for text, row in zip(texts, rows, strict=True):
+        ids = plain(tokenizer, text)
+        crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert tuple(row)[1:4] == (at, len(ids), crc), text
+        at += len(ids)
+
+
 def best_count(word: bytes, vocabulary) -> int:
     """By trying every segmentation."""
     best = {0: (0.0, 0)}
