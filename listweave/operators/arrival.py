@@ -67,8 +67,9 @@ def first_seen(items: DataFrame, key: list[str], arrival: list[str]) -> DataFram
 
 
 def until_old(items: DataFrame, group: list[str], old: str, arrival: list[str]) -> DataFrame:
-    """Items of each group before its first old one: a prefix, not a filter."""
-    stops = items.filter(F.col(old)).groupBy(*group).agg(F.min(place(arrival)).alias("_stop"))
+    """Items of each group before its first old one: a prefix, not a filter. Null is not old."""
+    is_old = F.coalesce(F.col(old), F.lit(False))
+    stops = items.filter(is_old).groupBy(*group).agg(F.min(place(arrival)).alias("_stop"))
     return (
         group_join(items, stops, group, "left", arrival)
         .filter(F.col("_stop").isNull() | (place(arrival) < F.col("_stop")))
@@ -96,7 +97,8 @@ def collected(
     With a small cap one window does both: the kept rows are a prefix of at most ``count`` rows,
     so the running test only has to see those, and Spark cuts each partition down to the first
     ``count`` rows of a group before the shuffle. With a large cap or none, the cutoff is one
-    small table of stops and the ranks come from range partitions, which are written once.
+    small table of stops and the ranks come from range partitions, which are written once. An item
+    whose ``old`` is null is not old, either way.
     """
     order = [F.col(c) for c in arrival]
     if count is None or count > PRUNED_CAP:
@@ -109,7 +111,7 @@ def collected(
         items.select(
             "*",
             F.row_number().over(in_order).cast("bigint").alias("rank"),
-            F.max(F.col(old)).over(so_far).alias("_stopped"),
+            F.max(F.coalesce(F.col(old), F.lit(False))).over(so_far).alias("_stopped"),
         )
         .filter((F.col("rank") <= count) & ~F.col("_stopped"))
         .drop("_stopped")

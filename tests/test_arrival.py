@@ -92,6 +92,12 @@ def test_null_group_is_a_group_for_every_cap(spark, monkeypatch, many_partitions
         assert sum(r.feed == "q" for r in got) == min(400, count or 400)
 
 
+def test_null_old_is_not_old_for_every_cap(spark):
+    rows = [("a", None), ("b", False), ("c", None), ("d", True), ("e", None)]
+    for count in (1000, 1001, None):
+        assert run(spark, rows, count) == ["a", "b", "c"]
+
+
 def test_large_null_group_is_numbered_once(spark, many_partitions):
     df = spark.createDataFrame([(None, i) for i in range(399)], "g string, i int").repartition(4)
     got = spread.numbered(df, ["g"], [F.col("i")], "n").collect()
