@@ -1,7 +1,7 @@
 """Queries of the operators of this folder over the whole tables of a data folder.
 
-SQL cannot express any of them (hash fingerprints, tokenizers, trained models, greedy maps), so none
-has SQL; the tests compare each with a brute-force version.
+SQL expresses ranked search, repeated passages and hard negatives. It cannot express the others (hash
+fingerprints, tokenizers, trained models, greedy maps), which have tests instead.
 """
 
 from __future__ import annotations
@@ -9,16 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from listweave.llm import (
     decontam,
     embeddings,
+    hard_negatives,
     langid,
     lm_scoring,
     mixing,
     quality,
+    ranked_search,
     sharding,
     simhash,
+    sql,
     token_counts,
     tokens,
 )
@@ -86,6 +90,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=20
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -99,6 +116,11 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_decontamination,
         op10_mixing,
+        op11_ranked_search,
+        op13_hard_negatives,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_ranked_search": sql.OP11,
+    "op13_hard_negatives": sql.OP13,
+}
