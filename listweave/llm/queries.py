@@ -20,6 +20,7 @@ from listweave.llm import (
     mixing,
     quality,
     ranked_search,
+    repeats,
     sharding,
     simhash,
     sql,
@@ -96,6 +97,18 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(
@@ -117,10 +130,12 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_mixing,
         op11_ranked_search,
+        op12_suffix_dedup,
         op13_hard_negatives,
     )
 }
 SQL: dict[str, str] = {
     "op11_ranked_search": sql.OP11,
+    "op12_suffix_dedup": sql.OP12,
     "op13_hard_negatives": sql.OP13,
 }

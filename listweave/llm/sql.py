@@ -44,32 +44,36 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 2
 OP12 = r"""
 WITH doc AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), places AS (
-  SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM doc
-), starts AS (
-  SELECT doc_id, h, p,
-         CASE WHEN p <= length(h) // 2 - 50 AND doc_id > min(doc_id) OVER (
-           PARTITION BY CASE WHEN p <= length(h) // 2 - 50 THEN substring(h, 2 * p + 1, 100)
-                             ELSE doc_id::VARCHAR || '/' || p::VARCHAR END)
-         THEN p END AS s
-  FROM places
-), marked AS (
-  SELECT doc_id, h, p,
-         coalesce(p - max(s) OVER (PARTITION BY doc_id ORDER BY p) < 50, false) AS gone
-  FROM starts
-), edges AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens
-  FROM marked
+), strings AS (
+  SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS string
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM doc)
+), firsts AS (
+  SELECT string, min(doc_id) AS first_doc FROM strings
+  GROUP BY string HAVING min(doc_id) < max(doc_id)
+), repeated AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step
+  FROM strings JOIN firsts USING (string) WHERE doc_id > first_doc
+), numbered AS (
+  SELECT doc_id, p,
+         sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span
+  FROM repeated
+), spans AS (
+  SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT doc_id, coalesce(max(b), 0), length(any_value(h)) // 2
+  FROM doc LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, count(*)::BIGINT AS n_bytes, count_if(gone)::BIGINT AS n_removed,
-         count_if(opens)::BIGINT AS n_spans,
-         coalesce(string_agg(CASE WHEN NOT gone THEN substring(h, 2 * p + 1, 2) END, '' ORDER BY p),
-                  '') AS rest
-  FROM edges GROUP BY doc_id
+  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest
+  FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans
+  FROM spans GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
-       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
-FROM doc LEFT JOIN kept USING (doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM doc JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
 OP13 = r"""
