@@ -43,10 +43,10 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 2
 
 OP12 = r"""
 WITH doc AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents
 ), strings AS (
-  SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS string
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM doc)
+  SELECT doc_id, p, array_slice(data, p + 1, p + 50) AS string
+  FROM (SELECT doc_id, data, unnest(range(0, octet_length(data) - 49)) AS p FROM doc)
 ), firsts AS (
   SELECT string, min(doc_id) AS first_doc FROM strings
   GROUP BY string HAVING min(doc_id) < max(doc_id)
@@ -62,16 +62,16 @@ WITH doc AS (
 ), gaps AS (
   SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
   UNION ALL
-  SELECT doc_id, coalesce(max(b), 0), length(any_value(h)) // 2
+  SELECT doc_id, coalesce(max(b), 0), octet_length(any_value(data))
   FROM doc LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest
+  SELECT doc_id, string_agg(hex(array_slice(data, a + 1, b)), '' ORDER BY a) AS rest
   FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
 ), removed AS (
   SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans
   FROM spans GROUP BY doc_id
 )
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+SELECT doc_id, octet_length(data)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
 FROM doc JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """

@@ -1,10 +1,15 @@
 """Greedy dedup on two keys.
 
 In arrival order, an item is kept unless one of its two keys has been taken; a kept item takes
-both keys, a dropped one takes none. That depends on order, yet most of it can be settled at once:
-an item that is the earliest undecided one on each of its keys is kept, and what shares a key with
-a kept item is dropped. A few rounds of that settle most items in parallel, with aggregates and
-joins only. What chains of shared keys leave is taken in order, in slices of bounded size.
+both keys, a dropped one takes none. That depends on order, but only among items that are connected
+by shared keys:
+
+* a group that fits in one task is taken in order there;
+* of larger ones most items are settled at once, by aggregates and joins: one that is the earliest
+  undecided item on each of its keys is kept, and what shares a key with a kept item is dropped;
+* what a few such rounds leave falls apart in components of items that share keys. Components are
+  packed into tasks of bounded size, each taken in order, all in one turn;
+* a component that is too large for a task is taken in slices, one after the other.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listweave.operators.components import component_of
 from listweave.operators.spread import (
     ROWS_PER_SALT,
     group_join,
@@ -22,9 +28,9 @@ from listweave.operators.spread import (
 )
 from listweave.session import pinned
 
-# Parallel rounds before the rest is taken in order.
+# Parallel rounds before components are looked for.
 ROUNDS = 3
-# Undecided items of a group that one task settles in order; a longer rest takes several turns.
+# Undecided items that one task settles in order; a larger component takes several turns.
 SLICE_ROWS = 250_000
 
 
@@ -99,22 +105,75 @@ def _not_taken(
     return items
 
 
-def _in_order(items: DataFrame, group: list[str]) -> DataFrame:
-    """The rule applied in order to a slice of bounded size of each group: ``_at`` of kept items."""
+def _in_order(items: DataFrame, together: str) -> DataFrame:
+    """The rule applied in order to items of bounded number with one value of ``together``: what is
+    kept. They may be of several groups."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        taken: set[str] = set()
+        taken: dict[str, set[str]] = {g: set() for g in pdf["_g"].unique()}
         kept = []
-        for pair in zip(pdf["_a"], pdf["_b"]):
-            free = taken.isdisjoint(pair)
+        for g, a, b in zip(pdf["_g"], pdf["_a"], pdf["_b"]):
+            free = a not in taken[g] and b not in taken[g]
             kept.append(free)
             if free:
-                taken.update(pair)
-        return pdf.loc[kept, [*group, "_at", "_a", "_b"]]
+                taken[g].update((a, b))
+        return pdf.loc[kept, ["_g", "_at", "_a", "_b"]]
 
-    narrow = items.select(*group, "_at", "_a", "_b")
-    return narrow.groupBy(*group).applyInPandas(keep, narrow.schema)
+    narrow = items.select("_g", "_at", "_a", "_b", together)
+    return narrow.groupBy(together).applyInPandas(keep, narrow.drop(together).schema)
+
+
+def _in_slices(
+    items: DataFrame, together: str, slice_rows: int, rows_per_salt: int
+) -> list[DataFrame]:
+    """The rule applied to components of any size, in slices of ``slice_rows`` items of each in
+    order; each slice leaves out what the slices before it have taken."""
+    placed = numbered(items, [together], [F.col("_at")], "_n")
+    queued = pinned(
+        placed.withColumn("_slice", F.floor((F.col("_n") - 1) / slice_rows)).drop("_n")
+    )
+    last = queued.agg(F.max("_slice")).first()[0]
+    kept: list[DataFrame] = []
+    for number in range((-1 if last is None else last) + 1):
+        now = pinned(_in_order(queued.filter(F.col("_slice") == number), together))
+        kept.append(now.select("_g", "_at"))
+        if number < last:
+            later = queued.filter(F.col("_slice") > number)
+            taken = _keys(now, ["_g"]).drop("_at")
+            queued = pinned(_not_taken(later, taken, ["_g"], rows_per_salt))
+    return kept
+
+
+def _with_component(items: DataFrame) -> DataFrame:
+    """Items with ``_root``: equal for items that are connected by shared keys of their group. Keys
+    are told apart by a hash; where two fall together, two components are taken as one."""
+    node = {side: F.xxhash64("_g", side) for side in ("_a", "_b")}
+    roots = pinned(component_of(items.select(node["_a"].alias("a"), node["_b"].alias("b"))))
+    with_node = items.withColumn("node", node["_a"])
+    return (
+        with_node.join(roots, "node", "left")
+        .withColumn("_root", F.coalesce("root", "node"))
+        .drop("node", "root")
+    )
+
+
+def _by_components(items: DataFrame, slice_rows: int, rows_per_salt: int) -> list[DataFrame]:
+    """The rule applied to each component on its own."""
+    connected = pinned(_with_component(items))
+    sizes = pinned(connected.groupBy("_root").agg(F.count("*").alias("_n")))
+    giants = sizes.filter(F.col("_n") > slice_rows)
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    kept: list[DataFrame] = []
+    small = connected
+    if most > slice_rows:
+        # Items of a giant are many, giants are fewer than items over ``slice_rows``.
+        small = connected.join(giants, "_root", "left_anti")
+        large = connected.join(giants.select("_root"), "_root", "left_semi")
+        kept = _in_slices(large, "_root", slice_rows, rows_per_salt)
+    packs = max(1, -(-total // slice_rows))
+    packed = small.withColumn("_pack", F.pmod(F.xxhash64("_root"), F.lit(packs)))
+    return [*kept, _in_order(packed, "_pack").select("_g", "_at")]
 
 
 def greedy_two_key(
@@ -133,9 +192,10 @@ def greedy_two_key(
     group like any other.
 
     Items are numbered in order of arrival, ties by their keys, unless ``unique_arrival`` says that
-    ``arrival`` is one bigint without nulls and repeats in a group. After ``rounds`` rounds what is
-    left is settled in slices of ``slice_rows`` items of each group in order, so their number is
-    that of the left items of the largest group over ``slice_rows``, whatever the keys are like.
+    ``arrival`` is one bigint without nulls and repeats in a group. As long as a group has more than
+    ``slice_rows`` undecided items, there are up to ``rounds`` rounds; what is left then is settled
+    by components, packed into tasks of about ``slice_rows`` items. Only a component with more items
+    than that takes several turns.
 
     ``items`` is read more than once, so it should be a stored table or little work away from one.
     """
@@ -149,31 +209,28 @@ def greedy_two_key(
     group = ["_g"]
     undecided = _with_own_keys(placed.select("_g", "_a", "_b", "_at"), group)
     kept: list[DataFrame] = []
-    left = 1
-    for turn in range(rounds):
+
+    def most_left() -> int:
+        return undecided.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+
+    left = most_left()
+    for _ in range(rounds):
+        if left <= slice_rows:
+            break
         settled = pinned(_settled(undecided, group))
         winners = settled.filter("_wins").drop("_wins")
         losers = settled.filter("not _wins").drop("_wins")
         kept.append(winners.select(*group, "_at"))
         taken = _keys(winners, group).drop("_at")
         undecided = pinned(_not_taken(losers, taken, group, rows_per_salt))
-        left = undecided.count()
-        if left == 0:
-            break
-    if left:
-        by_group = numbered(undecided, group, [F.col("_at")], "_n")
-        queued = pinned(
-            by_group.withColumn("_slice", F.floor((F.col("_n") - 1) / slice_rows)).drop("_n")
-        )
-        last = queued.agg(F.max("_slice")).first()[0]
-        for number in range((-1 if last is None else last) + 1):
-            now = pinned(_in_order(queued.filter(F.col("_slice") == number), group))
-            kept.append(now.select(*group, "_at"))
-            if number < last:
-                later = queued.filter(F.col("_slice") > number)
-                taken = _keys(now, group).drop("_at")
-                queued = pinned(_not_taken(later, taken, group, rows_per_salt))
-    survivors = kept[0] if kept else None
+        left = most_left()
+    if left > slice_rows:
+        kept += _by_components(undecided, slice_rows, rows_per_salt)
+    elif left:
+        kept.append(_in_order(undecided.withColumn("_one", F.col("_g")), "_one").select("_g", "_at"))
+    if not kept:
+        return items.filter(F.lit(False))
+    survivors = kept[0]
     for more in kept[1:]:
         survivors = survivors.unionByName(more)
     return placed.join(survivors, ["_g", "_at"], "left_semi").select(*items.columns)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from listweave.operators import twokey
+from listweave.operators.components import component_of
 from listweave.operators.twokey import greedy_two_key
 
 SCHEMA = "q string, a string, b string, i int"
@@ -88,6 +89,8 @@ def test_equal_items_count_once(spark):
     {"rounds": 50, "rows_per_salt": 20},
     {"rounds": 1, "slice_rows": 7, "rows_per_salt": 20},
     {"rounds": 0},
+    {"rounds": 0, "slice_rows": 25},
+    {"rounds": 1, "slice_rows": 40},
     {"rounds": 1, "unique_arrival": True},
 ])
 def test_random_items_agree_with_a_loop(spark, options):
@@ -99,3 +102,31 @@ def test_random_items_agree_with_a_loop(spark, options):
             a, b = str(dice.randrange(names)), str(dice.randrange(names))
             rows.append((query, "" if a == "0" else a, "" if a == "0" or b == "0" else b, i))
     assert kept(spark, rows, **options) == brute(rows)
+
+
+def test_small_components_take_one_turn(spark, monkeypatch):
+    chains = [("q", f"{c}-{i}", f"{c}-{i + 1}", 20 * c + i) for c in range(40) for i in range(20)]
+    giant = [("q", f"g{i}", f"g{i + 1}", 5000 + i) for i in range(90)]
+    turns = []
+    plain = twokey._in_order
+    monkeypatch.setattr(twokey, "_in_order", lambda *a: turns.append(1) or plain(*a))
+    assert kept(spark, chains, rounds=1, slice_rows=60) == brute(chains)
+    assert len(turns) == 1
+    # Only the component of more than 60 items needs further turns.
+    assert kept(spark, chains + giant, rounds=0, slice_rows=60) == brute(chains + giant)
+    assert len(turns) == 1 + 1 + 2
+
+
+def test_no_items(spark):
+    assert kept(spark, []) == set()
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    links = [(i, i + 1) for i in range(200)]
+    links += [(1000, 1000 + i) for i in range(1, 150)]
+    links += [(2000 + i, 2000 + (i + 7) % 30) for i in range(30)] + [(3000, 3000)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(3)
+    found = {r.node: r.root for r in component_of(df).collect()}
+    expected = dict.fromkeys(range(201), 0) | dict.fromkeys(range(1000, 1150), 1000)
+    assert found == expected | dict.fromkeys(range(2000, 2030), 2000)
+    assert component_of(df.limit(0)).collect() == []
