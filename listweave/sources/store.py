@@ -1,24 +1,34 @@
-"""The store of records: append only, one folder per run, keys never written twice.
+"""The store of records: append only, keys never written twice, any number of writers at once.
 
-A CSV store holds texts with line breaks, so its files cannot be split: a file is read by one task.
-Take over a single large CSV file by copying it into a Parquet store first (``Store.take_over``).
+Each run writes a folder of its own and its keys to the key index, then adds the folder to the list
+of versions (``commits``). Readers see listed folders only, so a killed write leaves nothing to be
+seen. A writer that finds that another one was faster looks again at what is new. A repeated run
+replaces what an earlier attempt left behind.
+
+The key index has the keys of all runs in files by a hash of the key. A batch opens only those that
+its own keys may be in, whatever the number of runs. ``Store.compacted`` merges small runs and their
+keys.
 
-A run writes its own ``run_id=`` folder with overwrite and looks only at the other folders for
-known keys, so a repeated run replaces what a failed attempt left behind.
+A CSV store holds texts with line breaks, so its files cannot be split: a file is read by one task.
+Take over a single large CSV file by copying it into a Parquet store first (``Store.take_over``). A
+store without a list of versions, such as files from elsewhere, is read as it is; its keys are read
+from the records until it is compacted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listweave.operators.incremental import first_writer, query_counts, unseen
-from listweave.operators.spread import is_small, null_safe_join
-from listweave.session import pinned
+from listweave.operators.spread import null_safe_join
+from listweave.session import pinned, remove_folder
+from listweave.sources.commits import Commits, Part, State
 
 CSV_WRITE = {
     "header": "true",
@@ -29,6 +39,11 @@ CSV_WRITE = {
 }
 CSV_READ = {**CSV_WRITE, "multiLine": "true", "enforceSchema": "true"}
 
+#: Folders of the key index.
+BUCKETS = 256
+#: Times that a writer starts again because others were faster.
+MOST_TRIES = 50
+
 
 @dataclass(frozen=True)
 class Store:
@@ -39,43 +54,126 @@ class Store:
     key: str = "job_id"
     format: str = "parquet"
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """All records with their ``run_id``; none if the store does not exist yet."""
-        schema = T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
+    @property
+    def _with_run(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
+
+    def state(self, spark: SparkSession) -> State:
+        return Commits(spark, self.path).latest()
+
+    def read(self, spark: SparkSession, state: State | None = None) -> DataFrame:
+        """All records with their ``run_id``, of the newest version unless one is given; none if
+        the store does not exist yet."""
+        state = self.state(spark) if state is None else state
+        of_runs = [p for p in state.parts if p.run is not None]
+        tables = [self._records(spark, of_runs)] if of_runs else []
+        for part in state.parts:
+            if part.run is None:
+                tables.append(
+                    self._records(spark, [part]).filter(~F.col("run_id").isin(*part.without))
+                )
+        if not tables:
+            return spark.createDataFrame([], self._with_run)
+        return reduce(DataFrame.unionByName, tables)
+
+    def _records(self, spark: SparkSession, parts: list[Part]) -> DataFrame:
         options = CSV_READ if self.format == "csv" else {}
-        try:
-            stored = spark.read.schema(schema).options(**options).format(self.format).load(self.path)
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], schema)
-        return stored.fillna("") if self.format == "csv" else stored
+        reader = spark.read.schema(self._with_run).options(basePath=self.path, **options)
+        stored = reader.format(self.format).load([f"{self.path}/{p.folder}" for p in parts])
+        return stored.fillna("", subset=self.schema.names) if self.format == "csv" else stored
 
     def keys(self, spark: SparkSession, but_run: str | None = None) -> DataFrame:
         """Keys that are not empty, with repeats; enough for an anti join."""
-        stored = self.read(spark)
-        if but_run is not None:
-            stored = stored.filter(F.col("run_id") != but_run)
-        return stored_keys(stored, self.key)
+        state = self.state(spark)
+        return self._known(spark, state, None, but_run)
 
     def ids(self, spark: SparkSession) -> DataFrame:
         return self.keys(spark).distinct()
 
+    def _known(
+        self, spark: SparkSession, state: State, buckets: list[int] | None, but_run: str | None
+    ) -> DataFrame:
+        """Keys of the store, of some buckets of the index or of all. Parts that are not in the
+        index have their keys read from the records."""
+        plain = [p for p in state.parts if not p.indexed]
+        records = self.read(spark, replace(state, parts=tuple(plain)))
+        if but_run is not None:
+            records = records.filter(F.col("run_id") != but_run)
+        found = stored_keys(records, self.key)
+        indexed = [p for p in state.parts if p.indexed and p.run != (but_run or "")]
+        folder = f"{self.path}/{state.keys}"
+        names = [f"bucket={b}" for b in buckets] if buckets is not None else None
+        there = [n for n in Commits(spark, self.path).names(folder) if names is None or n in names]
+        if not indexed or not there:
+            return found
+        rows = [(p.name, run) for p in indexed for run in p.without or [None]]
+        parts = spark.createDataFrame(rows, "part string, gone string")
+        index = (
+            spark.read.schema("key string, run string, part string, bucket int")
+            .option("basePath", folder)
+            .parquet(*[f"{folder}/{n}" for n in there if n.startswith("bucket=")])
+        )
+        if but_run is not None:
+            index = index.filter(~F.col("run").eqNullSafe(but_run))
+        listed = index.join(parts.select("part").distinct(), "part", "left_semi")
+        gone = parts.filter("gone IS NOT NULL")
+        if any(p.without for p in indexed):
+            listed = listed.join(gone, (listed.part == gone.part) & (listed.run == gone.gone), "left_anti")
+        return found.unionByName(listed.select(F.col("key").alias(self.key)))
+
     def take_over(self, old: "Store", spark: SparkSession, run_id: str) -> int:
         """Copies all records of another store into one run of this one."""
         return self.write(old.read(spark), run_id)
 
     def write(self, records: DataFrame, run_id: str) -> int:
-        """Writes the records in schema order and returns how many there were."""
+        """Writes the records in schema order as all that there is of a run, whatever their keys,
+        and returns how many there were."""
+        spark = records.sparkSession
+        commits = Commits(spark, self.path)
+        state = commits.latest()
+        part, rows = self._written(records, run_id, state)
+        for _ in range(MOST_TRIES):
+            if commits.add(state.with_run(run_id, part)):
+                return rows
+            now = commits.latest()
+            if now.keys != state.keys:
+                # The index was written anew in the meantime, so the keys have to go there, too.
+                part, rows = self._written(records, run_id, now)
+            state = now
+        raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
+
+    def _written(self, records: DataFrame, run_id: str, state: State) -> tuple[Part, int]:
+        """The records and their keys as a part that no version lists yet."""
+        name = uuid.uuid4().hex
+        part = Part(name, f"run_id={run_id}/{name}", run_id)
         seen = Observation()
         writer = (
             records.select(*self.schema.names)
             .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
+            .write.options(**(CSV_WRITE if self.format == "csv" else {}))
+        )
+        writer.format(self.format).save(f"{self.path}/{part.folder}")
+        stored = self._records(records.sparkSession, [part])
+        self._index(stored.select(self.key, "run_id"), name, state.keys)
+        return part, seen.get["rows"]
+
+    def _index(self, records: DataFrame, name: str, folder: str) -> None:
+        """Adds the keys of records to the key index, a file per bucket. The files are written
+        aside and then moved, as two jobs cannot write into one folder."""
+        keys = records.filter(F.nullif(F.col(self.key), F.lit("")).isNotNull()).select(
+            F.col(self.key).alias("key"),
+            F.col("run_id").alias("run"),
+            F.lit(name).alias("part"),
+            _bucket(F.col(self.key)).alias("bucket"),
         )
-        options = CSV_WRITE if self.format == "csv" else {}
-        writer.options(**options).format(self.format).save(f"{self.path}/run_id={run_id}")
-        return seen.get["rows"]
+        aside = f"{self.path}/{folder}/.{name}"
+        in_buckets = keys.repartition("bucket").sortWithinPartitions("bucket", "key")
+        in_buckets.write.partitionBy("bucket").parquet(aside)
+        commits = Commits(keys.sparkSession, self.path)
+        for bucket in commits.names(aside):
+            if bucket.startswith("bucket="):
+                commits.move_files(f"{aside}/{bucket}", f"{self.path}/{folder}/{bucket}", name)
+        remove_folder(keys.sparkSession, aside)
 
     def append_new(
         self, listings: DataFrame, run_id: str, arrival: list[str], query: str = "query"
@@ -85,25 +183,69 @@ class Store:
         Returns fetched, new and skipped per query. What is new is decided on keys, arrival and
         query alone; a listing as a whole is moved once. Nothing is written if nothing is new,
         except over what a failed attempt of the same run has left. ``arrival`` is unique in the
-        run.
+        run. If another writer is faster, what is new is decided again.
         """
         spark = listings.sparkSession
+        commits = Commits(spark, self.path)
         batch = pinned(listings)
         place = list(dict.fromkeys([*arrival, self.key]))
         names = list(dict.fromkeys([*place, query]))
         firsts = pinned(first_writer(batch.select(*names), self.key, arrival))
-        stored = self.keys(spark, but_run=run_id)
-        # Few of the stored keys matter to a batch, so they are reduced to its keys first.
-        wanted = firsts.select(self.key)
-        wanted = F.broadcast(wanted) if is_small(wanted) else wanted
-        hits = pinned(null_safe_join(stored, wanted, [self.key], "left_semi"))
-        new = pinned(unseen(firsts, hits, self.key, arrival))
-        if not new.isEmpty() or self._has_run(spark, run_id):
-            self.write(null_safe_join(batch, new.select(*place), place, "left_semi"), run_id)
-        return query_counts(batch.select(query), new, query)
-
-    def _has_run(self, spark: SparkSession, run_id: str) -> bool:
-        return not self.read(spark).filter(F.col("run_id") == run_id).isEmpty()
+        wanted = stored_keys(firsts, self.key)
+        buckets = [r[0] for r in wanted.select(_bucket(F.col(self.key))).distinct().collect()]
+        for _ in range(MOST_TRIES):
+            state = commits.latest()
+            known = self._known(spark, state, buckets, run_id)
+            # Few of the stored keys matter to a batch, so they are reduced to its keys first.
+            hits = pinned(known.join(wanted, self.key, "left_semi"))
+            new = pinned(unseen(firsts, hits, self.key, arrival))
+            if not new.isEmpty():
+                fresh = null_safe_join(batch, new.select(*place), place, "left_semi")
+                part = self._written(fresh, run_id, state)[0]
+            elif run_id in state.runs() or any(p.run is None for p in state.parts):
+                part = None
+            else:
+                return query_counts(batch.select(query), new, query)
+            if commits.add(state.with_run(run_id, part)):
+                return query_counts(batch.select(query), new, query)
+        raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
+
+    def compacted(self, spark: SparkSession, files: int = 8) -> None:
+        """Merges all parts into one of ``files`` files, and their keys into a new index with a file
+        per bucket. Readers and writers may go on; the old files stay until ``vacuumed``."""
+        commits = Commits(spark, self.path)
+        for _ in range(MOST_TRIES):
+            state = commits.latest()
+            if not state.parts:
+                return
+            name = uuid.uuid4().hex
+            part = Part(name, f"merged/{name}", None)
+            writer = self.read(spark, state).repartition(files).write
+            writer = writer.options(**(CSV_WRITE if self.format == "csv" else {}))
+            writer.format(self.format).save(f"{self.path}/{part.folder}")
+            keys = f"_keys/{uuid.uuid4().hex}"
+            self._index(self._records(spark, [part]).select(self.key, "run_id"), name, keys)
+            if commits.add(State(state.version, keys, (part,))):
+                return
+        raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
+
+    def vacuumed(self, spark: SparkSession) -> None:
+        """Removes the folders that the newest version does not list. No writer may be at work, and
+        readers of earlier versions lose theirs."""
+        commits = Commits(spark, self.path)
+        state = commits.latest()
+        used = {p.folder for p in state.parts} | {state.keys}
+        for outer in commits.names(self.path):
+            if outer.startswith("run_id=") or outer in ("merged", "_keys"):
+                if outer in used:
+                    continue
+                for inner in commits.names(f"{self.path}/{outer}"):
+                    if f"{outer}/{inner}" not in used:
+                        remove_folder(spark, f"{self.path}/{outer}/{inner}")
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def stored_keys(stored: DataFrame, key: str) -> DataFrame:

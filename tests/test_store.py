@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import csv
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from listweave.operators import incremental
 from listweave.schemas import JOB_LISTING
+from listweave.sources import store as store_module
+from listweave.sources.commits import Commits
 from listweave.sources.store import Store
 
 ARRIVAL = ["query_pos", "rank"]
@@ -65,7 +68,7 @@ def test_repeated_run_replaces_its_own_attempt(spark, store):
 def test_nothing_new_leaves_no_folder(spark, store):
     store.append_new(listings(spark, "a"), "r1", ARRIVAL)
     assert counts(store.append_new(listings(spark, "a"), "r2", ARRIVAL)) == {"q": (1, 0, 1)}
-    assert sorted(os.listdir(store.path)) == ["run_id=r1"]
+    assert sorted(n for n in os.listdir(store.path) if n[0] not in "_.") == ["run_id=r1"]
 
 
 def test_retry_without_anything_new_replaces_the_attempt(spark, store):
@@ -147,3 +150,90 @@ def test_store_written_by_the_csv_module_is_taken_over(spark, tmp_path):
     assert {r.job_id: r.title for r in rows} == {str(i): text for i, text in enumerate(AWKWARD)}
     assert {(r.scraped_at, r.url) for r in rows} == {("end", "")}
     assert counts(store.append_new(listings(spark, "1", "x"), "r1", ARRIVAL)) == {"q": (2, 1, 1)}
+
+
+def test_two_writers_at_once_store_each_key_once(spark, store):
+    """Both look at the same version; one of them is second and has to look again."""
+    meet = threading.Barrier(2)
+
+    class Late(Commits):
+        def latest(self):
+            state = super().latest()
+            if state.version == 0 and threading.current_thread().name in waiting:
+                waiting.discard(threading.current_thread().name)
+                meet.wait(60)
+            return state
+
+    store.append_new(listings(spark, "a"), "r0", ARRIVAL)
+    waiting = {"one", "two"}
+    plain, store_module.Commits = store_module.Commits, Late
+    found = {}
+
+    def append(name, *ids):
+        found[name] = counts(store.append_new(listings(spark, *ids), name, ARRIVAL))["q"]
+
+    try:
+        writers = [
+            threading.Thread(target=append, name=name, args=(name, *ids))
+            for name, ids in (("one", "abcd"), ("two", "acde"))
+        ]
+        for writer in writers:
+            writer.start()
+        for writer in writers:
+            writer.join(240)
+    finally:
+        store_module.Commits = plain
+    assert stored(spark, store) == list("abcde")
+    # Whoever came first stored c and d, too.
+    assert sorted([found["one"][1], found["two"][1]]) == [1, 3]
+    assert store.state(spark).version == 2
+
+
+def test_unlisted_writes_are_not_there(spark, store):
+    store.append_new(listings(spark, "a"), "r1", ARRIVAL)
+    # A writer that was killed before its commit: folder and keys are written.
+    store._written(listings(spark, "b").select(*JOB_LISTING.names), "r2", store.state(spark))
+    assert stored(spark, store) == ["a"]
+    assert [r.job_id for r in store.ids(spark).collect()] == ["a"]
+    assert counts(store.append_new(listings(spark, "b"), "r3", ARRIVAL)) == {"q": (1, 1, 0)}
+    store.vacuumed(spark)
+    assert stored(spark, store) == ["a", "b"]
+    assert not os.path.exists(f"{store.path}/run_id=r2/")or not os.listdir(f"{store.path}/run_id=r2/")
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    commits = Commits(spark, str(tmp_path))
+    state = commits.latest()
+    assert commits.add(state) and not commits.add(state)
+    assert commits.latest().version == 0
+
+
+def test_merged_runs_are_the_same_store(spark, store):
+    for i, ids in enumerate(("ab", "bc", "cd")):
+        store.append_new(listings(spark, *ids), f"r{i}", ARRIVAL)
+    before = sorted((r.job_id, r.run_id) for r in store.read(spark).collect())
+    store.compacted(spark)
+    assert sorted((r.job_id, r.run_id) for r in store.read(spark).collect()) == before
+    assert len(store.state(spark).parts) == 1
+    store.vacuumed(spark)
+    assert counts(store.append_new(listings(spark, "d", "e"), "r3", ARRIVAL)) == {"q": (2, 1, 1)}
+    # A run that is repeated after it was merged takes the place of its rows.
+    again = store.append_new(listings(spark, "a", "c", "f"), "r2", ARRIVAL)
+    assert counts(again) == {"q": (3, 1, 2)}
+    assert stored(spark, store) == ["a", "b", "c", "e", "f"]
+    assert counts(store.append_new(listings(spark, "d"), "r5", ARRIVAL)) == {"q": (1, 1, 0)}
+
+
+def test_a_small_batch_opens_few_key_files(spark, tmp_path):
+    store = Store(str(tmp_path / "s"), JOB_LISTING)
+    for run in range(3):
+        ids = [f"k{run}-{i}" for i in range(400)]
+        store.append_new(listings(spark, *ids), f"r{run}", ARRIVAL)
+    state = store.state(spark)
+    everything = store._known(spark, state, None, None)
+    buckets = [r[0] for r in spark.createDataFrame([("k0-7",)], "k string").select(
+        store_module._bucket(F.col("k"))).collect()]
+    some = store._known(spark, state, buckets, None)
+    assert everything.count() == 1200 and some.filter("job_id = 'k0-7'").count() == 1
+    assert len(everything.inputFiles()) > 200 and len(some.inputFiles()) <= 3
+    assert all("/_keys/" in name for name in everything.inputFiles())
