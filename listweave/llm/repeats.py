@@ -7,11 +7,12 @@ steps find all of them:
    least hash among its grams of 24 bytes. Equal strings have equal grams at their anchors. Blocks
    exchange hashes of those grams; where a gram is in one document only, nothing repeats, and the
    suffix at that anchor stays out of the sort.
-2. For the other anchors, each block sorts the suffixes there, with all the anchor owns to its left
-   and right, and exchanges them as front-coded runs. Parts of the order are merged by trees of
+2. For the other anchors, each block sorts the suffixes there, with all the anchor owns to its right
+   and left, and exchanges them as front-coded runs. Parts of the order are merged by trees of
    losers that never compare a known prefix again. What equals that of an earlier document repeats.
-3. Where the merge shows anchors with one gram but different surroundings, the strings they own
-   are sorted as suffixes of their own, exchanged and merged in the same way.
+3. Where the merge shows anchors with one gram but different surroundings, the strings they own, as
+   far as the next suffix in order allows for equal ones, are sorted as suffixes of their own,
+   exchanged and merged in the same way.
 4. The repeats return to their blocks, which cut them out.
 """
 
@@ -166,41 +167,39 @@ def anchors_of(block: Block, length: int) -> Anchors:
 
 
 def anchor_strings(data: np.ndarray, some: Anchors, length: int) -> np.ndarray:
-    """Per anchor the gram, how far what it owns reaches to the right and left, then the bytes to
-    the right and, backwards, to the left; unused bytes are zero."""
+    """Per anchor the bytes from there on as far as what it owns reaches, how far that is to the right
+    and left, then backwards the bytes to the left; unused bytes are zero."""
     side = length - GRAM
-    strings = np.zeros((len(some.at), GRAM + 2 + 2 * side), np.uint8)
+    strings = np.zeros((len(some.at), length + 2 + side), np.uint8)
     right = some.start + some.count - 1 + length - some.at
     left = some.at - some.start
-    strings[:, GRAM], strings[:, GRAM + 1] = right, left
+    strings[:, length], strings[:, length + 1] = right, left
     last = len(data) - 1
     for at in range(0, len(strings), ROWS_AT_ONCE):
         rows = slice(at, at + ROWS_AT_ONCE)
         place = some.at[rows, None]
-        strings[rows, :GRAM] = data[place + np.arange(GRAM)]
-        beyond = np.arange(GRAM, length)
-        taken = data[np.minimum(place + beyond, last)]
-        strings[rows, GRAM + 2 : GRAM + 2 + side] = taken * (beyond < right[rows, None])
+        ahead = np.arange(length)
+        taken = data[np.minimum(place + ahead, last)]
+        strings[rows, :length] = taken * (ahead < right[rows, None])
         back = np.arange(side)
         taken = data[np.maximum(place - 1 - back, 0)]
-        strings[rows, GRAM + 2 + side :] = taken * (back < left[rows, None])
+        strings[rows, length + 2 :] = taken * (back < left[rows, None])
     return strings
 
 
-def owned_strings(some: Entries, length: int) -> Entries:
-    """Every string that the anchors own, one by one."""
-    side = length - GRAM
-    rows = np.repeat(np.arange(len(some)), some.count)
-    nth = ranges(np.zeros(len(some), np.int64), some.count)
+def owned_strings(some: Entries, length: int, reach: np.ndarray) -> Entries:
+    """The strings that the anchors own, one by one, as far as they end within ``reach`` bytes from
+    the anchor. They come in order of place, so those are the first ones of each anchor."""
+    left = some.strings[:, length + 1].astype(np.int64)
+    count = np.clip(reach - length + left + 1, 0, some.count)
+    rows = np.repeat(np.arange(len(some)), count)
+    nth = ranges(np.zeros(len(some), np.int64), count)
     strings = np.empty((len(rows), length), np.uint8)
-    left = some.strings[:, GRAM + 1].astype(np.int64)
     for at in range(0, len(rows), ROWS_AT_ONCE):
         row = rows[at : at + ROWS_AT_ONCE, None]
-        # Places relative to the anchor.
+        # Places relative to the anchor; to the left they are stored backwards.
         place = nth[at : at + ROWS_AT_ONCE, None] - left[row] + np.arange(length)
-        column = np.where(
-            place < 0, GRAM + 1 + side - place, np.where(place < GRAM, place, place + 2)
-        )
+        column = np.where(place < 0, length + 1 - place, place)
         strings[at : at + ROWS_AT_ONCE] = some.strings[row, column]
     return Entries(
         strings, some.doc[rows], some.block[rows], some.start[rows] + nth, np.ones(len(rows), np.int64)
@@ -459,19 +458,23 @@ def merged_anchors(runs: DataFrame, length: int, parts: int, splitters: np.ndarr
         new[0] = True
         late = entries.doc > earliest(entries.doc, new)
         yield from sent_repeats(entries.take(late), None)
-        # Neighbours of one gram but different surroundings. Those at the limits of a part may have
-        # theirs in another one.
-        first = np.flatnonzero(new)
-        gram = np.cumsum(shared < GRAM)
-        gram_of = gram[first]
-        several = np.bincount(gram_of)[gram_of] > 1
+        # How much of the bytes from the anchor on a group shares with the most similar other one:
+        # a string that ends beyond that is in no other. Those at the limits of a part may have their
+        # neighbours in another part.
         part = key[0].as_py()
+        first = np.flatnonzero(new)
+        with_next = np.append(shared[first[1:]], 0)
+        with_before = np.append(0, with_next[:-1])
         if part > 0:
-            several |= gram_of == gram_of[0]
+            with_before[0] = length
         if part < parts - 1:
-            several |= gram_of == gram_of[-1]
-        open_ones = several[np.cumsum(new) - 1] & ~late
-        run, prefixes, repeated = sorted_run(owned_strings(entries.take(open_ones), length))
+            with_next[-1] = length
+        reach = np.minimum(np.maximum(with_before, with_next), length)
+        reach[reach < GRAM] = 0
+        of_entry = reach[np.cumsum(new) - 1]
+        open_ones = (of_entry > 0) & ~late
+        strings = owned_strings(entries.take(open_ones), length, of_entry[open_ones])
+        run, prefixes, repeated = sorted_run(strings)
         yield from sent_repeats(repeated, None)
         yield from sent_runs(run, prefixes, limits_sent.value)
 
@@ -570,7 +573,7 @@ def without_repeats(
     blocks = pinned(packed(docs, length, block_bytes))
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    wide = GRAM + 2 + 2 * (length - GRAM)
+    wide = length + 2 + (length - GRAM)
     of_anchors = limits(blocks, "some_anchors", wide, parts)
     of_strings = limits(blocks, "some_strings", length, parts)
     texts = blocks.drop("some_anchors", "some_strings")

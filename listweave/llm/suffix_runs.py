@@ -83,33 +83,29 @@ def coded(run: Entries, shared: np.ndarray) -> bytes:
     """A sorted run, each string only from where it differs from the one before it."""
     width = run.strings.shape[1]
     differs = np.arange(width) >= shared[:, None]
-    parts = [
-        np.array([len(run), width], np.int64),
-        run.doc,
-        run.block,
-        run.start,
-        run.count,
-        shared,
-    ]
-    head = b"".join(p.astype(np.int64).tobytes() for p in parts)
+    columns = np.stack([run.doc, run.block, run.start, run.count, shared]).astype(np.int64)
+    # Bytes of one significance together: most of the upper ones are alike.
+    planes = columns.view(np.uint8).reshape(5, len(run), 8).transpose(0, 2, 1)
+    head = np.array([len(run), width], np.int64).tobytes() + planes.tobytes()
     return zstandard.ZstdCompressor(3).compress(head + run.strings[differs].tobytes())
 
 
-def decoded(data: bytes) -> tuple[Entries, np.ndarray]:
+def decoded(data: bytes) -> tuple[Entries, list[bytes], list[int]]:
+    """The entries of a run, their strings as a list, and what each shares with the one before."""
     plain = zstandard.ZstdDecompressor().decompress(data)
     n, width = np.frombuffer(plain, np.int64, 2).tolist()
-    columns = np.frombuffer(plain, np.int64, 5 * n, 16).reshape(5, n)
-    rest = np.frombuffer(plain, np.uint8, offset=16 + 40 * n)
-    shared = columns[4]
-    strings = np.empty((n, width), np.uint8)
-    at = 0
-    before = strings[0]
-    for row, own in zip(strings, shared.tolist(), strict=True):
-        row[:own] = before[:own]
-        row[own:] = rest[at : at + width - own]
-        at += width - own
-        before = row
-    return Entries(strings, *columns[:4]), shared
+    planes = np.frombuffer(plain, np.uint8, 40 * n, 16).reshape(5, 8, n)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(5, n)
+    shared = columns[4].tolist()
+    strings: list[bytes] = []
+    at, before = 16 + 40 * n, b""
+    for own in shared:
+        end = at + width - own
+        before = before[:own] + plain[at:end]
+        strings.append(before)
+        at = end
+    rows = np.frombuffer(b"".join(strings), np.uint8).reshape(n, width)
+    return Entries(rows, *columns[:4]), strings, shared
 
 
 def merge_order(runs: list[list[bytes]], shared: list[list[int]], width: int):
@@ -187,13 +183,8 @@ def merge_order(runs: list[list[bytes]], shared: list[list[int]], width: int):
 
 def merged(coded_runs: list[bytes]) -> tuple[Entries, np.ndarray]:
     """All entries of the coded runs in order, and what each shares with the one before it."""
-    runs, shared = zip(*(decoded(data) for data in coded_runs), strict=True)
-    width = runs[0].strings.shape[1]
-    texts = []
-    for run in runs:
-        flat = run.strings.tobytes()
-        texts.append([flat[i : i + width] for i in range(0, len(flat), width)])
-    order = merge_order(texts, [s.tolist() for s in shared], width)
+    runs, texts, shared = zip(*(decoded(data) for data in coded_runs), strict=True)
+    order = merge_order(list(texts), list(shared), runs[0].strings.shape[1])
     of_run, place, share = (np.array(x, np.int64) for x in order)
     before = np.cumsum([0, *[len(r) for r in runs[:-1]]])
     rows = before[of_run] + place
