@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listweave.catalog.base import query, table
+from listweave.catalog.base import iso_text, query, table
+from listweave.catalog.payloads import in_envelope, paged
 from listweave.functions import times
 from listweave.operators import incremental
-from listweave.operators.arrival import first_seen
+from listweave.operators.arrival import consumed_pages, first_seen
+from listweave.plans.job_run import collect_jobs, ends_fetch, is_exempt
+from listweave.schemas import JOB_SOURCE, RAW_PAGES
 from listweave.session import pinned, run_folder
 from listweave.sources.store import Store, stored_keys
-from listweave.streaming.incremental import deduplicated_within, start_incremental
+from listweave.streaming.fetches import WholeFetch
+from listweave.streaming.incremental import deduplicated_within, start_incremental, take_open
 
 COUNTS_SQL = """
     WITH stored AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'),
@@ -137,6 +143,81 @@ def stream_incremental(spark, sf_dir):
     ).select(*EVENT_FIELDS, "pass")
 
 
+FETCH_PAGE = 60
+
+
+def _landed_fetches(events):
+    """Two fetches of each feed, of the lower and the upper half of the event numbers, as API pages
+    of 500 event numbers. A fetch ends at its first page with fewer than 60 items."""
+    halves = events.withColumn("fetch", (F.col("event_id") % 2).cast("int"))
+    inner = F.struct(
+        F.lit("").alias("ciphertext"),
+        iso_text(F.col("ts").cast("timestamp")).alias("publishTime"),
+    )
+    job = F.struct(
+        F.concat_ws("-", "event_type", "user_id").alias("id"),
+        F.col("event_id").cast("string").alias("title"),
+        F.struct(inner.alias("job")).alias("jobTile"),
+    )
+    group = ("event_type", "fetch")
+    pages = paged(halves.select(*group, "event_id", job.alias("job")), "event_id", 1000, group)
+    sized = pages.withColumn("n_items", F.size("jobs"))
+    landed = consumed_pages(sized, list(group), "page_no", "n_items", FETCH_PAGE)
+    return landed.select(
+        F.lit(JOB_SOURCE).alias("source"),
+        F.col("event_type").alias("query"),
+        F.length("event_type").alias("query_pos"),
+        F.lit("api").alias("origin"),
+        F.col("page_no").cast("int").alias("page_no"),
+        in_envelope(F.col("jobs")).alias("payload"),
+        (F.lit(datetime(2024, 2, 1)).cast("timestamp") + F.make_interval(hours="fetch")).alias(
+            "fetched_at"
+        ),
+    )
+
+
+@query(
+    """
+    WITH items AS (
+      SELECT event_type, event_id % 2 AS half, event_id // 1000 AS page_no, event_id,
+             event_type || '-' || user_id AS job_id
+      FROM events),
+    ends AS (
+      SELECT event_type, half, min(page_no) AS last_page FROM (
+        SELECT event_type, half, page_no, count(*) AS n FROM items GROUP BY ALL)
+      WHERE n < 60 GROUP BY ALL),
+    landed AS (
+      SELECT items.* FROM items LEFT JOIN ends USING (event_type, half)
+      WHERE page_no <= coalesce(last_page, page_no)),
+    firsts AS (
+      SELECT half, event_type, job_id, event_id,
+             row_number() OVER (PARTITION BY event_type, job_id ORDER BY half, event_id) AS nth
+      FROM landed)
+    SELECT job_id, CAST(event_id AS VARCHAR) AS title FROM firsts WHERE nth = 1
+    """
+)
+def stream_fetches(spark, sf_dir):
+    """Fetches whose pages fall into several batches. Each of three files has a third of the pages
+    of both fetches of every feed, and a batch takes one file."""
+    landed = run_folder(spark, "landed")
+    pages = _landed_fetches(table(spark, sf_dir, "events"))
+    pages.repartition(3, F.col("page_no") % 3).write.parquet(landed)
+    store = Store(run_folder(spark, "store"), _text_record(["job_id", "title"]))
+    checkpoint = run_folder(spark, "stream")
+
+    def listings(found):
+        return collect_jobs(found, None, None, datetime(2024, 2, 1), page_size=FETCH_PAGE)
+
+    stream = spark.readStream.schema(RAW_PAGES).option("maxFilesPerTrigger", 1).parquet(landed)
+    whole = WholeFetch(ends_fetch(FETCH_PAGE), exempt=is_exempt())
+    place = ["query_pos", "rank"]
+    start_incremental(
+        stream, listings, store, checkpoint, place, whole=whole
+    ).awaitTermination()
+    take_open(spark.createDataFrame([], RAW_PAGES), listings, store, checkpoint, place)
+    return store.read(spark).select("job_id", "title")
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedup(spark, sf_dir):
     """Events as a stream, each key once within a horizon that covers them all."""

@@ -64,6 +64,17 @@ def ranked_pages(raw_pages: DataFrame) -> DataFrame:
     )
 
 
+def ends_fetch(page_size: int = API_PAGE_SIZE) -> Column:
+    """Whether a landed API page is short and so the last one of its fetch."""
+    jobs = F.size(api_array(F.col("payload"), API_KEYS_PAYLOAD))
+    return ~_is_state() & (F.greatest(jobs, F.lit(0)) < page_size)
+
+
+def is_exempt() -> Column:
+    """Page-state pages come before all API pages of their fetch and end nothing."""
+    return _is_state()
+
+
 def arrival_number() -> Column:
     """Fetch, origin, page and position in one number."""
     parts = [("fetch_no", FETCH_BITS), ("origin_rank", 1), ("page_no", PAGE_BITS), ("pos", POS_BITS)]

@@ -16,6 +16,17 @@ from pyspark.sql import SparkSession
 FOLDER = "_commits"
 #: Earlier versions that stay for readers that have just read the list.
 KEPT_VERSIONS = 20
+#: Folders of a new key index; up to so many are listed without a job.
+FEWEST_BUCKETS = 32
+
+
+def new_index(buckets: int = FEWEST_BUCKETS) -> str:
+    """Name of a folder for a key index, which says how many folders it has."""
+    return f"_keys/{buckets}-{uuid.uuid4().hex}"
+
+
+def buckets_of(index: str) -> int:
+    return int(index.removeprefix("_keys/").partition("-")[0])
 
 
 @dataclass(frozen=True)
@@ -36,9 +47,13 @@ class State:
     """What a store holds at a version; version -1 has no file."""
 
     version: int = -1
-    keys: str = ""
+    keys: str = field(default_factory=new_index)
     parts: tuple[Part, ...] = field(default=())
 
+    @property
+    def buckets(self) -> int:
+        return buckets_of(self.keys)
+
     def runs(self) -> set[str]:
         return {part.run for part in self.parts if part.run is not None}
 
@@ -91,7 +106,7 @@ class Commits:
             return State(read["version"], read["keys"], tuple(parts))
         runs = [name for name in self.names(self.path) if name.startswith("run_id=")]
         parts = [Part(name, name, name.removeprefix("run_id="), indexed=False) for name in runs]
-        return State(-1, f"_keys/{uuid.uuid4().hex}", tuple(parts))
+        return State(-1, new_index(), tuple(parts))
 
     def _file(self, version: int) -> str:
         return f"{self.path}/{FOLDER}/{version:020d}.json"

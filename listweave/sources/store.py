@@ -7,7 +7,7 @@ replaces what an earlier attempt left behind.
 
 The key index has the keys of all runs in files by a hash of the key. A batch opens only those that
 its own keys may be in, whatever the number of runs. ``Store.compacted`` merges small runs and their
-keys.
+keys, into as many of those files as the keys ask for.
 
 A CSV store holds texts with line breaks, so its files cannot be split: a file is read by one task.
 Take over a single large CSV file by copying it into a Parquet store first (``Store.take_over``). A
@@ -28,7 +28,14 @@ from pyspark.sql import types as T
 from listweave.operators.incremental import first_writer, query_counts, unseen
 from listweave.operators.spread import null_safe_join
 from listweave.session import pinned, remove_folder
-from listweave.sources.commits import Commits, Part, State
+from listweave.sources.commits import (
+    FEWEST_BUCKETS,
+    Commits,
+    Part,
+    State,
+    buckets_of,
+    new_index,
+)
 
 CSV_WRITE = {
     "header": "true",
@@ -39,8 +46,9 @@ CSV_WRITE = {
 }
 CSV_READ = {**CSV_WRITE, "multiLine": "true", "enforceSchema": "true"}
 
-#: Folders of the key index.
-BUCKETS = 256
+#: Keys of a folder of the key index after merging, and how many folders there are at most.
+BUCKET_KEYS = 1_000_000
+MOST_BUCKETS = 4096
 #: Times that a writer starts again because others were faster.
 MOST_TRIES = 50
 
@@ -164,7 +172,7 @@ class Store:
             F.col(self.key).alias("key"),
             F.col("run_id").alias("run"),
             F.lit(name).alias("part"),
-            _bucket(F.col(self.key)).alias("bucket"),
+            _bucket(F.col(self.key), buckets_of(folder)).alias("bucket"),
         )
         aside = f"{self.path}/{folder}/.{name}"
         in_buckets = keys.repartition("bucket").sortWithinPartitions("bucket", "key")
@@ -192,9 +200,10 @@ class Store:
         names = list(dict.fromkeys([*place, query]))
         firsts = pinned(first_writer(batch.select(*names), self.key, arrival))
         wanted = stored_keys(firsts, self.key)
-        buckets = [r[0] for r in wanted.select(_bucket(F.col(self.key))).distinct().collect()]
         for _ in range(MOST_TRIES):
             state = commits.latest()
+            own = wanted.select(_bucket(F.col(self.key), state.buckets)).distinct()
+            buckets = [r[0] for r in own.collect()]
             known = self._known(spark, state, buckets, run_id)
             # Few of the stored keys matter to a batch, so they are reduced to its keys first.
             hits = pinned(known.join(wanted, self.key, "left_semi"))
@@ -223,8 +232,10 @@ class Store:
             writer = self.read(spark, state).repartition(files).write
             writer = writer.options(**(CSV_WRITE if self.format == "csv" else {}))
             writer.format(self.format).save(f"{self.path}/{part.folder}")
-            keys = f"_keys/{uuid.uuid4().hex}"
-            self._index(self._records(spark, [part]).select(self.key, "run_id"), name, keys)
+            merged = self._records(spark, [part]).select(self.key, "run_id")
+            wanted = -(-merged.count() // BUCKET_KEYS)
+            keys = new_index(min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (wanted - 1).bit_length())))
+            self._index(merged, name, keys)
             if commits.add(State(state.version, keys, (part,))):
                 return
         raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
@@ -244,8 +255,8 @@ class Store:
                         remove_folder(spark, f"{self.path}/{outer}/{inner}")
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def stored_keys(stored: DataFrame, key: str) -> DataFrame:

@@ -232,8 +232,8 @@ def test_a_small_batch_opens_few_key_files(spark, tmp_path):
     state = store.state(spark)
     everything = store._known(spark, state, None, None)
     buckets = [r[0] for r in spark.createDataFrame([("k0-7",)], "k string").select(
-        store_module._bucket(F.col("k"))).collect()]
+        store_module._bucket(F.col("k"), state.buckets)).collect()]
     some = store._known(spark, state, buckets, None)
     assert everything.count() == 1200 and some.filter("job_id = 'k0-7'").count() == 1
-    assert len(everything.inputFiles()) > 200 and len(some.inputFiles()) <= 3
+    assert len(everything.inputFiles()) == 3 * state.buckets and len(some.inputFiles()) <= 3
     assert all("/_keys/" in name for name in everything.inputFiles())
