@@ -258,10 +258,17 @@ def csv_round_trip(spark, sf_dir):
     return store.read(spark).drop("run_id")
 
 
-@query("SELECT n_nationkey, n_name, true AS in_form FROM nation")
+@query("SELECT event_type, event_id, 'ok ' || event_type AS title, true AS in_form FROM events")
 def ingest_stamps(spark, sf_dir):
-    """The form of the stamp, as its value is the time of the run."""
+    """Records of a run with their stamp. Its value is the time of the run, so only its form can be
+    compared, and that all records of a run have the same one."""
     form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+]00:00$"
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey", "n_name", times.ingest_stamp().rlike(form).alias("in_form")
+    stamped = table(spark, sf_dir, "events").select(
+        "event_type",
+        "event_id",
+        F.concat(F.lit("ok "), "event_type").alias("title"),
+        times.ingest_stamp().alias("scraped_at"),
+    )
+    return stamped.select(
+        "event_type", "event_id", "title", F.col("scraped_at").rlike(form).alias("in_form")
     )

@@ -389,7 +389,8 @@ def _per_struct(read: Callable[[str | None], dict], schema: StructType):
     return record
 
 
-search_cards = _per_array(_cards, CARD)
+# Not evaluated twice by a filter that explode would push below it.
+search_cards = _per_array(_cards, CARD).asNondeterministic()
 list_links = _per_array(_links, LINK)
 detail_fields = _per_struct(_detail, DETAIL)
 page_headings = _per_struct(_headings, HEADINGS)

@@ -5,6 +5,7 @@ A row whose time is missing or unreadable is never old.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ _SECOND = r"\d{2}(?:[.,]\d{1,9})?"
 _CLOCK = rf"(\d{{2}}(?::\d{{2}}(?::{_SECOND})?|\d{{2}}(?:{_SECOND})?)?)"
 _ZONE = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
 ISO_DATE = f"^{_DAY}$"
+# The usual forms, which a plain cast reads.
+_PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_PLAIN_TIMESTAMP = (
+    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})?)?$"
+)
 ISO_TIMESTAMP = f"^{_DAY}(?:[T ]{_CLOCK}{_ZONE})?$"
 
 
@@ -34,9 +40,20 @@ def _day(text: Column) -> Column:
     return F.when(text.contains("W"), of_week).otherwise(plain)
 
 
+def _once(text: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of a text that is worked out once, however often ``read`` names it. A filter would
+    otherwise repeat the whole expression behind the text for each of its names."""
+    return F.transform(F.array(text), read)[0]
+
+
 def iso_timestamp(text: Column) -> Column:
-    """Null unless the whole text is an ISO date or time. The pattern keeps out the other forms
-    that a plain cast accepts, such as a bare year or a bare time of day."""
+    return _once(text, _iso_timestamp)
+
+
+def _iso_timestamp(text: Column) -> Column:
+    """Null unless the whole text is an ISO date or time. The patterns keep out the other forms
+    that a plain cast accepts, such as a bare year or a bare time of day. Only what is not in one of
+    the usual forms is taken apart."""
 
     def part(number: int) -> Column:
         return F.regexp_extract(text, ISO_TIMESTAMP, number)
@@ -53,11 +70,15 @@ def iso_timestamp(text: Column) -> Column:
         F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
         F.regexp_replace(shift, r"(\d\d)(\d\d)", "$1:$2"),
     )
-    return F.when(text.rlike(ISO_TIMESTAMP), F.try_to_timestamp(spelled))
+    return F.when(text.rlike(_PLAIN_TIMESTAMP), text.try_cast("timestamp")).when(
+        text.rlike(ISO_TIMESTAMP), spelled.try_cast("timestamp")
+    )
 
 
 def iso_date(text: Column) -> Column:
-    return F.when(text.rlike(ISO_DATE), _day(text))
+    return F.when(text.rlike(_PLAIN_DATE), text.try_cast("date")).when(
+        text.rlike(ISO_DATE), _day(text)
+    )
 
 
 def cutoff_time(as_of: datetime, days: int | None) -> datetime | None:

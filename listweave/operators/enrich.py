@@ -35,28 +35,38 @@ def with_blanks(rows: DataFrame, details: DataFrame, on: str) -> DataFrame:
     return group_join(rows, details, [on], "left", spread).fillna("", subset=added)
 
 
-def latest_details(raw_details: DataFrame, kept: DataFrame, key: str = "job_id") -> DataFrame:
-    """Latest payload of each kept listing; no other payload is parsed.
+def latest_details(
+    raw_details: DataFrame, kept: DataFrame, key: str = "job_id"
+) -> tuple[DataFrame, int]:
+    """Latest payload of each kept listing, and the size of them all; no other payload is parsed.
 
-    Which one it is, is decided on key, time and digest; of equal payloads at one time either.
-    Only details of wanted keys are moved, and of those that are not the latest no payload.
+    Which one it is, is decided on key, time and digest. Only details of wanted keys are moved, and
+    of those that are not the latest no payload. A payload that landed again from one time comes
+    once for each landing, as telling equal ones apart would take a shuffle of the payloads; what is
+    read from them is equal, too.
     """
     wanted = kept.select(key).distinct()
-    place = F.struct("fetched_at", "_digest")
+    place = F.struct("fetched_at", "_digest", "_bytes")
     marked = raw_details.withColumn("_digest", F.xxhash64("payload"))
     narrow = group_join(
-        marked.select(key, "fetched_at", "_digest"), wanted, [key], "left_semi", ["_digest"]
+        marked.select(key, "fetched_at", "_digest", F.octet_length("payload").alias("_bytes")),
+        wanted,
+        [key],
+        "left_semi",
+        ["_digest"],
     )
     latest = pinned(
         narrow.groupBy(key)
         .agg(F.max(place).alias("_last"))
-        .select(key, F.col("_last.fetched_at").alias("fetched_at"), "_last._digest")
+        .select(
+            key, F.col("_last.fetched_at").alias("fetched_at"), "_last._digest", "_last._bytes"
+        )
     )
     chosen = stored_join(
         marked.select(key, "fetched_at", "_digest", "payload"),
-        latest,
+        latest.drop("_bytes"),
         [key, "fetched_at", "_digest"],
         "left_semi",
         ["_digest"],
     )
-    return chosen.groupBy(key).agg(F.first("payload").alias("payload"))
+    return chosen.select(key, "payload"), latest.agg(F.sum("_bytes")).first()[0] or 0

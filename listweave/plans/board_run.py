@@ -41,20 +41,20 @@ def collect_cards(
         F.xxhash64("payload").alias("digest"),
         "payload",
     )
-    pages = fetches(pinned(card_pages(landed)), ["query", "page_no"], ["query_pos", "digest"])
-    consumed = consumed_pages(
-        pages.withColumn("n_items", F.size("cards")),
-        ["query", "fetch_no"],
-        "page_no",
-        "n_items",
-        page_size,
-    )
-    cards = card_items(consumed.drop("n_items", "fetched_at", "digest"))
+    parsed = pinned(card_pages(landed).withColumn("landing", F.monotonically_increasing_id()))
+    # Which pages count is decided without their cards.
+    narrow = parsed.select("*", F.size("cards").alias("n_items")).drop("cards")
+    pages = fetches(narrow, ["query", "page_no"], ["query_pos", "digest", "landing"])
+    consumed = consumed_pages(pages, ["query", "fetch_no"], "page_no", "n_items", page_size)
+    numbers = pinned(consumed.select("landing", "fetch_no"))
+    held = parsed.drop("fetched_at", "digest").join(numbers, "landing").drop("landing")
+    cards = card_items(held)
     unique = first_seen(cards, ["query", "job_id"], ARRIVAL)
     dated = unique.withColumn("old", older_than_date(F.col("publish_time"), as_of, days))
     kept = collected(dated, ["query"], "old", ARRIVAL, count).drop("old", *ARRIVAL)
     if raw_details is not None:
         kept = pinned(kept)
-        details = parsed_details(latest_details(raw_details, kept))
+        latest, size = latest_details(raw_details, kept)
+        details = parsed_details(latest, size=size).dropDuplicates(["job_id"])
         kept = with_blanks(kept, details, "job_id")
     return board_listings(kept, stamp)

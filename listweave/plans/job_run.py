@@ -164,8 +164,6 @@ def collect_jobs(
     def jobs(of_origin: Column, array: Column) -> DataFrame:
         landed = ranked.filter(of_origin).select(*LANDING, "payload")
         held = stored_join(landed, places, LANDING, "inner", ["digest"])
-        if repeated:
-            held = held.dropDuplicates(LANDING)
         # The array is read as the argument of the function, once a page, not once a job.
         ranks = F.transform(
             array,
@@ -174,7 +172,9 @@ def collect_jobs(
             ),
         )
         kept = F.filter(ranks, lambda job: job["rank"].isNotNull())
-        return held.select("query", "query_pos", F.inline(kept))
+        found = held.select("query", "query_pos", F.inline(kept))
+        # Of a page that landed again only the jobs that stay go through a shuffle.
+        return found.dropDuplicates(["query", "rank"]) if repeated else found
 
     payload = F.col("payload")
     state = state_listings(jobs(_is_state_rank(), state_array(payload, STATE_PAYLOAD)), stamp)
