@@ -3,7 +3,7 @@
 A byte is eight binary decisions. Each decision has a tree of contexts: the bytes before it, one
 more per depth. A node with a zeros and b ones has the Krichevsky-Trofimov block probability, and
 its weighted probability is half that plus half the product of its children's; at the full depth it
-is the block probability alone. All of it follows from the counts of sequences of DEPTH + 1 bytes.
+is the block probability alone. All of it follows from the counts of sequences of depth + 1 bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DEPTH = 4
+#: Bytes of context, if no other number is given; with the byte itself and a bit for marks up to 6
+#: fit in 64 bits.
+DEPTH = 6
+MOST_DEPTH = 6
 BITS = 8
 NODES = 1 << BITS
 #: Stands before the first byte of a text and closes it; no UTF-8 text has it.
@@ -93,20 +96,22 @@ class Subtrees:
     log_weighted: np.ndarray
 
 
-def subtrees(grams: np.ndarray, counts: np.ndarray, top: int) -> Subtrees:
+def subtrees(
+    grams: np.ndarray, counts: np.ndarray, top: int, full: int = DEPTH
+) -> Subtrees:
     """Trees of all contexts of ``top`` bytes that occur, from all grams that end with them.
 
     A key is the context times 256 plus the decision node.
     """
     node, bit = bit_nodes(grams & (NODES - 1))
     times = np.repeat(counts[:, None], BITS, axis=1)
-    keys = ((contexts(grams, DEPTH)[:, None] << BITS) | node).reshape(-1)
+    keys = ((contexts(grams, full)[:, None] << BITS) | node).reshape(-1)
     ones = (times * bit).reshape(-1)
     keys, ones, total = _summed(keys, ones, times.reshape(-1))
     zeros = total - ones
     log_w = log_block(zeros, ones)
-    levels = {DEPTH: Level(keys, np.ones(len(keys)), (ones + 0.5) / (zeros + ones + 1))}
-    for depth in range(DEPTH - 1, top - 1, -1):
+    levels = {full: Level(keys, np.ones(len(keys)), (ones + 0.5) / (zeros + ones + 1))}
+    for depth in range(full - 1, top - 1, -1):
         mask = (1 << (BITS * (depth + 1))) - 1
         keys, zeros, ones, below = _summed(keys & mask, zeros, ones, log_w)
         block = log_block(zeros, ones)
@@ -121,7 +126,7 @@ def log10_probabilities(grams: np.ndarray, levels: dict[int, Level]) -> np.ndarr
     """Log10 probability of the last byte of each gram after the others, over all depths."""
     node, bit = bit_nodes(grams & (NODES - 1))
     one = np.full(node.size, 0.5)
-    for depth in range(DEPTH, -1, -1):
+    for depth in range(max(levels), -1, -1):
         own, estimate = levels[depth].at(
             ((contexts(grams, depth)[:, None] << BITS) | node).reshape(-1)
         )

@@ -26,13 +26,13 @@ from listweave.llm.common import (
     ranges,
     translated,
 )
+from listweave.session import pinned
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDED = 8
-#: Bounds of the training sample: languages, documents of each, characters of a document.
-MOST_LANGUAGES = 200
+#: Bounds of the training sample: documents of each language, characters of a document.
 PER_LANGUAGE = 500
 SAMPLE_CHARS = 2_048
 STEPS = 1_200
@@ -161,28 +161,22 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, seed: int = SEED
 def training_sample(docs: DataFrame, learned) -> tuple[list[str], list[bytes], np.ndarray]:
     """Languages, text pieces and their language numbers, from rows where ``learned`` holds.
 
-    At most ``MOST_LANGUAGES`` languages, the most frequent ones, with ``PER_LANGUAGE`` documents
-    each by hash of the id; of a longer document a stretch of ``SAMPLE_CHARS`` at a hashed place.
+    All languages, with ``PER_LANGUAGE`` documents each by hash of the id; of a longer document a
+    stretch of ``SAMPLE_CHARS`` at a hashed place.
     """
     usable = docs.filter("text is not null and lang is not null").filter(learned)
-    frequent = (
-        usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    )
-    languages = {r["lang"]: r["count"] for r in frequent.collect()}
-    if not languages:
-        return [], [], np.zeros(0, np.int64)
-    # A thin sample by hash first, so that the ranking below sees a bounded number of rows.
     scale = 1 << 30
-    rate = F.create_map(
-        *[
-            F.lit(x)
-            for lang, n in languages.items()
-            for x in (lang, min(scale, int(scale * 3 * PER_LANGUAGE / n) + 1))
-        ]
+    # A thin sample by hash first, so that the ranking below sees a bounded number of rows.
+    rates = pinned(
+        usable.groupBy("lang").agg(
+            F.least(F.lit(scale), F.floor(F.lit(3 * PER_LANGUAGE * scale) / F.count("*")) + 1).alias(
+                "rate"
+            )
+        )
     )
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(scale))
     most = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
-    thin = usable.filter(draw < rate[F.col("lang")]).select(
+    thin = usable.join(rates, "lang").filter(draw < F.col("rate")).select(
         "lang",
         draw.alias("draw"),
         F.expr("text").substr(

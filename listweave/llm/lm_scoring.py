@@ -41,25 +41,25 @@ WORD, GRAM, TEXT = 0, 1, 2
 NEEDED = "block bigint, kind int, word binary, gram bigint, n bigint"
 
 
-def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(texts: pa.Array, depth: int = ctw.DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """All byte sequences that end at a byte of a text or at its end, and how many each text has."""
     sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
     data = texts.buffers()[2]
     source = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    wide = sizes + ctw.DEPTH + 1
+    wide = sizes + depth + 1
     padded = np.full(wide.sum(), ctw.EDGE, np.uint8)
     before = ends_of(wide)[:-1]
     inner = np.zeros(len(padded) + 1, np.int8)
-    np.add.at(inner, before + ctw.DEPTH, 1)
-    np.add.at(inner, before + ctw.DEPTH + sizes, -1)
+    np.add.at(inner, before + depth, 1)
+    np.add.at(inner, before + depth + sizes, -1)
     inner = np.cumsum(inner[:-1], dtype=np.int8).astype(bool)
     padded[inner] = source
     long = padded.astype(np.int64)
-    keys = np.zeros(max(0, len(long) - ctw.DEPTH), np.int64)
-    for shift in range(ctw.DEPTH + 1):
+    keys = np.zeros(max(0, len(long) - depth), np.int64)
+    for shift in range(depth + 1):
         keys <<= 8
         keys |= long[shift : shift + len(keys)]
-    # The gram that starts at i ends at i + DEPTH: every text has one per byte and one at its end.
+    # The gram that starts at i ends at i + depth: every text has one per byte and one at its end.
     skipped = np.zeros(len(padded) + 1, np.int8)
     np.add.at(skipped, before, 1)
     np.add.at(skipped, before + sizes + 1, -1)
@@ -77,7 +77,8 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 class BlockNeeds:
     """Distinct words and grams of a block with their counts in its training rows."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int) -> None:
+        self.depth = depth
         self.words: list[pa.Array] = []
         self.word_counts: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -99,7 +100,7 @@ class BlockNeeds:
                 minlength=len(coded.dictionary),
             )
         )
-        grams, per_text = grams_of(texts)
+        grams, per_text = grams_of(texts, self.depth)
         marked, n = np.unique((grams << 1) | np.repeat(learned, per_text), return_counts=True)
         self.keys.append(marked >> 1)
         self.counts.append(n * (marked & 1))
@@ -140,7 +141,7 @@ class BlockNeeds:
         )
 
 
-def stored_needs(rows: DataFrame, folder: str) -> DataFrame:
+def stored_needs(rows: DataFrame, folder: str, depth: int) -> DataFrame:
     """Writes the texts of ``rows`` in blocks and returns the stored table of what they need.
 
     ``rows`` has ``doc_id``, ``held_out``, ``learned`` and ``text``. A block counts once its rows
@@ -158,7 +159,7 @@ def stored_needs(rows: DataFrame, folder: str) -> DataFrame:
                     [batch.column(0), batch.column(1), texts], names=["doc_id", "held_out", "text"]
                 )
                 if needs is None:
-                    needs = BlockNeeds()
+                    needs = BlockNeeds(depth)
                     name = f"block-{part:06d}-{uuid.uuid4().hex}.arrow"
                     system.create_dir(place, recursive=True)
                     sink = system.open_output_stream(f"{place}/{name}")
@@ -184,7 +185,7 @@ def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarr
     return [np.concatenate([h[i] for h in held]) for i in range(len(names))] if held else []
 
 
-def gram_model(grams: DataFrame) -> DataFrame:
+def gram_model(grams: DataFrame, depth: int) -> DataFrame:
     """``(gram, value)``: log10 probability of every gram of ``grams`` (``gram``, ``n``).
 
     Tasks hold whole subtrees below contexts of ``TOP`` bytes. What is above has at most 256 x 255
@@ -200,7 +201,7 @@ def gram_model(grams: DataFrame) -> DataFrame:
         if not held:
             return
         seen = held[1] > 0
-        tree = ctw.subtrees(held[0][seen], held[1][seen].astype(np.float64), TOP)
+        tree = ctw.subtrees(held[0][seen], held[1][seen].astype(np.float64), TOP, depth)
         values = (tree.keys, tree.zeros, tree.ones, tree.log_weighted)
         yield pa.record_batch(
             [pa.array(v) for v in values], names=["key", "zeros", "ones", "log_weighted"]
@@ -233,7 +234,7 @@ def gram_model(grams: DataFrame) -> DataFrame:
         if not held:
             return
         seen = held[1] > 0
-        tree = ctw.subtrees(held[0][seen], held[1][seen].astype(np.float64), TOP)
+        tree = ctw.subtrees(held[0][seen], held[1][seen].astype(np.float64), TOP, depth)
         tree.levels[1], tree.levels[0] = (ctw.Level(*level) for level in high.value)
         found = ctw.log10_probabilities(held[0], tree.levels)
         yield pa.record_batch([pa.array(held[0]), pa.array(found)], names=["gram", "value"])
@@ -241,7 +242,7 @@ def gram_model(grams: DataFrame) -> DataFrame:
     return by_context.mapInArrow(values, "gram bigint, value double")
 
 
-def scored(docs: DataFrame, held_out=None) -> DataFrame:
+def scored(docs: DataFrame, held_out=None, depth: int = ctw.DEPTH) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id``, ``text``) under models of the rows not held out.
 
     Texts are lower-cased in A-Z. Columns: ``doc_id``, ``held_out`` (by default: the crc32 of the id
@@ -250,8 +251,11 @@ def scored(docs: DataFrame, held_out=None) -> DataFrame:
     one), ``score`` (log10 probability of the text and its end under the byte model) and
     ``bits_per_byte``. Rows with a null id are neither held out nor learned from. Null and empty
     texts are an end alone. Repeated rows are learned from as often as they come. Other columns are
-    ignored whatever their names. An empty table gives no rows.
+    ignored whatever their names. An empty table gives no rows. Contexts have ``depth`` bytes, from 2
+    to 6; deeper models are better and move more.
     """
+    if not TOP <= depth <= ctw.MOST_DEPTH:
+        raise ValueError(f"contexts have {TOP} to {ctw.MOST_DEPTH} bytes")
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     spark = docs.sparkSession
@@ -261,7 +265,7 @@ def scored(docs: DataFrame, held_out=None) -> DataFrame:
         F.coalesce(~held_out, F.lit(False)).alias("learned"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    needs = stored_needs(rows, run_folder(spark, "lm-blocks"))
+    needs = stored_needs(rows, run_folder(spark, "lm-blocks"), depth)
     words = pinned(
         needs.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").cast("double").alias("value"))
     )
@@ -273,7 +277,7 @@ def scored(docs: DataFrame, held_out=None) -> DataFrame:
     n_train = total["n"] + ends
     divisor = np.log10(n_train + total["distinct"] + (ends > 0) + 1)
     grams = pinned(needs.filter(F.col("kind") == GRAM).groupBy("gram").agg(F.sum("n").alias("n")))
-    model = pinned(gram_model(grams))
+    model = pinned(gram_model(grams, depth))
     word_values = (
         needs.filter(F.col("kind") == WORD)
         .select("block", "kind", "word")
@@ -312,7 +316,7 @@ def scored(docs: DataFrame, held_out=None) -> DataFrame:
                 n = len(own)
                 base = np.bincount(owner, np.log10(count + 1) - divisor, minlength=n)
                 seen = np.bincount(owner, count > 0, minlength=n).astype(np.int64)
-                found_grams, per_gram = grams_of(own)
+                found_grams, per_gram = grams_of(own, depth)
                 log = logs[np.searchsorted(keys, found_grams)]
                 total = np.add.reduceat(log, ends_of(per_gram)[:-1])
                 parts.append(

@@ -22,8 +22,6 @@ from listweave.session import pinned
 
 MOST_REPEATS = 3
 BLOCKS_PER_SOURCE = 1024
-#: A mix is a list of sources with weights; more of them than this are refused.
-MOST_SOURCES = 10_000
 SEED = 17
 PLAN = "source_no int, block int, pass int, shard int, budget bigint"
 
@@ -145,8 +143,8 @@ def _broadcast_if_small(table: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix:
     """The mix of ``rows`` with unique numbers in ``row_id``, which are read once and stored.
 
-    Only sources and blocks reach the driver: at most ``MOST_SOURCES`` sources with
-    ``BLOCKS_PER_SOURCE`` blocks each.
+    Sums of sources and blocks reach the driver, a mix being a list of sources with weights: up to
+    ``BLOCKS_PER_SOURCE`` numbers a source, no more than the source has rows.
     """
     spark = rows.sparkSession
     sized = pinned(
@@ -161,9 +159,7 @@ def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix
         )
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    listed = [Source(r["source"], r["words"], r["rows"]) for r in found.take(MOST_SOURCES + 1)]
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"a mix takes at most {MOST_SOURCES} sources")
+    listed = [Source(r["source"], r["words"], r["rows"]) for r in found.collect()]
     listed.sort(key=lambda s: (s.name is None, s.name or ""))
     wanted = targets([s.words for s in listed], [1 + i % 3 for i in range(len(listed))])
     sources = spark.createDataFrame(
@@ -173,8 +169,9 @@ def mix(rows: DataFrame, row_id: str, shards: int = 16, seed: int = SEED) -> Mix
         ],
         "source_no int, source string, source_size bigint, target double, blocks int",
     )
+    sources = _broadcast_if_small(pinned(sources.repartition(1)))
     blocked = pinned(
-        sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"]))
+        sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
         .drop("source")
         .withColumn("block", F.pmod("place", "blocks").cast("int"))
         .drop("blocks")
@@ -258,7 +255,7 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = SEED) -> Data
     columns = [*rows.columns, shard, turn]
     by_block = (
         rows.withColumn(place, place_of(seed))
-        .join(F.broadcast(sources), F.col("source").eqNullSafe(F.col(name)))
+        .join(_broadcast_if_small(sources), F.col("source").eqNullSafe(F.col(name)))
         .withColumn(block, F.pmod(place, blocks).cast("int"))
         .join(_broadcast_if_small(whole), [number, block])
     )

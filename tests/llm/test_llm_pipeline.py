@@ -1,16 +1,17 @@
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pytest
-from edge_rows import edge_documents
+from edge_rows import edge_documents, empty_documents
 from test_llm_decontam import brute as brute_hits
 from test_llm_simhash import plain_components, plain_fingerprint
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from listweave.llm import mixing, quality
-from listweave.session import pinned
+from listweave.session import pinned, shared_dir
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -74,15 +75,33 @@ def test_mixing_and_sharding_stages(stages):
     assert max(load.values()) - min(load.values()) <= max(r["size"] for r in stages[5].collect())
 
 
-def test_run_is_all_stages(spark, stages):
-    got = corpus_pipeline.run(spark, SF_DIR)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[5].collect()))
+def test_runs_keep_their_results(spark, stages):
+    """A later run takes nothing away from an earlier one, read in either order."""
+    first, second = (corpus_pipeline.run(spark, SF_DIR) for _ in range(2))
+    expected = sorted(map(tuple, stages[5].collect()))
+    assert sorted(map(tuple, second.collect())) == expected
+    assert sorted(map(tuple, first.collect())) == expected
     assert "pipeline" in entry.queries()
-    assert len([n for n in entry.queries() if n.startswith("op")]) == 10
+    assert len([n for n in entry.queries() if n.startswith("op")]) == 13
+
+
+def test_a_written_run_leaves_nothing_else(spark, stages, tmp_path):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.written(spark, SF_DIR, str(tmp_path / "out"))
+    assert rows.count() == stages[5].count()
+    assert set(os.listdir(folder)) == before
 
 
 def test_edges(spark):
     docs = edge_documents(spark)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
+        docs = pinned(stage(spark, docs, SF_DIR))
+        assert docs.count() > 0, name
+
+
+def test_empty_table(spark):
+    docs = empty_documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
         docs = pinned(stage(spark, docs, SF_DIR))
-    assert docs.count() > 0
+        assert docs.count() == 0
