@@ -14,7 +14,7 @@ import numpy as np
 
 #: Bytes of context, if no other number is given; with the byte itself and a bit for marks up to 6
 #: fit in 64 bits.
-DEPTH = 6
+DEPTH = 5
 MOST_DEPTH = 6
 BITS = 8
 NODES = 1 << BITS
