@@ -13,9 +13,12 @@ from listweave.catalog.base import iso_text, query, table
 from listweave.catalog.payloads import in_envelope, paged
 from listweave.functions import html
 from listweave.plans import board_run as board_plan, job_run as job_plan  # noqa: F401  register
-from listweave.schemas import BOARD_SOURCE, JOB_SOURCE
+from listweave.schemas import BOARD_LISTING, BOARD_SOURCE, JOB_SOURCE
+from listweave.session import pinned, run_folder
 from listweave.sources.html_pages import card_items, card_pages, parsed_details
 from listweave.sources.registry import source
+from listweave.sources.store import Store
+from listweave.streaming.details import retry_open, start_details
 
 EVENTS_PER_PAGE = 500
 EVENTS_PER_CARD_PAGE = 250
@@ -308,3 +311,43 @@ def board_cards(spark, sf_dir):
 def board_details(spark, sf_dir):
     """Every detail page, as the board run reads them."""
     return parsed_details(landed_details(spark, sf_dir))
+
+
+DETAIL_COLUMNS = [
+    "description", "experience_level", "employment_type", "workplace_type", "applicant_count"
+]
+
+
+@query(
+    f"""
+    WITH run AS ({BOARD_RUN_SQL})
+    SELECT job_id, title, company, location, {", ".join(DETAIL_COLUMNS)} FROM run
+    QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY query, rank) = 1
+    """
+)
+def late_details(spark, sf_dir):
+    """The board run without details, while half of the details have landed before its listings are
+    stored and the others land afterwards, as a stream of two runs."""
+    store = Store(run_folder(spark, "store"), BOARD_LISTING)
+    landed, checkpoint = run_folder(spark, "landed"), run_folder(spark, "stream")
+    details = pinned(landed_details(spark, sf_dir))
+
+    def land(half: int) -> None:
+        some = details.filter(F.pmod(F.xxhash64("job_id"), F.lit(2)) == half)
+        some.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(details.schema).parquet(landed)
+        start_details(stream, parsed_details, store, checkpoint).awaitTermination()
+
+    land(0)
+    listings = source(BOARD_SOURCE)(
+        landed_again(landed_cards(spark, sf_dir)),
+        count=1350,
+        days=6,
+        as_of=datetime(2024, 2, 1, 18),
+        page_size=37,
+        stamp=F.lit(""),
+    )
+    store.append_new(listings, "listings", ["query", "rank"])
+    land(1)
+    retry_open(details.limit(0), parsed_details, store, checkpoint)
+    return store.read(spark).select("job_id", "title", "company", "location", *DETAIL_COLUMNS)

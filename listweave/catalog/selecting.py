@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listweave.catalog.base import query, table
-from listweave.operators import enrich, filters, ranking
+from listweave.operators import enrich, filters, matching, ranking
 from listweave.sources import manifest
 
 
@@ -209,3 +209,62 @@ def api_requests(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     requests = manifest.api_requests(customers, 2, query="c_name")
     return requests.select("c_custkey", "start", "variables")
+
+
+#: The query of an item: its first three words.
+ITEM_QUERY = "array_to_string(string_split(text, ' ')[1:3], ' ')"
+
+
+def _item_queries(spark, sf_dir):
+    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return table(spark, sf_dir, "benchmark").select("item_id", first.alias("asked"))
+
+
+@query(
+    f"""
+    WITH asked AS (
+      SELECT item_id, list_distinct(list_filter(string_split_regex(
+               lower({ITEM_QUERY}), '\\s+'), lambda t: t <> '')) AS terms
+      FROM benchmark)
+    SELECT item_id, doc_id FROM asked, documents
+    WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(
+            lower(coalesce(source, '') || ' ' || coalesce(text, '')), t))) = 0
+    """
+)
+def many_keyword_queries(spark, sf_dir):
+    """The documents that have all terms of each item's query, for all items at once."""
+    documents = table(spark, sf_dir, "documents")
+    found = matching.all_terms_match(
+        documents, "doc_id", ["source", "text"], _item_queries(spark, sf_dir), "item_id", "asked"
+    )
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"))
+
+
+@query(
+    f"""
+    WITH asked AS (
+      SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(
+               lower({ITEM_QUERY}), '\\s+'), lambda t: t <> ''))) AS term
+      FROM benchmark),
+    scored AS (
+      SELECT item_id, doc_id,
+             CAST(sum(2 * CAST(contains(lower(coalesce(source, '')), term) AS INT)
+                      + CAST(contains(lower(coalesce(text, '')), term) AS INT)) AS BIGINT) AS score
+      FROM asked, documents GROUP BY ALL)
+    SELECT item_id, doc_id, score FROM scored WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) <= 10
+    """
+)
+def many_relevance_queries(spark, sf_dir):
+    """Top ten documents for each item's query; newer documents first on ties."""
+    top = matching.most_relevant_for(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        {"source": 2, "text": 1},
+        _item_queries(spark, sf_dir),
+        "item_id",
+        "asked",
+        [-F.col("key")],
+        10,
+    )
+    return top.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "score")

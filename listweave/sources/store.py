@@ -109,18 +109,11 @@ class Store:
             records = records.filter(F.col("run_id") != but_run)
         found = stored_keys(records, self.key)
         indexed = [p for p in state.parts if p.indexed and p.run != (but_run or "")]
-        folder = f"{self.path}/{state.keys}"
-        names = [f"bucket={b}" for b in buckets] if buckets is not None else None
-        there = [n for n in Commits(spark, self.path).names(folder) if names is None or n in names]
-        if not indexed or not there:
+        index = self._index_of(spark, state, buckets)
+        if not indexed or index is None:
             return found
         rows = [(p.name, run) for p in indexed for run in p.without or [None]]
         parts = spark.createDataFrame(rows, "part string, gone string")
-        index = (
-            spark.read.schema("key string, run string, part string, bucket int")
-            .option("basePath", folder)
-            .parquet(*[f"{folder}/{n}" for n in there if n.startswith("bucket=")])
-        )
         if but_run is not None:
             index = index.filter(~F.col("run").eqNullSafe(but_run))
         listed = index.join(parts.select("part").distinct(), "part", "left_semi")
@@ -129,6 +122,20 @@ class Store:
             listed = listed.join(gone, (listed.part == gone.part) & (listed.run == gone.gone), "left_anti")
         return found.unionByName(listed.select(F.col("key").alias(self.key)))
 
+    def _index_of(
+        self, spark: SparkSession, state: State, buckets: list[int] | None
+    ) -> DataFrame | None:
+        """The key index, or some buckets of it, with keys of parts that are not listed, too; None if
+        there are no files."""
+        folder = f"{self.path}/{state.keys}"
+        there = [n for n in Commits(spark, self.path).names(folder) if n.startswith("bucket=")]
+        if buckets is not None:
+            there = [n for n in there if int(n.removeprefix("bucket=")) in set(buckets)]
+        if not there:
+            return None
+        reader = spark.read.schema("key string, run string, part string, bucket int")
+        return reader.option("basePath", folder).parquet(*[f"{folder}/{n}" for n in there])
+
     def take_over(self, old: "Store", spark: SparkSession, run_id: str) -> int:
         """Copies all records of another store into one run of this one."""
         return self.write(old.read(spark), run_id)
@@ -202,9 +209,7 @@ class Store:
         wanted = stored_keys(firsts, self.key)
         for _ in range(MOST_TRIES):
             state = commits.latest()
-            own = wanted.select(_bucket(F.col(self.key), state.buckets)).distinct()
-            buckets = [r[0] for r in own.collect()]
-            known = self._known(spark, state, buckets, run_id)
+            known = self._known(spark, state, self._buckets_of(wanted, state), run_id)
             # Few of the stored keys matter to a batch, so they are reduced to its keys first.
             hits = pinned(known.join(wanted, self.key, "left_semi"))
             new = pinned(unseen(firsts, hits, self.key, arrival))
@@ -219,6 +224,65 @@ class Store:
                 return query_counts(batch.select(query), new, query)
         raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
 
+    def known(self, wanted: DataFrame) -> DataFrame:
+        """Those of the wanted keys that are stored, each once. Few key files are read."""
+        spark = wanted.sparkSession
+        keys = pinned(stored_keys(wanted, self.key).distinct())
+        state = self.state(spark)
+        found = self._known(spark, state, self._buckets_of(keys, state), None)
+        return found.join(keys, self.key, "left_semi").distinct()
+
+    def _buckets_of(self, keys: DataFrame, state: State) -> list[int]:
+        buckets = keys.select(_bucket(F.col(self.key), state.buckets)).distinct()
+        return [r[0] for r in buckets.collect()]
+
+    def amended(self, changes: DataFrame) -> None:
+        """Writes the columns of ``changes``, a row per key, into the records of those keys, blank
+        values aside. The key index names the parts that hold them; only those are written anew, as
+        one, and readers see all of the change or none."""
+        spark = changes.sparkSession
+        commits = Commits(spark, self.path)
+        changes = pinned(changes.filter(F.nullif(F.col(self.key), F.lit("")).isNotNull()))
+        columns = [c for c in changes.columns if c != self.key]
+        new = changes.withColumnsRenamed({c: f"_new_{c}" for c in changes.columns})
+        for _ in range(MOST_TRIES):
+            state = commits.latest()
+            names = self._parts_with(changes, state)
+            touched = [p for p in state.parts if not p.indexed or p.name in names]
+            if not touched:
+                return
+            records = self.read(spark, replace(state, parts=tuple(touched)))
+            joined = records.join(new, F.col(self.key) == F.col(f"_new_{self.key}"), "left")
+            filled = {
+                c: F.coalesce(F.nullif(F.col(f"_new_{c}"), F.lit("")), F.col(c)) for c in columns
+            }
+            amended = joined.withColumns(filled).select(*self._with_run.names)
+            part = self._merged(amended, state.keys)
+            others = tuple(p for p in state.parts if p not in touched)
+            if commits.add(replace(state, parts=(*others, part))):
+                return
+        raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
+
+    def _parts_with(self, changes: DataFrame, state: State) -> set[str]:
+        """Names of the parts that the key index has for the keys of ``changes``."""
+        spark = changes.sparkSession
+        index = self._index_of(spark, state, self._buckets_of(changes, state))
+        if index is None:
+            return set()
+        keys = changes.select(F.col(self.key).alias("key"))
+        return {r[0] for r in index.join(keys, "key", "left_semi").select("part").distinct().collect()}
+
+    def _merged(self, records: DataFrame, keys: str, files: int | None = None) -> Part:
+        """Records of any runs, with their ``run_id``, as one part that no version lists yet."""
+        name = uuid.uuid4().hex
+        part = Part(name, f"merged/{name}", None)
+        records = records if files is None else records.repartition(files)
+        writer = records.write.options(**(CSV_WRITE if self.format == "csv" else {}))
+        writer.format(self.format).save(f"{self.path}/{part.folder}")
+        written = self._records(records.sparkSession, [part])
+        self._index(written.select(self.key, "run_id"), name, keys)
+        return part
+
     def compacted(self, spark: SparkSession, files: int = 8) -> None:
         """Merges all parts into one of ``files`` files, and their keys into a new index with a file
         per bucket. Readers and writers may go on; the old files stay until ``vacuumed``."""
@@ -227,15 +291,9 @@ class Store:
             state = commits.latest()
             if not state.parts:
                 return
-            name = uuid.uuid4().hex
-            part = Part(name, f"merged/{name}", None)
-            writer = self.read(spark, state).repartition(files).write
-            writer = writer.options(**(CSV_WRITE if self.format == "csv" else {}))
-            writer.format(self.format).save(f"{self.path}/{part.folder}")
-            merged = self._records(spark, [part]).select(self.key, "run_id")
-            wanted = -(-merged.count() // BUCKET_KEYS)
+            wanted = -(-self.read(spark, state).count() // BUCKET_KEYS)
             keys = new_index(min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (wanted - 1).bit_length())))
-            self._index(merged, name, keys)
+            part = self._merged(self.read(spark, state), keys, files)
             if commits.add(State(state.version, keys, (part,))):
                 return
         raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
