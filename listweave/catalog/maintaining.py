@@ -258,6 +258,35 @@ def csv_round_trip(spark, sf_dir):
     return store.read(spark).drop("run_id")
 
 
+@query(
+    """
+    SELECT CAST(event_id AS VARCHAR) AS job_id, event_type AS title,
+           CASE WHEN value < 20 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END
+             AS publish_time
+    FROM events
+    WHERE value < 20 OR date_trunc('second', ts) >= TIMESTAMP '2024-01-25'
+    """
+)
+def store_newer(spark, sf_dir):
+    """Recent records of a store of four runs, of which three were merged in order of time."""
+    published = F.when(F.col("value") < 20, "soon").otherwise(iso_text("ts"))
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("job_id"),
+        F.col("event_type").alias("title"),
+        published.alias("publish_time"),
+        F.col("event_type").alias("query"),
+        F.col("event_id").alias("pos"),
+    )
+    record = _text_record(["job_id", "title", "publish_time"])
+    store = Store(run_folder(spark, "store"), record, time="publish_time", facets=("title",))
+    for run in range(4):
+        part = events.filter(F.col("pos") % 4 == run)
+        store.append_new(part, f"r{run}", ["pos"])
+        if run == 2:
+            store.compacted(spark)
+    return store.newer(spark, datetime(2024, 1, 30), 5).drop("run_id")
+
+
 @query("SELECT event_type, event_id, 'ok ' || event_type AS title, true AS in_form FROM events")
 def ingest_stamps(spark, sf_dir):
     """Records of a run with their stamp. Its value is the time of the run, so only its form can be

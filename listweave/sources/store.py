@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listweave.functions.times import cutoff_time, iso_timestamp, older_than_time
 from listweave.operators.incremental import first_writer, query_counts, unseen
 from listweave.operators.spread import null_safe_join
 from listweave.session import pinned, remove_folder
@@ -46,6 +48,9 @@ CSV_WRITE = {
 }
 CSV_READ = {**CSV_WRITE, "multiLine": "true", "enforceSchema": "true"}
 
+#: The time of a record in the files of merged parts, in microseconds, as Spark writes timestamps in
+#: a form without statistics unless it is told otherwise.
+TIME = "_time"
 #: Keys of a folder of the key index after merging, and how many folders there are at most.
 BUCKET_KEYS = 1_000_000
 MOST_BUCKETS = 4096
@@ -55,17 +60,28 @@ MOST_TRIES = 50
 
 @dataclass(frozen=True)
 class Store:
-    """Records of one schema under one path, as ``parquet`` or ``csv``."""
+    """Records of one schema under one path, as ``parquet`` or ``csv``.
+
+    ``time`` names a column with ISO times. Merged parts of a Parquet store keep it as a number,
+    too, and lie in order of it, so that filters by time skip files and row groups by their
+    statistics; ``facets`` are columns for which they have Bloom filters, besides the key.
+    """
 
     path: str
     schema: T.StructType
     key: str = "job_id"
     format: str = "parquet"
+    time: str = ""
+    facets: tuple[str, ...] = ()
 
     @property
     def _with_run(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
 
+    @property
+    def _with_time(self) -> T.StructType:
+        return T.StructType([*self._with_run.fields, T.StructField(TIME, T.LongType())])
+
     def state(self, spark: SparkSession) -> State:
         return Commits(spark, self.path).latest()
 
@@ -276,13 +292,46 @@ class Store:
         """Records of any runs, with their ``run_id``, as one part that no version lists yet."""
         name = uuid.uuid4().hex
         part = Part(name, f"merged/{name}", None)
-        records = records if files is None else records.repartition(files)
-        writer = records.write.options(**(CSV_WRITE if self.format == "csv" else {}))
+        writer = self._clustered(records, files).write
+        if self.format == "csv":
+            writer = writer.options(**CSV_WRITE)
+        else:
+            for column in (self.key, *self.facets):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.format(self.format).save(f"{self.path}/{part.folder}")
         written = self._records(records.sparkSession, [part])
         self._index(written.select(self.key, "run_id"), name, keys)
         return part
 
+    def _clustered(self, records: DataFrame, files: int | None) -> DataFrame:
+        """Records for a merged part, with their time and in order of it if the store has one."""
+        if self.format == "csv" or not self.time:
+            return records if files is None else records.repartition(files)
+        timed = records.withColumn(TIME, F.unix_micros(iso_timestamp(F.col(self.time))))
+        numbers = [] if files is None else [files]
+        return timed.repartitionByRange(*numbers, TIME, self.key).sortWithinPartitions(TIME, self.key)
+
+    def newer(
+        self, spark: SparkSession, as_of: datetime, days: int, state: State | None = None
+    ) -> DataFrame:
+        """The records whose time is not older than ``days`` before ``as_of``; those without a
+        readable time are never old. Of merged parts only what may be wanted is read."""
+        state = self.state(spark) if state is None else state
+        merged = tuple(p for p in state.parts if p.run is None)
+        others = self.read(spark, replace(state, parts=tuple(set(state.parts) - set(merged))))
+        found = others.filter(~older_than_time(F.col(self.time), as_of, days))
+        if not merged or self.format == "csv":
+            more = self.read(spark, replace(state, parts=merged))
+            return found.unionByName(more.filter(~older_than_time(F.col(self.time), as_of, days)))
+        since = cutoff_time(as_of, days) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+        cutoff = since // timedelta(microseconds=1)
+        for part in merged:
+            rows = spark.read.schema(self._with_time).parquet(f"{self.path}/{part.folder}")
+            kept = rows.filter(F.col(TIME).isNull() | (F.col(TIME) >= cutoff))
+            kept = kept.filter(~F.col("run_id").isin(*part.without)).drop(TIME)
+            found = found.unionByName(kept)
+        return found
+
     def compacted(self, spark: SparkSession, files: int = 8) -> None:
         """Merges all parts into one of ``files`` files, and their keys into a new index with a file
         per bucket. Readers and writers may go on; the old files stay until ``vacuumed``."""

@@ -3,10 +3,13 @@ from __future__ import annotations
 import csv
 import os
 import threading
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from listweave.functions.times import older_than_time
 from listweave.operators import incremental
 from listweave.schemas import JOB_LISTING
 from listweave.sources import store as store_module
@@ -237,3 +240,50 @@ def test_a_small_batch_opens_few_key_files(spark, tmp_path):
     assert everything.count() == 1200 and some.filter("job_id = 'k0-7'").count() == 1
     assert len(everything.inputFiles()) == 3 * state.buckets and len(some.inputFiles()) <= 3
     assert all("/_keys/" in name for name in everything.inputFiles())
+
+
+def timed_rows(spark, *runs):
+    rows = [
+        (run, 0, i, f"{run}-{i}", "soon" if i % 9 == 0 else f"2026-03-{1 + i % 28:02d}T0{i % 10}:00:00")
+        for run in runs
+        for i in range(200)
+    ]
+    return spark.createDataFrame(rows, "query string, query_pos int, rank int, job_id string, at string")
+
+
+@pytest.mark.parametrize("format", ["parquet", "csv"])
+def test_newer_records_of_merged_and_other_parts(spark, tmp_path, format):
+    record = T.StructType.fromDDL("job_id string, at string")
+    store = Store(str(tmp_path / "s"), record, format=format, time="at", facets=("at",))
+    for run in ("r0", "r1"):
+        store.append_new(timed_rows(spark, run), run, ["rank"])
+    as_of = datetime(2026, 3, 28)
+    before = sorted(tuple(r) for r in store.newer(spark, as_of, 3).collect())
+    store.compacted(spark, files=4)
+    store.append_new(timed_rows(spark, "r2"), "r2", ["rank"])
+    found = store.newer(spark, as_of, 3)
+    assert sorted(tuple(r) for r in found.filter("run_id <> 'r2'").collect()) == before
+    all_rows = store.read(spark)
+    expected = all_rows.filter(~older_than_time(F.col("at"), as_of, 3))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert store.read(spark).columns == ["job_id", "at", "run_id"]
+
+
+def test_old_row_groups_are_not_read(spark, tmp_path):
+    record = T.StructType.fromDDL("job_id string, at string")
+    store = Store(str(tmp_path / "s"), record, time="at", facets=("at",))
+    store.append_new(timed_rows(spark, "r0").filter("at <> 'soon'"), "r0", ["rank"])
+    store.compacted(spark, files=6)
+    found = store.newer(spark, datetime(2026, 3, 28), 3)
+    n = found.count()
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    scans = [node for node in seq(plan.collectLeaves()) if "_time" in node.toString()]
+    read = sum(node.metrics().apply("numOutputRows").value() for node in scans)
+    total = store.read(spark).count()
+    assert 0 < n <= read <= total // 2
+    assert "GreaterThanOrEqual(_time" in found._jdf.queryExecution().toString()
+
+
+def seq(nodes):
+    return [nodes.apply(i) for i in range(nodes.size())]
