@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from listweave.session import pinned, run_folder
+from listweave.sources.commits import Commits
 
 SLOTS = 4096
 ROW_BYTES = 16
@@ -92,12 +93,20 @@ class SlotMap:
             rows.append((s.slot, shard, s.bytes, s.rows, before[shard]))
             before[shard] += s.rows
         table = self.spark.createDataFrame(rows, MAP_SCHEMA)
-        table.coalesce(1).write.parquet(self._path(version))
+        # What a killed attempt may have left is no version.
+        table.coalesce(1).write.mode("overwrite").parquet(self._path(version))
         return self.read(version)
 
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema(MAP_SCHEMA).parquet(self._path(version))
 
+    def latest(self) -> int:
+        """Number of the newest whole version, 0 if there is none."""
+        files = Commits(self.spark, self.folder)
+        names = [n for n in files.names(self.folder) if n.startswith("version=")]
+        numbers = [int(n.removeprefix("version=")) for n in names]
+        return max((n for n in numbers if "_SUCCESS" in files.names(self._path(n))), default=0)
+
     def shards(self, version: int) -> dict[int, int]:
         """Slot to shard: at most as many entries as there are slots."""
         return {r["virtual_slot"]: r["shard"] for r in self.read(version).collect()}
@@ -129,7 +138,9 @@ def sharded(
     Columns: ``doc_id``, ``size`` (UTF-8 bytes of the text, none for null, plus 16), ``text_crc32``
     (of null: that of the empty text), ``law``, ``shard``, ``slot`` (place in the shard, gapless
     from 0, in order of virtual slot, id and text), ``grown_shard`` (null under this law),
-    ``virtual_slot`` and ``map_version``. The slot map is stored in ``folder``.
+    ``virtual_slot`` and ``map_version``. The slot map is stored in ``folder``. If there is one already,
+    for other rows or fewer shards, the next version is an edit of it (:func:`rebalanced`), so that
+    few slots move.
 
     Null ids are spread by their texts; rows with equal id and text share a slot, ties in their
     order do not matter as they are equal. Other columns are ignored whatever their names. An empty
@@ -139,7 +150,10 @@ def sharded(
     slotted = pinned(with_slot(docs, slots))
     stats = slot_stats(slotted)
     store = SlotMap(spark, folder or run_folder(spark, "slot-map"))
-    table = store.write(1, spread_slots(stats, shards), stats)
+    last = store.latest()
+    placed = rebalanced(store.shards(last), stats, shards) if last else spread_slots(stats, shards)
+    version = last + 1
+    table = store.write(version, placed, stats)
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_key", "size")
     return (
         slotted.withColumn("_n", F.row_number().over(within))
@@ -153,7 +167,7 @@ def sharded(
             (F.col("before") + F.col("_n") - 1).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "virtual_slot",
-            F.lit(1).alias("map_version"),
+            F.lit(version).alias("map_version"),
         )
     )
 

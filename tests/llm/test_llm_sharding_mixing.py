@@ -62,6 +62,24 @@ def test_map_versions_and_edits(spark, tmp_path):
     assert sum(grown[s] == 8 for s in moved) > 0.75 * len(moved)
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """More rows and one more shard: the next version moves few slots."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    folder = str(tmp_path / "map")
+    first = sharding.sharded(docs.filter("doc_id % 5 <> 0"), 8, folder=folder).collect()
+    again = sharding.sharded(docs, 9, folder=folder).collect()
+    assert {r["map_version"] for r in first} == {1} and {r["map_version"] for r in again} == {2}
+    before = {r["virtual_slot"]: r["shard"] for r in first}
+    after = {r["virtual_slot"]: r["shard"] for r in again}
+    assert sum(after[s] != before[s] for s in before) < len(before) / 3
+    load, places = Counter(), {}
+    for r in again:
+        load[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert len(load) == 9 and max(load.values()) - min(load.values()) <= max(r["size"] for r in again)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def plain_targets(words, weights):
     total, capped = float(sum(words)), set()
     while True:
