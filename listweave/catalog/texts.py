@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listweave.catalog.base import query, table
+from listweave.catalog.base import iso_text, query, table
 from listweave.functions import money, text
+from listweave.plans.normalise import with_typed_job_columns
 
 TEXT_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 
@@ -229,3 +230,91 @@ def urn_tail(spark, sf_dir):
         text.urn_tail(F.col("url"), "/").alias("tail"),
         text.urn_tail(urn).alias("job_id"),
     )
+
+
+@query(
+    """
+    SELECT o_orderkey,
+           CASE WHEN o_orderstatus = 'F' THEN '$' || o_custkey
+                ELSE '$' || CASE o_orderkey % 3 WHEN 0 THEN '?' WHEN 1 THEN 'None'
+                                 ELSE CAST(o_custkey AS VARCHAR) END
+                     || '-$' || CASE o_orderkey % 2 WHEN 0 THEN '?' ELSE 'None' END || '/hr' END
+             AS budget,
+           CASE WHEN o_orderkey % 10 = 0 THEN '~x0' || o_custkey
+                ELSE substr('~0' || o_orderkey, 4) END AS key,
+           ltrim('~0' || o_orderkey, '~0') AS loose_key
+    FROM orders
+    """
+)
+def budget_exact_and_keys(spark, sf_dir):
+    """API budgets that tell a null side from an absent one, and cipher keys without version."""
+    customer = F.col("o_custkey").cast("string")
+    number = F.col("o_orderkey")
+    fields = F.concat_ws(
+        ",",
+        F.when(number % 3 == 1, '"hourlyBudgetMin":null').when(
+            number % 3 == 2, F.concat(F.lit('"hourlyBudgetMin":'), customer)
+        ),
+        F.when(number % 2 == 1, '"hourlyBudgetMax":null'),
+        F.concat(F.lit('"fixedPriceAmount":{"amount":'), customer, F.lit("}")),
+    )
+    job = F.from_json(F.concat(F.lit("{"), fields, F.lit("}")), "map<string,string>")
+    kind = F.when(F.col("o_orderstatus") == "F", "FIXED").otherwise("HOURLY")
+    cipher = F.when(number % 10 == 0, F.concat(F.lit("~x0"), customer)).otherwise(
+        F.concat(F.lit("~0"), number.cast("string"))
+    )
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        money.api_budget_exact(kind, job).alias("budget"),
+        text.stripped_cipher(cipher, strip_version=True).alias("key"),
+        text.stripped_cipher(F.concat(F.lit("~0"), number.cast("string"))).alias("loose_key"),
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey,
+           CASE o_orderstatus WHEN 'O' THEN NULL ELSE CAST(o_custkey AS DECIMAL(18,2)) END AS budget_min,
+           CASE o_orderstatus WHEN 'O' THEN NULL
+                WHEN 'P' THEN CAST(o_custkey + 5 AS DECIMAL(18,2))
+                ELSE CAST(o_custkey AS DECIMAL(18,2)) END AS budget_max,
+           CASE WHEN o_orderkey % 4 > 0 THEN epoch_us(date_trunc('second', o_orderdate)) END
+             AS published,
+           CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS n_skills,
+           CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS payment_verified,
+           CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS total_reviews,
+           CASE WHEN o_orderkey % 5 > 0 THEN o_custkey / 4 END AS total_feedback
+    FROM orders
+    """
+)
+def typed_columns(spark, sf_dir):
+    """Typed companions of the text columns of job records, null where a text says nothing."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    dollars = F.concat(F.lit("$"), customer)
+    higher = (F.col("o_custkey") + 5).cast("string")
+    texts = {
+        "budget": F.when(F.col("o_orderstatus") == "O", "N/A")
+        .when(F.col("o_orderstatus") == "P", F.concat(dollars, F.lit("-$"), higher, F.lit("/hr")))
+        .otherwise(dollars),
+        "client_payment_verified": F.when(key % 3 == 0, "Yes").when(key % 3 == 1, "No").otherwise(""),
+        "publish_time": F.when(key % 4 == 0, "soon").otherwise(iso_text("o_orderdate")),
+        "skills": F.when(key % 2 == 0, "one, two").otherwise(""),
+        "client_total_reviews": F.when(key % 5 == 0, "").otherwise(customer),
+        "client_total_feedback": F.when(key % 5 == 0, "").otherwise(
+            (F.col("o_custkey") / 4).cast("string")
+        ),
+        "scraped_at": F.lit(""),
+    }
+    listings = table(spark, sf_dir, "orders").select(
+        "o_orderkey", *[column.alias(name) for name, column in texts.items()]
+    )
+    return with_typed_job_columns(listings).select(
+        "o_orderkey",
+        F.col("budget_min").cast("decimal(18,2)").alias("budget_min"),
+        F.col("budget_max").cast("decimal(18,2)").alias("budget_max"),
+        F.unix_micros("publish_ts").alias("published"),
+        F.size("skills_arr").cast("bigint").alias("n_skills"),
+        "payment_verified",
+        "total_reviews",
+        "total_feedback",
+    )

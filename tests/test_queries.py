@@ -16,7 +16,7 @@ def connection():
 
 # Queries that run Python on the executors, and where: expressions on HTML, slices of W2.
 HTML_STEPS = {"card_extract", "page_fields", "board_cards", "board_details", "board_run"}
-ORDERED_STEPS = {"two_key_dedup", "two_key_turns", "job_run"}
+ORDERED_STEPS = {"two_key_dedup", "two_key_turns", "job_run", "stream_fetches"}
 
 
 @pytest.fixture
