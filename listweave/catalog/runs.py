@@ -15,7 +15,9 @@ from listweave.functions import html
 from listweave.plans import board_run as board_plan, job_run as job_plan  # noqa: F401  register
 from listweave.schemas import BOARD_LISTING, BOARD_SOURCE, JOB_SOURCE
 from listweave.session import pinned, run_folder
+from listweave.sources import landed
 from listweave.sources.html_pages import card_items, card_pages, parsed_details
+from listweave.sources.json_pages import api_jobs
 from listweave.sources.registry import source
 from listweave.sources.store import Store
 from listweave.streaming.details import retry_open, start_details
@@ -162,6 +164,37 @@ def job_run(spark, sf_dir):
     )
 
 
+@query(
+    """
+    WITH jobs AS (SELECT event_type, event_id // 500 AS page_no, event_id, value FROM events)
+    SELECT event_type AS query, CAST(page_no AS INTEGER) AS page_no, count(*) AS n_jobs,
+           CAST(count(*) FILTER (value >= 20) AS BIGINT) AS n_dated
+    FROM jobs WHERE event_type IN ('click', 'signup') GROUP BY ALL
+    """
+)
+def landed_source(spark, sf_dir):
+    """API pages of two feeds, out of a landing zone with a file per page; the other feeds' folders
+    are not listed."""
+    landed.register(spark)
+    folder = run_folder(spark, "landing")
+    pages = landed_json(spark, sf_dir).filter("origin = 'api'").select(
+        F.lit(JOB_SOURCE).alias("source"),
+        "query",
+        "query_pos",
+        "origin",
+        "page_no",
+        "payload",
+        F.lit(datetime(2024, 2, 1)).cast("timestamp").alias("fetched_at"),
+    )
+    pages.write.format("landed_pages").mode("append").save(folder)
+    read = spark.read.format("landed_pages").load(folder)
+    jobs = api_jobs(read.filter(F.col("query").isin("click", "signup")))
+    published = F.col("job.jobTile.job.publishTime")
+    return jobs.groupBy("query", "page_no").agg(
+        F.count("*").alias("n_jobs"), F.count_if(published != "unknown").alias("n_dated")
+    )
+
+
 def landed_cards(spark, sf_dir):
     """Search pages of cards: entities, nested markup, list items without a card."""
     events = table(spark, sf_dir, "events")
