@@ -217,12 +217,12 @@ def gram_model(grams: DataFrame, depth: int) -> DataFrame:
     rows = np.array(sorted(tuple(r) for r in above), np.float64).reshape(-1, 4)
     keys, zeros, ones, below = rows[:, 0].astype(np.int64), rows[:, 1], rows[:, 2], rows[:, 3]
     levels = []
-    for depth in (1, 0):
+    for upper in (1, 0):
         block = ctw.log_block(zeros, ones)
         log_w = ctw.weighted(block, below)
         own = np.exp(block - np.log(2) - log_w)
         levels.append((keys, own, (ones + 0.5) / (zeros + ones + 1)))
-        if depth:
+        if upper:
             keys, place = np.unique(keys & (ctw.NODES - 1), return_inverse=True)
             zeros, ones, below = (
                 np.bincount(place, v, minlength=len(keys)) for v in (zeros, ones, log_w)
