@@ -7,8 +7,9 @@ by shared keys:
 * a group that fits in one task is taken in order there;
 * of larger ones most items are settled at once, by aggregates and joins: one that is the earliest
   undecided item on each of its keys is kept, and what shares a key with a kept item is dropped;
-* what a few such rounds leave falls apart in components of items that share keys. Components are
-  packed into tasks of bounded size, each taken in order, all in one turn;
+* each round is taken on fewer items. Where rounds no longer settle much, as in long chains, what is
+  left falls apart in components of items that share keys. Components are packed into tasks of
+  bounded size, each taken in order, all in one turn;
 * a component that is too large for a task is taken in slices, one after the other.
 """
 
@@ -28,8 +29,10 @@ from listweave.operators.spread import (
 )
 from listweave.session import pinned
 
-# Parallel rounds before components are looked for.
-ROUNDS = 3
+# Most parallel rounds before components are looked for, and the share of the undecided items that a
+# round has to settle for another one to follow.
+ROUNDS = 30
+LEAST_SETTLED = 0.2
 # Undecided items that one task settles in order; a larger component takes several turns.
 SLICE_ROWS = 250_000
 
@@ -71,37 +74,32 @@ def _with_own_keys(items: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _settled(undecided: DataFrame, group: list[str]) -> DataFrame:
-    """Undecided items with ``_wins``: whether they are the earliest on all their keys.
-
-    Each key names its earliest item; an item that is named by all of its keys wins.
-    """
-    named = (
-        _keys(undecided, group)
-        .groupBy(*group, "_key")
-        .agg(F.min("_at").alias("_at"))
-        .groupBy(*group, "_at")
-        .agg(F.count("*").alias("_named"))
-    )
+def _firsts(undecided: DataFrame, group: list[str]) -> DataFrame:
+    """The earliest item ``_at`` of each key, the number ``_of`` of keys that item has, and how many
+    items have the key."""
     n_keys = F.when(F.col("_a") == F.col("_b"), 1).otherwise(2)
-    return (
-        undecided.join(named, [*group, "_at"], "left")
-        .withColumn("_wins", F.coalesce(F.col("_named") == n_keys, F.lit(False)))
-        .drop("_named")
+    both = F.array_distinct(F.array("_a", "_b"))
+    keys = undecided.select(*group, "_at", n_keys.alias("_of"), F.explode(both).alias("_key"))
+    return keys.groupBy(*group, "_key").agg(
+        F.min("_at").alias("_at"), F.min_by("_of", "_at").alias("_of"), F.count("*").alias("_n")
     )
 
 
+def _taken(firsts: DataFrame, group: list[str]) -> DataFrame:
+    """Keys that are taken by items that are the earliest on all their keys, with these items."""
+    named = F.count("*").over(Window.partitionBy(*group, "_at"))
+    kept = firsts.withColumn("_named", named).filter(F.col("_named") == F.col("_of"))
+    return kept.select(*group, "_key", "_at")
+
+
 def _not_taken(
-    items: DataFrame, taken: DataFrame, group: list[str], rows_per_salt: int | None
+    items: DataFrame, taken: DataFrame, group: list[str], hot: DataFrame | None = None
 ) -> DataFrame:
-    """Items neither of whose keys is taken; hot keys are split unless ``rows_per_salt`` is None."""
+    """Items neither of whose keys is taken; ``hot`` keys are split."""
     for side in ("_a", "_b"):
-        on = [*group, side]
-        hot = None
-        if rows_per_salt is not None:
-            hot = hot_keys(items.groupBy(*on).agg(F.count("*").alias("_n")), rows_per_salt)
+        split = None if hot is None else hot.withColumnRenamed("_key", side)
         of_side = taken.withColumnRenamed("_key", side)
-        items = salted_join(items, of_side, on, "left_anti", ["_at"], hot)
+        items = salted_join(items, of_side, [*group, side], "left_anti", ["_at"], split)
     return items
 
 
@@ -141,7 +139,8 @@ def _in_slices(
         if number < last:
             later = queued.filter(F.col("_slice") > number)
             taken = _keys(now, ["_g"]).drop("_at")
-            queued = pinned(_not_taken(later, taken, ["_g"], rows_per_salt))
+            counts = _keys(later, ["_g"]).groupBy("_g", "_key").agg(F.count("*").alias("_n"))
+            queued = pinned(_not_taken(later, taken, ["_g"], hot_keys(counts, rows_per_salt)))
     return kept
 
 
@@ -193,9 +192,9 @@ def greedy_two_key(
 
     Items are numbered in order of arrival, ties by their keys, unless ``unique_arrival`` says that
     ``arrival`` is one bigint without nulls and repeats in a group. As long as a group has more than
-    ``slice_rows`` undecided items, there are up to ``rounds`` rounds; what is left then is settled
-    by components, packed into tasks of about ``slice_rows`` items. Only a component with more items
-    than that takes several turns.
+    ``slice_rows`` undecided items, there are up to ``rounds`` rounds, and no more after one that
+    settled little; what is left then is settled by components, packed into tasks of about
+    ``slice_rows`` items. Only a component with more items than that takes several turns.
 
     ``items`` is read more than once, so it should be a stored table or little work away from one.
     """
@@ -205,7 +204,10 @@ def greedy_two_key(
         placed = placed.withColumn("_at", F.col(arrival[0]).cast("bigint"))
     else:
         order = [*[F.col(c) for c in arrival], F.col("_a"), F.col("_b")]
-        placed = pinned(numbered(placed, ["_g"], order, "_at"))
+        # Numbers that grow with the order are enough, so that one sort gives them.
+        order.append(F.col("_g"))
+        in_order = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = pinned(in_order.withColumn("_at", F.monotonically_increasing_id()))
     group = ["_g"]
     undecided = _with_own_keys(placed.select("_g", "_a", "_b", "_at"), group)
     kept: list[DataFrame] = []
@@ -217,13 +219,14 @@ def greedy_two_key(
     for _ in range(rounds):
         if left <= slice_rows:
             break
-        settled = pinned(_settled(undecided, group))
-        winners = settled.filter("_wins").drop("_wins")
-        losers = settled.filter("not _wins").drop("_wins")
-        kept.append(winners.select(*group, "_at"))
-        taken = _keys(winners, group).drop("_at")
-        undecided = pinned(_not_taken(losers, taken, group, rows_per_salt))
-        left = most_left()
+        firsts = pinned(_firsts(undecided, group))
+        taken = pinned(_taken(firsts, group))
+        kept.append(taken.select(*group, "_at").distinct())
+        hot = hot_keys(firsts.select(*group, "_key", "_n"), rows_per_salt)
+        undecided = pinned(_not_taken(undecided, taken.drop("_at"), group, hot))
+        before, left = left, most_left()
+        if left > (1 - LEAST_SETTLED) * before:
+            break
     if left > slice_rows:
         kept += _by_components(undecided, slice_rows, rows_per_salt)
     elif left:

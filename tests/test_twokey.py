@@ -130,3 +130,19 @@ def test_components_of_chains_stars_and_rings(spark):
     expected = dict.fromkeys(range(201), 0) | dict.fromkeys(range(1000, 1150), 1000)
     assert found == expected | dict.fromkeys(range(2000, 2030), 2000)
     assert component_of(df.limit(0)).collect() == []
+
+
+def test_rounds_go_on_while_they_settle_much(spark, monkeypatch):
+    dice = random.Random(5)
+    rows = [("q", str(dice.randrange(400)), str(400 + dice.randrange(400)), i) for i in range(4000)]
+    monkeypatch.setattr(twokey, "_by_components", lambda *args: pytest.fail("components"))
+    assert kept(spark, rows, slice_rows=40) == brute(rows)
+
+
+def test_rounds_end_when_they_settle_little(spark, monkeypatch):
+    rounds = []
+    plain = twokey._taken
+    monkeypatch.setattr(twokey, "_taken", lambda *args: rounds.append(1) or plain(*args))
+    rows = [("q", str(i), str(i + 1), i) for i in range(60)]
+    assert kept(spark, rows, slice_rows=20) == {("q", i) for i in range(0, 60, 2)}
+    assert len(rounds) == 1
