@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from listweave.functions import html as names
@@ -152,3 +155,43 @@ def test_board_record_order_and_blanks(spark):
     assert row["source"] == "linkedin" and row["title"] == "" and row["applicant_count"] == ""
     typed = with_typed_board_columns(got.withColumn("applicant_count", F.lit("Over 1,200 applicants"))).first()
     assert str(typed.publish_date) == "2026-03-30" and typed.applicants == 1200
+
+
+def parsed_anyway(document, monkeypatch):
+    with monkeypatch.context() as patch:
+        patch.setattr(names._Reader, "_read_plain", lambda self, document: False)
+        return names._cards(document), names._detail(document)
+
+
+def test_plain_tags_read_as_by_the_parser(monkeypatch):
+    dice = random.Random(4)
+    tags = "li div a span h3 h4 time br p script style template img LI Div title".split()
+    marks = [
+        *names.CARD_TITLE, *names.CARD_COMPANY, *names.CARD_LOCATION, *names.CARD_LINK,
+        *names.DETAIL_TEXT, *names.CRITERION, *names.CRITERION_HEADER, *names.CRITERION_VALUE,
+        *names.APPLICANTS, *names.WORKPLACE,
+    ]
+    texts = ["one", " two\n", "&amp;", "&lt;x", "&", "a &copy", "3 > 2", '<script>t="</h3>"</script>']
+    odd = ["<!-- c -->", "a < b", "<", "</>", "<?p?>", "<a b=c>", "<p class='x'>"]
+
+    def piece(is_odd):
+        attrs = dice.choice([
+            "", f' class="{dice.choice(marks)} y"', f' {names.CARD_KEY}="urn:{dice.randrange(9)}"',
+            ' href="u?a=1&amp;b=2&copy=3"', " hidden",
+        ])
+        opening = f"<{dice.choice(tags)}{attrs}{dice.choice(['', ' ', '/'])}>"
+        closing = f"</{dice.choice(tags)}{dice.choice(['', ' '])}>"
+        return dice.choice([opening, closing, dice.choice(texts), dice.choice(odd if is_odd else texts)])
+
+    for turn in range(3000):
+        document = "".join(piece(turn % 3 == 0) for _ in range(dice.randrange(1, 26)))
+        read = names._cards(document), names._detail(document)
+        assert read == parsed_anyway(document, monkeypatch), document
+
+
+def test_plain_pages_do_without_the_parser(monkeypatch):
+    card = f'<li><div {names.CARD_KEY}="urn:1"><h3 class="{names.CARD_TITLE[0]}">A &amp; B</h3></div></li>'
+    lines = f'<div class="{names.DETAIL_TEXT[0]}">' + "line<br/>" * 60 + "</div>"
+    expected = [parsed_anyway(page, monkeypatch) for page in (card, lines)]
+    monkeypatch.setattr(names._Reader, "feed", lambda self, document: pytest.fail("parser"))
+    assert [(names._cards(page), names._detail(page)) for page in (card, lines)] == expected
