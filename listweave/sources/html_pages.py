@@ -24,9 +24,10 @@ def payload_bytes(pages: DataFrame) -> int:
     return pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
 
 
-def card_pages(raw_pages: DataFrame) -> DataFrame:
-    """Pages with their ``cards`` in place of the payload."""
-    spread = balanced(raw_pages, payload_bytes(raw_pages))
+def card_pages(raw_pages: DataFrame, size: int | None = None) -> DataFrame:
+    """Pages with their ``cards`` in place of the payload. ``size`` is that of all payloads, if it is
+    known."""
+    spread = balanced(raw_pages, payload_bytes(raw_pages) if size is None else size)
     return spread.withColumn("cards", search_cards("payload")).drop("payload")
 
 

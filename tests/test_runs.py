@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from listweave.plans import board_run
 from listweave.plans.board_run import collect_cards
 from listweave.plans.job_run import collect_jobs
 from listweave.sources.registry import source
@@ -254,6 +255,20 @@ def test_board_pages_of_two_fetches(spark):
     assert sorted((r["rank"], r.job_id) for r in got) == [(1, "1"), (2, "2"), (3, "3")]
 
 
+def test_a_page_that_landed_again_is_parsed_once(spark, monkeypatch):
+    schema = "query string, query_pos int, page_no int, payload string, fetched_at timestamp"
+    first, late = card("1", "") + card("2", ""), NOW + timedelta(hours=1)
+    rows = [("q", 0, 0, first, NOW)] * 3 + [("q", 0, 0, card("3", ""), late)]
+    parsed = []
+    plain = board_run.card_pages
+    monkeypatch.setattr(
+        board_run, "card_pages", lambda pages, **size: parsed.append(pages.count()) or plain(pages, **size)
+    )
+    got = collect_cards(spark.createDataFrame(rows, schema), 100, 1, NOW).collect()
+    assert sorted(r.job_id for r in got) == ["1", "2", "3"]
+    assert parsed == [2]
+
+
 def test_sources_by_name():
     assert source("upwork") is collect_jobs and source("linkedin") is collect_cards
     with pytest.raises(KeyError):
