@@ -2,91 +2,111 @@
 
 The rules are those for one query: a term matches a text that contains it, in any case of letters.
 Terms and words hold no blanks, so a text contains a term if one of its words does. Each distinct
-word of the texts is held against the terms once, by a sequence of up to three letters that both
-have; texts are only reached by words. No query is held against all texts.
+word of the texts is held against the terms once, by a sequence of three letters that both
+have; texts are only reached by words. Terms of one or two letters are looked up among the sequences
+that a text has. No query is held against all texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listweave.operators.arrival import capped
-from listweave.operators.spread import hot_keys, salted_join
+from listweave.operators.spread import hot_keys, salted_join, stored_join
 from listweave.session import pinned
 
 GRAM = 3
 BLANKS = r"\s+"
 
 
-def _split(text):
-    return F.filter(F.split(F.lower(text), BLANKS), lambda word: word != "")
+def _words(text):
+    return F.explode(F.array_distinct(F.split(F.lower(F.col(text)), BLANKS)))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     """Distinct ``(query, term)``; a query without terms has no rows."""
-    terms = F.explode(F.array_distinct(_split(F.col(text)))).alias("term")
-    return queries.select(F.col(query).alias("query"), terms)
+    terms = queries.select(F.col(query).alias("query"), _words(text).alias("term"))
+    return terms.filter(F.col("term") != "")
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
     """``(key, word, field)`` once for every word of a field; ``field`` is the field's number."""
 
-    def words_of(name: str, number: int):
-        words = F.coalesce(F.array_distinct(_split(F.col(name))), F.array().cast("array<string>"))
-        return F.transform(
-            words, lambda word: F.struct(word.alias("word"), F.lit(number).alias("field"))
-        )
-
-    words = F.concat(*[words_of(name, number) for number, name in enumerate(fields)])
-    return rows.select(F.col(key).alias("key"), F.inline(words))
-
-
-def _grams(text):
-    """Sequences of three letters, or the whole text if it is shorter."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(size - GRAM + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM))))
-
-
-def _short_grams(text):
-    """All sequences of one to three letters."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), size)
-    grams = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(GRAM), size - i + 1)),
-            lambda n: F.substring(text, i, n),
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+    def words_of(name: str, number: int) -> DataFrame:
+        found = rows.select(F.col(key).alias("key"), _words(name).alias("word"))
+        return found.filter(F.col("word") != "").withColumn("field", F.lit(number))
+
+    return reduce(DataFrame.unionByName, [words_of(c, i) for i, c in enumerate(fields)])
+
+
+def _grams(words: DataFrame, word: str) -> DataFrame:
+    """Rows with every ``gram`` of ``word``, repeats included; a shorter word has none."""
+    long = words.filter(F.length(word) >= GRAM)
+    starts = F.explode(F.sequence(F.lit(1), F.length(word) - GRAM + 1)).alias("_start")
+    gram = F.substring(F.col(word), F.col("_start"), F.lit(GRAM))
+    return long.select("*", starts).select(*words.columns, gram.alias("gram"))
+
+
+def short_postings(rows: DataFrame, key: str, fields: dict[str, int], terms: DataFrame) -> DataFrame:
+    """``(term, key, field)`` for stored ``terms`` of fewer letters than a sequence. Nearly every word
+    has some of them, so they are read off the texts without a row for each word."""
+
+    def start(size: int):
+        return lambda gram: F.substring(gram, 1, size)
+
+    def grams_of(name: str, number: int) -> DataFrame:
+        words = F.array_join(F.array_distinct(F.split(F.lower(F.col(name)), BLANKS)), " ")
+        most = F.lit(f"(?s)(?=(.{{1,{GRAM - 1}}})).")
+        sequences = F.array_distinct(F.regexp_extract_all(words, most, 1))
+        starts = [F.transform(sequences, start(size)) for size in range(1, GRAM - 1)]
+        grams = F.array_distinct(F.concat(sequences, *starts))
+        found = rows.select(F.col(key).alias("key"), F.explode(grams).alias("term"))
+        return found.withColumn("field", F.lit(number))
+
+    grams = reduce(DataFrame.unionByName, [grams_of(c, i) for i, c in enumerate(fields)])
+    return stored_join(grams, terms, ["term"], "left_semi", ["key"]).select("term", "key", "field")
 
 
 def words_of_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, word)`` for each distinct word that contains the term. A term looks only for words
-    with its rarest sequence of letters."""
-    have = words.select("word", F.explode(_short_grams(F.col("word"))).alias("gram"))
-    counts = have.groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
-    rarest = (
-        wanted.join(counts, "gram")
+    """``(term, word)`` for each distinct word that contains the term. Terms have at least three
+    letters; one looks only for words with its rarest sequence of three. Sequences that no term has
+    are not counted and not moved."""
+    wanted = pinned(_grams(terms.select("term"), "term").distinct())
+    have = _grams(words.select("word"), "word")
+    counts = (
+        have.join(wanted.select("gram").distinct(), "gram", "left_semi")
+        .groupBy("gram")
+        .agg(F.count("*").alias("n"))
+    )
+    # A term with a sequence that no word has is in no word.
+    rarest = pinned(
+        wanted.join(counts, "gram", "left")
         .groupBy("term")
-        .agg(F.min(F.struct("n", "gram")).alias("first"), F.count("*").alias("found"))
-        .filter(F.col("found") == F.size(_grams(F.col("term"))))
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("first"))
+        .filter("first.n > 0")
         .select("term", F.col("first.gram").alias("gram"))
     )
-    return have.join(rarest, "gram").filter(F.col("word").contains(F.col("term"))).select("term", "word")
+    found = have.join(rarest, "gram").filter(F.col("word").contains(F.col("term")))
+    return found.select("term", "word").distinct()
 
 
 def _term_postings(rows: DataFrame, key: str, fields: dict[str, int], terms: DataFrame) -> DataFrame:
-    """Stored ``(term, key, field)`` for all terms."""
+    """``(term, key, field)`` for all terms, once for each word that has the term."""
+    terms = pinned(terms.select("term").distinct())
+    long = F.length("term") >= GRAM
     of_words = pinned(postings(rows, key, fields))
-    matched = words_of_terms(of_words.select("word").distinct(), terms.select("term").distinct())
+    counts = pinned(of_words.groupBy("word").agg(F.count("*").alias("_n")))
+    matched = pinned(words_of_terms(counts.select("word"), terms.filter(long)))
     # Frequent words own many postings; their terms are repeated for each part of them.
-    counts = of_words.groupBy("word").agg(F.count("*").alias("_n"))
-    joined = salted_join(of_words, pinned(matched), ["word"], "inner", ["key"], hot_keys(counts))
-    return pinned(joined.select("term", "key", "field").distinct())
+    joined = salted_join(of_words, matched, ["word"], "inner", ["key"], hot_keys(counts))
+    found = joined.select("term", "key", "field")
+    short = pinned(terms.filter(~long))
+    if short.isEmpty():
+        return found
+    return found.unionByName(short_postings(rows, key, fields, short))
 
 
 def all_terms_match(
@@ -99,8 +119,8 @@ def all_terms_match(
     A query is first joined by its rarest term; the other terms only confirm what that one found.
     """
     terms = pinned(query_terms(queries, query, text))
-    found = _term_postings(rows, key, dict.fromkeys(fields, 1), terms).select("term", "key").distinct()
-    found = pinned(found)
+    found = _term_postings(rows, key, dict.fromkeys(fields, 1), terms)
+    found = pinned(found.select("term", "key").distinct())
     counts = found.groupBy("term").agg(F.count("*").alias("_n"))
     # A term that no row has leaves its queries without rows.
     sized = terms.join(counts, "term", "left")
@@ -148,8 +168,12 @@ def most_relevant_for(
     ``ties`` order rows of equal score by expressions over ``key``."""
     terms = pinned(query_terms(queries, query, text))
     found = _term_postings(rows, key, fields, terms)
-    weight = F.element_at(F.array(*[F.lit(w) for w in fields.values()]), F.col("field") + 1)
-    scored = pinned(found.groupBy("term", "key").agg(F.sum(weight).alias("points")))
+    weights = [
+        F.max((F.col("field") == number).cast("int")) * weight
+        for number, weight in enumerate(fields.values())
+    ]
+    points = reduce(Column.__add__, weights).alias("points")
+    scored = pinned(found.groupBy("term", "key").agg(points))
     counts = scored.groupBy("term").agg(F.count("*").alias("_n"))
     pairs = salted_join(scored, terms, ["term"], "inner", ["key"], hot_keys(counts))
     totals = pairs.groupBy("query", "key").agg(F.sum("points").cast("bigint").alias("score"))

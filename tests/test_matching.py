@@ -71,3 +71,21 @@ def test_no_rows_and_no_queries(spark, rows):
     queries = spark.createDataFrame(QUERIES, "q int, asked string")
     for some, asked in ((rows.limit(0), queries), (rows, queries.limit(0))):
         assert matching.all_terms_match(some, "id", ["title"], asked, "q", "asked").collect() == []
+
+
+def test_short_terms_are_not_held_against_words(spark, monkeypatch):
+    listed = [(1, "An \U0001f600é x", None), (2, "a n", "nA"), (3, "", "\U0001f600"), (None, "xé", "x")]
+    rows = spark.createDataFrame(listed, SCHEMA)
+    asked = ["an", "n", "\U0001f600é", "\U0001f600", "na", "xé", "é x", "a the"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "q int, asked string")
+    held = []
+    plain = matching.words_of_terms
+    monkeypatch.setattr(
+        matching, "words_of_terms",
+        lambda words, terms: held.extend(r.term for r in terms.collect()) or plain(words, terms),
+    )
+    found = matching.all_terms_match(rows, "id", ["title", "text"], queries, "q", "asked")
+    assert {tuple(r) for r in found.collect()} == {
+        (0, 1), (1, 1), (1, 2), (2, 1), (3, 1), (3, 3), (4, 2), (5, None), (6, 1), (6, None),
+    }
+    assert held == ["the"]
