@@ -65,18 +65,21 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, reduced: bool = False) -> DataFrame:
     """``(node, root)`` for every node of the links ``(a, b)``, two different bigints.
 
     Nodes with the same root are connected. Each round every node points to its lowest neighbour,
     pointers are followed once more, and links between different targets go on. Rounds take the
     order of the numbers and a random order in turns: the first finishes stars at once, the second
-    leaves a fixed share of any other shape. Each task first reduces its own links to stars. All
-    tables are written, so nothing is computed again. Nulls are not allowed; no links give no rows.
+    leaves a fixed share of any other shape. Each task first reduces its own links to stars, unless
+    they are ``reduced`` by :func:`star_batches` already: each task would need a second Python worker
+    to do it again. All tables are written, so nothing is computed again. Nulls are not allowed; no
+    links give no rows.
     """
     maps: list[DataFrame] = []
-    left = pinned(links.select("a", "b").mapInArrow(_contracted, LINKS))
-    while not left.isEmpty():
+    left = links.select("a", "b")
+    left = pinned(left if reduced else left.mapInArrow(_contracted, LINKS))
+    while links_left := left.count():
         if len(maps) == MOST_ROUNDS:
             raise RuntimeError(f"links are left after {MOST_ROUNDS} rounds")
         turn = len(maps)
@@ -94,10 +97,11 @@ def components(links: DataFrame) -> DataFrame:
                 F.when(F.col("low.place") < place(F.col("node")), F.col("low.other"))
                 .otherwise(F.col("node"))
                 .alias("parent"),
-            )
+            ),
+            2 * links_left,
         )
         above = first.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        step = pinned(first.join(above, "parent").select("node", "root"))
+        step = pinned(first.join(above, "parent").select("node", "root"), 2 * links_left)
         maps.append(step)
         left = pinned(
             left.join(step.toDF("a", "ra"), "a")
@@ -105,7 +109,8 @@ def components(links: DataFrame) -> DataFrame:
             .filter("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
-            .mapInArrow(_contracted, LINKS)
+            .mapInArrow(_contracted, LINKS),
+            links_left,
         )
     if not maps:
         return links.sparkSession.createDataFrame([], "node bigint, root bigint")

@@ -35,9 +35,10 @@ from listweave.session import pinned
 SEED = 42
 PARTS = 4
 PART_BITS = 64 // PARTS
-SHINGLES_AT_ONCE = 50_000
-TEXT_BYTES = 2 << 20
-CELLS_AT_ONCE = 1 << 20
+#: Bounds on what a Python worker holds; an executor has several, and what they took they keep.
+SHINGLES_AT_ONCE = 20_000
+TEXT_BYTES = 256 << 10
+CELLS_AT_ONCE = 1 << 18
 
 
 def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
@@ -107,9 +108,11 @@ def steps_to_near_cells(radius: int) -> list[tuple[int, ...]]:
 
 def near_pairs(
     left: np.ndarray, right: np.ndarray, same: bool, radius: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two tiles within the radius, each once if the tiles are the same."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of two tiles within the radius, each once if the tiles are the same.
+
+    They come in pieces of bounded size, as tiles of near copies hold very many.
+    """
     rows = max(1, CELLS_AT_ONCE // max(1, len(right)))
     for start in range(0, len(left), rows):
         near = np.bitwise_count(left[start : start + rows, None] ^ right[None, :]) <= radius
@@ -117,26 +120,31 @@ def near_pairs(
         i += start
         if same:
             i, j = i[i < j], j[i < j]
-        found.append((left[i], right[j]))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        if len(i):
+            yield left[i], right[j]
 
 
-def fingerprint_components(prints: DataFrame, radius: int, tile_rows: int = 2048) -> DataFrame:
+def fingerprint_components(
+    prints: DataFrame, radius: int, tile_rows: int = 2048, most_rows: int | None = None
+) -> DataFrame:
     """``(node, root)`` for every fingerprint of the one-column table ``prints`` with a partner.
 
     ``prints`` is distinct and not null. Nothing is skipped but tile pairs that cannot hold a
     link. A cell with many fingerprints is cut into tiles by hash, so no task or row grows with it.
+    ``most_rows`` bounds the number of fingerprints, if known, and so the files written.
     """
     marked = prints.toDF("fp").withColumn("cell", cell_of(F.col("fp")))
     # One row per possible cell at most: (64 / PARTS + 1) ** PARTS, whatever the input.
     sizes = pinned(
-        marked.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
+        marked.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks")),
+        most_rows,
     )
     tiles = pinned(
         marked.join(F.broadcast(sizes), "cell")
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
         .groupBy("cell", "chunk")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list("fp").alias("fps")),
+        most_rows,
     )
     base = PART_BITS + 1
     digits = [
@@ -179,13 +187,13 @@ def fingerprint_components(prints: DataFrame, radius: int, tile_rows: int = 2048
                         batch.column(c)[row].values.to_numpy().astype("<i8").view("<u8")
                         for c in (0, 1)
                     )
-                    a, b = near_pairs(left, right, batch.column(2)[row].as_py(), radius)
-                    if len(a):
+                    same = batch.column(2)[row].as_py()
+                    for a, b in near_pairs(left, right, same, radius):
                         yield a.view("<i8"), b.view("<i8")
 
         yield from star_batches(links())
 
-    return components(pairs.mapInArrow(compare, LINKS))
+    return components(pairs.mapInArrow(compare, LINKS), reduced=True)
 
 
 def simhash_groups(
@@ -205,9 +213,10 @@ def simhash_groups(
     source = docs.withColumn(id_name, F.col("doc_id"))
     rows = pinned(with_fingerprint(source, shingle, name, [*keep, id_name]))
     classes = pinned(
-        rows.groupBy(F.col(name).alias("fp")).agg(F.min(id_name).alias("lowest"))
+        rows.groupBy(F.col(name).alias("fp")).agg(F.min(id_name).alias("lowest")), rows.count()
     )
-    roots = pinned(fingerprint_components(classes.select("fp"), radius))
+    n = classes.count()
+    roots = pinned(fingerprint_components(classes.select("fp"), radius, most_rows=n), n)
     lowest = (
         roots.join(classes, F.col("node") == F.col("fp"))
         .groupBy("root")

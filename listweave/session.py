@@ -80,13 +80,22 @@ def scratch(spark: SparkSession, keep: bool = False) -> Iterator[str]:
             remove_folder(spark, folder)
 
 
-def pinned(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers that are worth a task and a file of their own.
+ROWS_A_FILE = 100_000
+
+
+def pinned(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """The rows as a table in the shared folder.
 
     Cuts the lineage: a lost executor costs no recomputation, values that depend on partitioning
-    stay what they were, and the optimizer knows the size from the files.
+    stay what they were, and the optimizer knows the size from the files. With ``most_rows``, a
+    bound on the narrow rows there can be, small tables get few files: on a local file system
+    without Hadoop's own library each file starts ``chmod``, a child that for a moment counts with
+    all the memory of the executor.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most_rows // ROWS_A_FILE)))
     folder = run_folder(spark, "pinned")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

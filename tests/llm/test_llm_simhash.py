@@ -137,3 +137,60 @@ def test_large_group_of_near_copies(spark):
     prints = {i: plain_fingerprint(t) for i, t in rows}
     groups = plain_components(prints, 3)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == groups
+
+
+def test_pairs_of_near_tiles_come_in_bounded_pieces():
+    rng = np.random.default_rng(2)
+    bits = np.uint64(1) << rng.integers(0, 64, (600, 2)).astype(np.uint64)
+    left = np.unique(np.bitwise_xor.reduce(bits, axis=1))
+    right = left ^ np.uint64(1 << 7)
+    for other, same in ((right, False), (left, True)):
+        pieces = list(simhash.near_pairs(left, other, same, 3))
+        assert len(left) * len(other) > simhash.CELLS_AT_ONCE
+        assert len(pieces) > 1 and all(0 < len(a) <= simhash.CELLS_AT_ONCE for a, _ in pieces)
+        got = sorted((int(a), int(b)) for p in pieces for a, b in zip(*p, strict=True))
+        assert got == sorted(
+            (a, b)
+            for x, a in enumerate(left.tolist())
+            for y, b in enumerate(other.tolist())
+            if (a ^ b).bit_count() <= 3 and (not same or x < y)
+        )
+
+
+def test_no_task_has_two_python_workers(spark, monkeypatch):
+    plans = []
+
+    def noted(df, *args, write=components.pinned):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "pinned", noted)
+    rows = [(v,) for v in (0, 1, 3, 1 << 40, (1 << 40) + 6, -1)]
+    prints = spark.createDataFrame(rows, "fp bigint")
+    roots = {r["node"]: r["root"] for r in simhash.fingerprint_components(prints, 3).collect()}
+    assert len(roots) == 5 and len(set(roots.values())) == 1
+    found = [plan.count("MapInArrow") for plan in plans]
+    assert max(found) == 1 and sum(found) > 1
+
+
+def test_small_tables_are_stored_in_few_files(spark, monkeypatch):
+    files = []
+
+    def noted(df, *args, write=components.pinned):
+        stored = write(df, *args)
+        files.append(len(stored.inputFiles()))
+        return stored
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "pinned", noted)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    links = spark.range(3_000).selectExpr("id * 2 a", "id * 2 + 1 + id % 2 b").repartition(5)
+    try:
+        nodes = components.components(links).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert nodes == len({n for i in range(3_000) for n in (2 * i, 2 * i + 1 + i % 2)})
+    assert len(files) > 3 and max(files) <= 5
