@@ -33,7 +33,10 @@ from listweave.llm.common import (
 from listweave.session import pinned, run_folder
 
 BLOCK_BYTES = 32 << 20
-TEXT_BYTES = 2 << 20
+#: Grams of a lot take eight times its bytes in each of several arrays.
+TEXT_BYTES = 1 << 20
+LOTS_AT_ONCE = 16
+LOOKUPS_AT_ONCE = 1 << 18
 #: Depth at which the trees are divided among tasks; what is above has a fixed number of nodes.
 TOP = 2
 #: Kinds of rows: a word, a gram, and one row per block with the path of its texts as the word.
@@ -54,11 +57,16 @@ def grams_of(texts: pa.Array, depth: int = ctw.DEPTH) -> tuple[np.ndarray, np.nd
     np.add.at(inner, before + depth + sizes, -1)
     inner = np.cumsum(inner[:-1], dtype=np.int8).astype(bool)
     padded[inner] = source
-    long = padded.astype(np.int64)
-    keys = np.zeros(max(0, len(long) - depth), np.int64)
-    for shift in range(depth + 1):
-        keys <<= 8
-        keys |= long[shift : shift + len(keys)]
+    # Sequences of doubled length are put together from two of the last length.
+    doubled = padded.astype(np.int64)
+    keys, held, width = np.zeros(max(0, len(padded) - depth), np.int64), 0, 1
+    while held <= depth:
+        if (depth + 1) & width:
+            keys = (keys << 8 * width) | doubled[held : held + len(keys)]
+            held += width
+        if held <= depth:
+            doubled = (doubled[:-width] << 8 * width) | doubled[width:]
+        width *= 2
     # The gram that starts at i ends at i + depth: every text has one per byte and one at its end.
     skipped = np.zeros(len(padded) + 1, np.int8)
     np.add.at(skipped, before, 1)
@@ -67,6 +75,19 @@ def grams_of(texts: pa.Array, depth: int = ctw.DEPTH) -> tuple[np.ndarray, np.nd
     return keys[starts], sizes + 1
 
 
+def looked_up(sequences: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of ``sequences``, all of them among the sorted ``keys``.
+
+    Lots of them are sorted first, so that they go through the keys from one end to the other.
+    """
+    found = np.empty(len(sequences), values.dtype)
+    for start in range(0, len(sequences), LOOKUPS_AT_ONCE):
+        part = sequences[start : start + LOOKUPS_AT_ONCE]
+        order = np.argsort(part)
+        found[start + order] = values[np.searchsorted(keys, part[order])]
+    return found
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -104,7 +125,7 @@ class BlockNeeds:
         marked, n = np.unique((grams << 1) | np.repeat(learned, per_text), return_counts=True)
         self.keys.append(marked >> 1)
         self.counts.append(n * (marked & 1))
-        if len(self.keys) > 8:
+        if len(self.keys) > LOTS_AT_ONCE:
             self._merge()
 
     def _merge(self) -> None:
@@ -180,9 +201,13 @@ def stored_needs(rows: DataFrame, folder: str, depth: int) -> DataFrame:
     return pinned(rows.select("doc_id", "held_out", "learned", "text").mapInArrow(run, NEEDED))
 
 
-def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    held = [[b.column(n).to_numpy() for n in names] for b in batches]
-    return [np.concatenate([h[i] for h in held]) for i in range(len(names))] if held else []
+def _sorted_grams(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    held = [[b.column(n).to_numpy() for n in ("gram", "n")] for b in batches]
+    if not held:
+        return []
+    grams, n = (np.concatenate([h[i] for h in held]) for i in range(2))
+    order = np.argsort(grams)
+    return [grams[order], n[order]]
 
 
 def gram_model(grams: DataFrame, depth: int) -> DataFrame:
@@ -197,7 +222,7 @@ def gram_model(grams: DataFrame, depth: int) -> DataFrame:
     ).repartition("top")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _whole(batches, ["gram", "n"])
+        held = _sorted_grams(batches)
         if not held:
             return
         seen = held[1] > 0
@@ -230,7 +255,7 @@ def gram_model(grams: DataFrame, depth: int) -> DataFrame:
     high = grams.sparkSession.sparkContext.broadcast(levels)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _whole(batches, ["gram", "n"])
+        held = _sorted_grams(batches)
         if not held:
             return
         seen = held[1] > 0
@@ -305,34 +330,43 @@ def scored(docs: DataFrame, held_out=None, depth: int = ctw.DEPTH) -> DataFrame:
         keys, logs = keys[order], sequences["value"].to_numpy()[order]
         path = values.filter(pc.equal(kinds, TEXT))["word"][0].as_py().decode()
         system, place = file_system(path)
-        parts: list[pa.RecordBatch] = []
+        read: list[tuple] = []
         with system.open_input_stream(place) as source:
             for batch in ipc.open_stream(source):
                 own = translated(large_texts(batch.column("text")), LOWER)
                 found, per_text = split_words(own)
-                place = pc.index_in(found.cast(pa.large_binary()), value_set=vocabulary)
-                count = word_count[place.to_numpy()] if len(found) else np.zeros(0)
-                owner = np.repeat(np.arange(len(own)), per_text)
-                n = len(own)
-                base = np.bincount(owner, np.log10(count + 1) - divisor, minlength=n)
-                seen = np.bincount(owner, count > 0, minlength=n).astype(np.int64)
                 found_grams, per_gram = grams_of(own, depth)
-                log = logs[np.searchsorted(keys, found_grams)]
+                log = looked_up(found_grams, keys, logs)
                 total = np.add.reduceat(log, ends_of(per_gram)[:-1])
-                parts.append(
-                    pa.record_batch(
-                        {
-                            "doc_id": batch.column("doc_id"),
-                            "held_out": batch.column("held_out"),
-                            "n_tokens": pa.array(per_text.astype(np.int64) + 1),
-                            "n_known": pa.array(seen + int(ends > 0)),
-                            "train_tokens": pa.array(np.full(n, n_train, np.int64)),
-                            "base_score": pa.array(base + np.log10(ends + 1) - divisor),
-                            "score": pa.array(total),
-                            "bits_per_byte": pa.array(-total / np.log10(2) / per_gram),
-                        }
-                    )
+                ids = batch.column("doc_id"), batch.column("held_out")
+                coded = found.cast(pa.large_binary()).dictionary_encode()
+                read.append((ids, coded.dictionary, coded.indices, per_text, per_gram, total))
+        # The words of the whole block are looked up at once, as each call hashes the vocabulary.
+        asked = pa.concat_arrays([r[1] for r in read])
+        places = pc.index_in(asked, value_set=vocabulary).to_numpy()
+        counts = word_count[places] if len(asked) else np.zeros(0)
+        before = ends_of(np.array([len(r[1]) for r in read]))
+        parts: list[pa.RecordBatch] = []
+        for first, (ids, _, indices, per_text, per_gram, total) in zip(before, read, strict=False):
+            n = len(per_text)
+            count = counts[first + indices.to_numpy()] if len(indices) else np.zeros(0)
+            owner = np.repeat(np.arange(n), per_text)
+            base = np.bincount(owner, np.log10(count + 1) - divisor, minlength=n)
+            seen = np.bincount(owner, count > 0, minlength=n).astype(np.int64)
+            parts.append(
+                pa.record_batch(
+                    {
+                        "doc_id": ids[0],
+                        "held_out": ids[1],
+                        "n_tokens": pa.array(per_text.astype(np.int64) + 1),
+                        "n_known": pa.array(seen + int(ends > 0)),
+                        "train_tokens": pa.array(np.full(n, n_train, np.int64)),
+                        "base_score": pa.array(base + np.log10(ends + 1) - divisor),
+                        "score": pa.array(total),
+                        "bits_per_byte": pa.array(-total / np.log10(2) / per_gram),
+                    }
                 )
+            )
         return pa.Table.from_batches(parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

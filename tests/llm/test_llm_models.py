@@ -245,3 +245,33 @@ def test_quality_edges(spark):
     assert quality.quality_documents(docs, none).filter("text is null").count() == 0
     assert quality.quality_documents(docs, none).count() == docs.count() - 4
     assert quality.quality_report(empty_documents(spark), edge_labels(spark)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4, 5, 6])
+def test_sequences_of_every_depth(depth):
+    texts = ["", "a", "héé", "abcdefgh" * 3, ""]
+    grams, sizes = lm_scoring.grams_of(pa.array(texts, pa.large_string()), depth)
+    expected = []
+    for text in texts:
+        data = b"\xff" * depth + text.encode() + b"\xff"
+        expected += [int.from_bytes(data[i : i + depth + 1]) for i in range(len(data) - depth)]
+    assert grams.tolist() == expected
+    assert sizes.tolist() == [len(t.encode()) + 1 for t in texts]
+
+
+def test_sequences_are_looked_up_in_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 55, 5_000))
+    values = rng.random(len(keys))
+    place = rng.integers(0, len(keys), 12_345)
+    orders = []
+
+    def noted(known, sought, search=np.searchsorted):
+        orders.append(bool((np.diff(sought) >= 0).all()))
+        return search(known, sought)
+
+    monkeypatch.setattr(lm_scoring, "LOOKUPS_AT_ONCE", 1_000)
+    monkeypatch.setattr(np, "searchsorted", noted)
+    assert np.array_equal(lm_scoring.looked_up(keys[place], keys, values), values[place])
+    assert len(orders) == 13 and all(orders)
+    assert len(lm_scoring.looked_up(keys[:0], keys, values)) == 0
